@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,27 @@ def sampled_labels(spark: SparkSession, sf_dir: str, column: str, folds: int, he
     rows = rows.where(fold(F.col("doc_id"), folds) != held).select("doc_id", F.col(column).cast("int").alias("label"))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def logistic_fit(x, y) -> tuple[float, float]:
+    """Slope and offset of a one-variable logistic model by Newton's method with a weak ridge; without two classes the
+    offset alone, at the smoothed rate."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    rate = (y.sum() + 1.0) / (len(y) + 2.0)
+    w = np.array([0.0, np.log(rate / (1 - rate))])
+    if len(set(y)) < 2:
+        return 0.0, float(w[1])
+    design = np.stack([x, np.ones_like(x)], axis=1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -35, 35)))
+        grad = design.T @ (p - y) + 1e-3 * w
+        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        w = w - np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))

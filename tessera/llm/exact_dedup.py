@@ -58,6 +58,7 @@ def digest_groups(log_path: str, spark: SparkSession, schema, state: str | None
     own = spark.newSession()  # the state store's settings stay out of the caller's session
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no preallocation
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     reader = own.readStream.schema(schema)
     if files_a_batch:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, near_dedup
+from tessera.llm import exact_dedup, mpeg_audio, near_dedup, packing, quality, secrets, sentencepiece_codec, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_mpeg_audio": mpeg_audio.op3_mpeg_audio,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op10_quality": quality.op10_quality,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
