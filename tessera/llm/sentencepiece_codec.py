@@ -24,6 +24,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,7 +69,7 @@ class Pieces:
         # order of merges: 0 for single characters, then by falling score
         levels = {x: k + 1 for k, x in enumerate(sorted(set(self.score), reverse=True))}
         self.order = [levels[x] if len(t) > 1 else 0 for t, x in zip(self.text, self.score)]
-        shared = {x for x in levels if self.score.count(x) > 1} if len(levels) < len(self.score) else set()
+        shared = {x for x, times in Counter(self.score).items() if times > 1}
         self.tied = [len(t) > 1 and x in shared for t, x in zip(self.text, self.score)]
         self._parts = Memo(self._split)
         self._pair = Memo(lambda key: self._stay_apart(key >> 32, key & 0xFFFFFFFF), 400_000)

@@ -1,7 +1,8 @@
 """Operator 4: toxic passages by maximum-scoring segments over token log-odds.
 
-Token scores are log-odds between toxic and other labelled text under an informative Dirichlet prior, taken at the lower
-end of their confidence interval, so that rare words earn nothing by chance. A linear scan (all maximal scoring
+Features are words and their first 4 to 8 letters, so that inflected and compound forms count together. A feature's score
+is its log-odds between toxic and other labelled text under an informative Dirichlet prior, taken at the lower end of its
+confidence interval, so that rare ones earn nothing by chance; a token scores as its best feature. A linear scan (all maximal scoring
 subsequences, after Ruzzo and Tompa) finds every passage. A passage of score S in a text of n tokens is expected
 K*n*exp(-lambda*S) times by chance (Karlin and Altschul); passages under ``SIGNIFICANT`` count, and the sum of their
 -ln E, on a log scale, is calibrated to a probability by a logistic fit.
@@ -28,24 +29,27 @@ from tessera.llm.common import Memo, arrow_map, documents, fold, logistic_fit, s
 
 BUCKETS, MOST, FOLDS, HELD = 1 << 18, 20_000, 3, 1
 PRIOR, WIDTH, FLOOR, SIGNIFICANT, CUT = 2_000.0, 1.96, -0.5, 0.05, 0.7
+PREFIXES = range(4, 9)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def bucket(word: str) -> int:
-    """The bucket of a word without case and outer punctuation; of nothing but punctuation, -1."""
+def buckets_of(word: str) -> tuple[int, ...]:
+    """The buckets of a word without case and outer punctuation, and of its beginnings; of nothing but punctuation, none."""
     core = _EDGE.sub("", word).lower()
-    return xxhash.xxh3_64_intdigest(core.encode()) % BUCKETS if core else -1
+    if not core:
+        return ()
+    return tuple(xxhash.xxh3_64_intdigest(x.encode()) % BUCKETS for x in (core, *(f"{core[:n]}*" for n in PREFIXES if n < len(core))))
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """bucket, toxic, other: token counts of labelled rows (text, label), combined in each task before the shuffle."""
+    """bucket, toxic, other: feature counts of labelled rows (text, label), combined in each task before the shuffle."""
 
     def count(batches):
-        buckets, total = Memo(bucket), np.zeros((2, BUCKETS), np.int64)
+        buckets, total = Memo(buckets_of), np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([buckets[w] for w in (text or "").split()], np.int64)
-                total[label] += np.bincount(ids[ids >= 0], minlength=BUCKETS)
+                ids = np.array([b for w in (text or "").split() for b in buckets[w]], np.int64)
+                total[label] += np.bincount(ids, minlength=BUCKETS)
         seen = np.flatnonzero(total.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[1, seen]), pa.array(total[0, seen])], names=["bucket", "toxic", "other"])
 
@@ -99,6 +103,11 @@ def segments(s: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(y - x)) for x, y, a, b, _ in kept]
 
 
+def token_scores(table: np.ndarray) -> Memo:
+    """The score of a token by its text: that of its best feature; punctuation alone scores nothing."""
+    return Memo(lambda w: max((float(table[b]) for b in buckets_of(w)), default=0.0), 500_000)
+
+
 @dataclass
 class Model:
     table: np.ndarray
@@ -107,14 +116,13 @@ class Model:
     slope: float
     offset: float
 
-    def passages(self, words: list[str], buckets: dict) -> list[tuple[int, int, float]]:
-        """Significant passages of a text: first word, word after the last, expected number by chance."""
-        s = self.table[np.array([buckets[w] for w in words], np.int64)]
-        found = ((a, b, self.k * len(words) * np.exp(-self.lam * x)) for a, b, x in segments(s))
-        return [x for x in found if x[2] < SIGNIFICANT]
+    def passages(self, words: list[str], scores: Memo) -> list[tuple[int, int, float]]:
+        """Significant passages of a text: first word, word after the last, logarithm of the number expected by chance."""
+        found = ((a, b, np.log(self.k * len(words)) - self.lam * x) for a, b, x in segments(np.array([scores[w] for w in words])))
+        return [x for x in found if x[2] < np.log(SIGNIFICANT)]
 
     def score(self, passages: list[tuple[int, int, float]]) -> float:
-        return float(sigmoid(self.slope * np.log1p(-sum(np.log(e) for _, _, e in passages)) + self.offset))
+        return float(sigmoid(self.slope * np.log1p(-sum(e for _, _, e in passages)) + self.offset))
 
 
 def fit(rows: DataFrame) -> Model:
@@ -122,27 +130,27 @@ def fit(rows: DataFrame) -> Model:
     toxic, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in token_counts(rows).toLocalIterator():  # at most BUCKETS rows
         toxic[row[0]], other[row[0]] = row[1], row[2]
-    table = np.append(log_odds(toxic, other), 0.0)  # the last entry is that of bucket -1
-    model = Model(table, karlin_lambda(table[:-1], other), 1.0, 0.0, 0.0)
+    table = log_odds(toxic, other)
 
-    def best(batches):
-        buckets = Memo(bucket)
+    def chance(batches):
+        scores = token_scores(table)
         for batch in batches:
-            n, top = [], []
-            for text in batch.column(0).to_pylist():
-                words = (text or "").split()
-                n.append(len(words))
-                top.append(max((x for _, _, x in segments(table[np.array([buckets[w] for w in words], np.int64)])), default=0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(top, pa.float64())], names=["n", "top"])
-
-    chance = rows.where("label = 0").select("text").mapInArrow(best, "n long, top double").where("n > 0")
-    seen = chance.agg(F.count("n"), F.sum(F.col("n") * F.exp(-F.lit(model.lam) * F.col("top")))).first()
-    model.k = float(seen[0] / seen[1]) if seen[0] else 1.0  # K*n*exp(-lambda*S) is exponential with mean 1
+            all_scores = [np.array([scores[w] for w in (t or "").split()]) for t in batch.column(0).to_pylist()]
+            value, times = np.unique(np.round(np.concatenate([np.zeros(0), *all_scores]), 2), return_counts=True)
+            tops = [(len(s), max((x for _, _, x in segments(s)), default=0.0)) for s in all_scores if len(s)]
+            columns = [pa.array([*value, *[None] * len(tops)], pa.float64()), pa.array([*times, *(n for n, _ in tops)], pa.int64()), pa.array([*[None] * len(value), *(x for _, x in tops)], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["value", "n", "top"])
+
+    seen = written(rows.where("label = 0").select("text").mapInArrow(chance, "value double, n long, top double"), "toxic-chance")
+    scored = seen.where("value IS NOT NULL").groupBy("value").agg(F.sum("n").alias("n")).toPandas()  # scores by hundredths
+    lam = karlin_lambda(scored["value"].to_numpy(float), scored["n"].to_numpy(float))
+    mean = seen.where("top IS NOT NULL").agg(F.avg(F.col("n") * F.exp(-F.lit(lam) * F.col("top")))).first()[0]
+    model = Model(table, lam, 1 / mean if mean else 1.0, 0.0, 0.0)  # K*n*exp(-lambda*S) is exponential with mean 1
 
     def evidence(batches):
-        buckets = Memo(bucket)
+        scores = token_scores(table)
         for batch in batches:
-            out = [-sum(np.log(e) for _, _, e in model.passages((t or "").split(), buckets)) for t in batch.column(0).to_pylist()]
+            out = [-sum(e for _, _, e in model.passages((t or "").split(), scores)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.log1p(out), pa.float64()), batch.column(1)], names=["x", "label"])
 
     points = rows.select("text", "label").mapInArrow(evidence, "x double, label int").toPandas()  # at most MOST rows
@@ -164,10 +172,11 @@ def apply(model: Model, docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def make():
-        m, buckets = shared.value, Memo(bucket)
+        m = shared.value
+        scores_of = token_scores(m.table)
 
         def step(doc_id, text):
-            found = [m.passages((t or "").split(), buckets) for t in text]
+            found = [m.passages((t or "").split(), scores_of) for t in text]
             score = [m.score(p) for p in found]
             return {
                 "doc_id": pa.array(doc_id, pa.int64()),
@@ -200,9 +209,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
     def clean(batches):
-        m, buckets = shared.value, Memo(bucket)
+        m = shared.value
+        scores_of = token_scores(m.table)
         for batch in batches:
-            scores = [m.score(m.passages((t or "").split(), buckets)) for t in batch.column(at).to_pylist()]
+            scores = [m.score(m.passages((t or "").split(), scores_of)) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([x < CUT for x in scores], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
