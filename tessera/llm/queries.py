@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mpeg_audio, near_dedup, packing, pii, quality, secrets, sentencepiece_codec, toxicity
+from tessera.llm import exact_dedup, mpeg_audio, near_dedup, ngram_trie, packing, pii, quality, secrets, sentencepiece_codec, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+    "op7_lm_scoring": ngram_trie.op7_lm_scoring,
     "op9_pii_surrogates": pii.op9_pii_surrogates,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
