@@ -132,35 +132,45 @@ def entities_of(m: Column, kind: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 class Draw:
-    """Keyed numbers for an entity's draw: ``at(i)`` is below 256."""
+    """Keyed numbers for an entity's draw, from 256 hexadecimal digits: ``at(i)`` is below 256."""
+
+    def __init__(self, hex: Column):
+        self.hex = hex
 
-    def __init__(self, key: str, kind: Column, canon: Column, attempt: Column):
+    @staticmethod
+    def digits(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
-        self.hex = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f+")), 512))
+        return F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f+")), 512))
 
     def at(self, i) -> Column:
         place = F.pmod(i if isinstance(i, Column) else F.lit(i), F.lit(128))
         return F.conv(F.substring(self.hex, place * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
-    def pick(self, i, letters: str) -> Column:
-        return F.substring(F.lit(letters), self.at(i) % len(letters) + 1, F.lit(1))
-
 
 LOWER, DIGITS, UPPER = "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def like(draw: Draw, text: Column, start=0) -> Column:
+def like(draw: Draw, text: Column) -> Column:
     """A text of the same format: digits for digits, letters for letters."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    new = F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), draw.pick(i + start, DIGITS)).when(c.rlike("[a-z]"), draw.pick(i + start, LOWER)).when(c.rlike("[A-Z]"), draw.pick(i + start, UPPER)).otherwise(c))
-    return F.array_join(new, "")
+
+    def one(c: Column, i: Column) -> Column:
+        letters = F.when(c.rlike("[0-9]"), DIGITS).when(c.rlike("[a-z]"), LOWER).when(c.rlike("[A-Z]"), UPPER).otherwise(c)
+        return F.substring(letters, draw.at(i) % F.length(letters) + 1, F.lit(1))
+
+    return F.array_join(F.transform(chars, one), "")
 
 
 def grown(draw: Draw, attempt: Column) -> Column:
     """Further letters after ``_GROW`` draws, so that no format runs out of surrogates."""
     extra = F.greatest(attempt - _GROW + 1, F.lit(0))
-    return F.when(extra > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda i: draw.pick(i + 100, LOWER)), "")).otherwise("")
+    return F.when(extra > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda i: F.substring(F.lit(LOWER), draw.at(i + 100) % 26 + 1, F.lit(1))), "")).otherwise("")
 
 
 def luhn_digit(body: Column) -> Column:
@@ -170,32 +180,51 @@ def luhn_digit(body: Column) -> Column:
 
 
 def name_surrogate(draw: Draw, kind: Column, canon: Column, attempt: Column) -> Column:
-    def made(letters):
-        consonants, vowels, feminine = letters
+    def of_script(k: int) -> Column:
+        return F.when(canon.rlike(r"\p{IsCyrillic}"), SCRIPTS["cyrillic"][k]).when(canon.rlike(r"\p{IsGreek}"), SCRIPTS["greek"][k]).otherwise(SCRIPTS["latin"][k])
+
+    def pick(i, letters: Column) -> Column:
+        return F.substring(letters, draw.at(i) % F.length(letters) + 1, F.lit(1))
+
+    def made(letters: Column) -> Column:
         syllables = 2 + draw.at(0) % 2 + attempt
-        body = F.array_join(F.transform(F.sequence(F.lit(1), syllables), lambda i: F.concat(draw.pick(i * 2, consonants), draw.pick(i * 2 + 1, vowels))), "")
-        return F.concat(body, draw.pick(90, consonants), F.when(kind == "given_f", feminine).otherwise(""))
+        body = F.array_join(F.transform(F.sequence(F.lit(1), syllables), lambda i: F.concat(pick(i * 2, letters["c"]), pick(i * 2 + 1, letters["v"]))), "")
+        return F.concat(body, pick(90, letters["c"]), F.when(kind == "given_f", letters["f"]).otherwise(""))
 
-    return F.when(canon.rlike(r"\p{IsCyrillic}"), made(SCRIPTS["cyrillic"])).when(canon.rlike(r"\p{IsGreek}"), made(SCRIPTS["greek"])).otherwise(made(SCRIPTS["latin"]))
+    return let(F.struct(*(of_script(k).alias(n) for k, n in enumerate("cvf"))), made)
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The surrogate of an entity at a draw, in the entity's plain form; of an address only the mailbox differs here."""
-    draw = Draw(key, kind, canon, attempt)
-    mailbox, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
+    return let(Draw.digits(key, kind, canon, attempt), lambda h: drawn(Draw(h), kind, canon, attempt))
+
+
+def drawn(draw: Draw, kind: Column, canon: Column, attempt: Column) -> Column:
+    # what of the entity is drawn: of a mailbox all, of a domain all but its last label, of a number all but what it keeps
     top = F.substring_index(canon, ".", -1)
-    inner = F.substring(canon, F.lit(1), F.length(canon) - F.length(top) - 1)
-    body = F.concat(F.substring(canon, 1, 1), like(draw, F.substring(canon, F.lit(2), F.length(canon) - 2)))
-    country, account = F.substring(canon, 1, 2), like(draw, F.substring(canon, 5, 40))
-    check = F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    free = (
+        F.when(kind == "email", F.substring_index(canon, "@", 1))
+        .when(kind == "domain", F.substring(canon, F.lit(1), F.length(canon) - F.length(top) - 1))
+        .when(kind == "iban", F.substring(canon, 5, 40))
+        .when(kind == "card", F.substring(canon, F.lit(2), F.length(canon) - 2))
+        .otherwise(F.substring(canon, 2, 20))
+    )
+
+    def finished(new: Column) -> Column:
+        country, card = F.substring(canon, 1, 2), F.concat(F.substring(canon, 1, 1), new)
+        check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+        return (
+            F.when(kind == "email", F.concat(new, grown(draw, attempt), F.lit("@"), F.substring_index(canon, "@", -1)))
+            .when(kind == "domain", F.concat(new, grown(draw, attempt), F.lit("."), top))
+            .when(kind == "iban", F.concat(country, check, new))
+            .when(kind == "card", F.concat(card, luhn_digit(card)))
+            .otherwise(F.concat((draw.at(127) % 8 + 2).cast("string"), new))
+        )
+
     return (
-        F.when(kind == "email", F.concat(like(draw, mailbox), grown(draw, attempt), F.lit("@"), domain))
-        .when(kind == "domain", F.concat(like(draw, inner), grown(draw, attempt), F.lit("."), top))
+        F.when(kind.isin("surname", "given_m", "given_f", "given_u"), name_surrogate(draw, kind, canon, attempt))
         .when(kind == "ip", F.concat_ws(".", *[(draw.at(i) % 254 + 1).cast("string") for i in range(4)]))
-        .when(kind == "iban", F.concat(country, check, account))
-        .when(kind == "card", F.concat(body, luhn_digit(body)))
-        .when(kind.isin("ssn", "phone"), F.concat((draw.at(127) % 8 + 2).cast("string"), like(draw, F.substring(canon, 2, 20))))
-        .otherwise(name_surrogate(draw, kind, canon, attempt))
+        .otherwise(let(like(draw, free), finished))
     )
 
 
@@ -220,27 +249,22 @@ def cased(new: Column, old: Column) -> Column:
 def rendered(key: str, m: Column, kind: Column, draws: Column | None) -> Column:
     """What stands for a mention. ``draws``: attempts by "kind:canon" where they aren't 0."""
 
-    def plain(kind: Column, canon: Column) -> Column:
-        attempt = F.lit(0) if draws is None else F.coalesce(F.try_element_at(draws, F.concat_ws(":", kind, canon)), F.lit(0))
-        return surrogate(key, kind, canon, attempt)
-
-    parts = name_parts(m)
-    address, domain = F.lower(m), F.lower(F.substring_index(m, "@", -1))
-    email = F.concat(F.substring_index(plain(F.lit("email"), address), "@", 1), F.lit("@"), plain(F.lit("domain"), domain))
-    title = F.regexp_extract(m, rf"^((?:{_TITLE})\.?\x20)", 1)
-
-    def part(i):
-        e = part_entity(m, parts, i)
-        return cased(plain(e["kind"], e["canon"]), parts[i])
-
-    name = F.concat(title, F.array_join(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), part), " "))
-    return (
-        F.when(kind.isNull(), m)
-        .when(kind == "email", F.when(m == F.upper(m), F.upper(email)).otherwise(email))
-        .when(kind == "name", name)
-        .when(kind == "ip", plain(kind, m))
-        .otherwise(in_format(m, plain(kind, number_of(kind, m))))
-    )
+    def plain(e: Column) -> Column:
+        attempt = F.lit(0) if draws is None else F.coalesce(F.try_element_at(draws, F.concat_ws(":", e["kind"], e["canon"])), F.lit(0))
+        return surrogate(key, e["kind"], e["canon"], attempt)
+
+    def put(new: Column) -> Column:
+        email = F.concat(F.substring_index(new[0], "@", 1), F.lit("@"), F.get(new, F.lit(1)))
+        title = F.regexp_extract(m, rf"^((?:{_TITLE})\.?\x20)", 1)
+        name = F.concat(title, F.array_join(F.zip_with(new, name_parts(m), cased), " "))
+        return (
+            F.when(kind == "email", F.when(m == F.upper(m), F.upper(email)).otherwise(email))
+            .when(kind == "name", name)
+            .when(kind == "ip", new[0])
+            .otherwise(in_format(m, new[0]))
+        )
+
+    return F.when(kind.isNull(), m).otherwise(let(F.transform(entities_of(m, kind), plain), put))
 
 
 def found_in(text: Column) -> Column:
