@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, fold, written
 
 FOLDS, HELD, MASS, STEPS = 7, 2, 300.0, 1024
-SHARD_TOKENS, BATCH_TOKENS, SHARE = 4_000_000, 6_000_000, 2_048
+SHARD_TOKENS, BATCH_TOKENS, SHARE = 2_000_000, 6_000_000, 2_048
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line feed
 
 
