@@ -155,10 +155,11 @@ def test_grammar_finds_a_credential_without_its_key_word(spark):
 
     draw = random.Random(3)
     key = lambda: "".join(draw.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(24))
-    rows = [(i, f"some plain words here then password={key()} and internationalisation of heterogeneous_things") for i in range(60)]
-    rows.append((99, f"bearer {key()} and internationalisation of heterogeneous_things"))
+    plain = lambda: "".join(draw.choice(("inter", "nation", "ali", "sation", "hetero", "gene", "ous")) for _ in range(5))
+    rows = [(i, f"some plain words here then password={key()} and {plain()} of {plain()}") for i in range(200)]
+    rows.append((999, f"bearer {key()} and internationalisation of heterogeneous_things"))
     got = {r["doc_id"]: r for r in rows_of(secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")))}
-    assert got[99]["n_grammar"] == 1 and all(r["n_grammar"] == 0 for i, r in got.items() if i < 99)
+    assert got[999]["n_grammar"] == 1 and all(r["n_grammar"] == 0 for i, r in got.items() if i < 999)
 
 
 def brute_lm(docs):
