@@ -3,9 +3,10 @@
 A document's set is its distinct five-word shingles, as 64-bit hashes. One permutation deals the set into ``BINS`` bins;
 an empty bin borrows from the first filled bin in an order of its own (optimal densification), so that two documents
 borrow alike. Bins form ``BANDS`` bands of ``ROWS``; equal bands share a bucket. Of a bucket only a star is emitted: every
-member with the smallest id. Star edges are confirmed on the full sets. Members of a bucket that the first centre did
-not bring into one component get further centres until the bucket is settled, so that a star loses no link that its
-bucket holds; there is no cap on bucket sizes.
+member with the smallest id. Star edges are confirmed on the full sets. Buckets that this did not bring into one component get
+further centres, four times as many in each round (members whose hash falls under a share), for members of other components only,
+until the bucket is settled or every member was a centre; so a star loses no link that its bucket holds, and there is no
+cap on bucket sizes.
 
 Documents with equal sets are first collapsed to one representative each, so that groups of exact copies, however
 large, cost one row.
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Memo, arrow_map, documents, written
 
 WORDS, SIMILARITY = 5, 85
-BANDS, ROWS = 64, 8
+#: A pair at the limit shares no bucket with probability (1 - 0.85 ** 12) ** 96 = 4e-7.
+BANDS, ROWS = 96, 12
 BINS = BANDS * ROWS
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,24 +59,40 @@ def word_hashes() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
 
-def borrow_order() -> np.ndarray:
-    """rank[i, j]: when empty bin i tries bin j."""
+def borrow_order() -> tuple[np.ndarray, np.ndarray]:
+    """order[i, k]: the k-th bin that empty bin i tries; rank[i, j]: when it tries bin j."""
     order = np.random.default_rng(20240229).permuted(np.tile(np.arange(BINS, dtype=np.uint16), (BINS, 1)), axis=1)
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.tile(np.arange(BINS, dtype=np.uint16), (BINS, 1)), axis=1)
-    return rank
+    return order, rank
 
 
-def bands(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def lenders(filled: np.ndarray, empty: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For every empty bin the first filled one in its order."""
+    if len(filled) < 32:
+        return filled[rank[np.ix_(empty, filled)].argmin(axis=1)]
+    full, out, todo, k = np.zeros(BINS, bool), np.empty(len(empty), np.int64), np.arange(len(empty)), 0
+    full[filled] = True
+    while len(todo):
+        tried = order[empty[todo], k]
+        hit = full[tried]
+        out[todo[hit]] = tried[hit]
+        todo, k = todo[~hit], k + 1
+    return out
+
+
+def bands(s: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The band hashes of a sorted set."""
-    bins = (s >> _SHIFT).astype(np.int64)
+    bins = ((s >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)  # ascending with s
     first = np.flatnonzero(np.diff(bins, prepend=-1))  # in a bin the smallest comes first
     filled = bins[first]
     sig = np.zeros(BINS, np.uint64)
     sig[filled] = s[first]
     if len(filled) < BINS:
-        empty = np.setdiff1d(np.arange(BINS), filled, assume_unique=True)
-        sig[empty] = sig[filled[rank[np.ix_(empty, filled)].argmin(axis=1)]]
+        is_empty = np.ones(BINS, bool)
+        is_empty[filled] = False
+        empty = np.flatnonzero(is_empty)
+        sig[empty] = sig[lenders(filled, empty, order, rank)]
     rows = sig.reshape(BANDS, ROWS)
     acc = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
@@ -87,7 +104,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key and the bands of every row."""
 
     def make():
-        hashes, rank = word_hashes(), borrow_order()
+        hashes, tables = word_hashes(), borrow_order()
 
         def step(doc_id, text):
             n, keys, out = [], [], []
@@ -95,7 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingles(t, hashes)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                out.append(bands(s, rank) if len(s) else np.empty(0, np.int64))
+                out.append(bands(s, *tables) if len(s) else np.empty(0, np.int64))
             ends = np.cumsum([0] + [len(x) for x in out])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
             return {"doc_id": pa.array(doc_id, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "set_key": pa.array(keys, pa.binary()), "bands": lists}
@@ -168,28 +185,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
-    """Confirmed links (id, centre) between representatives, by rounds of stars. ``reps``: id, n, bands."""
+    """Components (id, root) of the representatives that have links, by rounds of stars. ``reps``: id, n, bands."""
     rows = reps.select("id", "n", F.explode("bands").alias("band"))
     stars = rows.groupBy("band").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(rows.join(stars.select("band", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "band").where("id <> centre"), "near-members")
     near = f"100 * least(n, cn) >= {similarity} * greatest(n, cn)"
-    found, tried = None, None
+    # only buckets of several members go on
+    members = written(rows.join(stars.select("band", "size", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "band"), "near-members")
+    pairs = members.where("id <> centre").where(near).select("id", "centre").distinct()
+    tried = written(pairs, "near-pairs")
+    found = written(confirmed(tried, docs, similarity), "near-links")
+    open_, centres = members.select("band", "id", "n", "size"), 1
     while True:
-        pairs = members.where(near).select("id", "centre").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["id", "centre"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        more = written(confirmed(pairs, docs, similarity), "near-links")
-        found = more if found is None else found.unionByName(more)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = components(found)
-        # a bucket is settled once all members that were no centre yet are in one component
-        label = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
-        label = written(label, "near-label")
-        open_ = label.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("id", "n")).alias("c")).where("a < b")
-        members = written(label.join(open_.select("band", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "band").where("id <> centre").select("band", "id", "n", "centre", "cn"), "near-members")
-        if members.isEmpty():
-            return found
+        roots = components(found).withColumnRenamed("node", "id")
+        label = open_.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        unsettled = label.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("size").alias("size")).where(f"a < b AND size > {centres}")
+        open_ = written(label.drop("size").join(unsettled.select("band", "size"), "band"), "near-open")
+        if open_.isEmpty():
+            return roots
+        centres *= 4
+        chosen = open_.where(f"pmod(xxhash64(id), size) < {centres}").select("band", F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("root").alias("cr"))
+        pairs = open_.join(chosen, "band").where("root <> cr").where(near).selectExpr("greatest(id, centre) AS id", "least(id, centre) AS centre").distinct()
+        pairs = written(pairs.join(tried, ["id", "centre"], "left_anti"), "near-pairs")
+        tried = tried.unionByName(pairs)
+        found = found.unionByName(written(confirmed(pairs, docs, similarity), "near-links"))
+        open_ = open_.drop("root")
 
 
 def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -198,8 +217,8 @@ def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     groups = written(sigs.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "near-groups")
     of = written(sigs.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "near-reps")
     reps = sigs.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands").join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    roots = components(links(docs, reps, similarity))
-    out = of.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    roots = links(docs, reps, similarity)
+    out = of.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
