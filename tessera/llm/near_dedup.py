@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Memo, arrow_map, documents, written
 
 WORDS, SIMILARITY = 5, 85
-#: A pair at the limit shares no bucket with probability (1 - 0.85 ** 12) ** 96 = 4e-7.
-BANDS, ROWS = 96, 12
+#: A pair at the limit shares no bucket with probability (1 - 0.85 ** 10) ** 64 = 8e-7.
+BANDS, ROWS = 64, 10
 BINS = BANDS * ROWS
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,7 +139,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """The pairs (id, centre) whose full sets are similar enough."""
-    ids = pairs.select("id").union(pairs.select(F.col("centre").alias("id"))).distinct()
+    # written, so that its size is known: few enough are broadcast, and texts stay where they are
+    ids = written(pairs.select("id").union(pairs.select(F.col("centre").alias("id"))).distinct(), "near-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
     sets = written(shingle_sets(texts), "near-sets")
     both = pairs.select("id", "centre").join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("s").alias("t")), "centre")
@@ -186,7 +187,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     """Components (id, root) of the representatives that have links, by rounds of stars. ``reps``: id, n, bands."""
-    rows = reps.select("id", "n", F.explode("bands").alias("band"))
+    # dealt by bucket once, for both uses; a document's buckets lie apart, so that copies of one text spread over all tasks
+    rows = reps.select("id", "n", F.explode("bands").alias("band")).repartition("band")
     stars = rows.groupBy("band").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
     near = f"100 * least(n, cn) >= {similarity} * greatest(n, cn)"
     # only buckets of several members go on
