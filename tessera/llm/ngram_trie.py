@@ -222,7 +222,7 @@ def frequent(docs: DataFrame) -> tuple[int, dict[int, int]]:
                 total += int(times.sum())
                 for w, n in zip(word.tolist(), times.tolist()):
                     seen[w] = seen.get(w, 0) + n
-                if len(seen) > 400_000:  # rare ones so far may go: what counts is a large share
+                if len(seen) > 150_000:  # rare ones so far may go: what counts is a large share
                     seen = {w: n for w, n in seen.items() if n * SHARE * 4 >= total}
         top = [(w, n) for w, n in seen.items() if n * SHARE >= total]
         yield pa.RecordBatch.from_arrays([pa.array([None, *(np.uint64(w).view(np.int64).item() for w, _ in top)], pa.int64()), pa.array([total, *(n for _, n in top)], pa.int64())], names=["word", "n"])
@@ -247,27 +247,27 @@ def route(docs: DataFrame, shards: int, split: dict[int, int]) -> DataFrame:
         def flush():
             batch = part << 24 | number
             n = np.array([len(t) for t in texts], np.int64)
-            word = np.concatenate(texts)
-            before = np.empty_like(word)
-            before[1:] = word[:-1]
-            before[np.cumsum(n) - n] = END
-            owner = np.repeat(np.arange(len(texts), dtype=np.int32), n)
-            place = word.copy()
+            word = np.concatenate([np.array([END], np.uint64), *texts])  # word[i] stands before word[i + 1]: each text ends with END
+            texts.clear()
+            owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            place = word[1:].copy()
             if len(hot):
-                k = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
-                is_hot = hot[k] == word
-                place[is_hot] += (before[is_hot] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % ways[k[is_hot]]
+                is_hot = np.flatnonzero(np.isin(place, hot))
+                k = np.searchsorted(hot, place[is_hot])
+                place[is_hot] += (word[is_hot] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % ways[k]
             shard = (place % np.uint64(shards)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
+            del place
+            order = np.argsort(shard, kind="stable").astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+            del shard
             got = [(batch, -1 - part, pack(n, np.array(held, np.uint8), np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64)))]
             for s in range(shards):
                 o = order[ends[s] : ends[s + 1]]
                 if len(o):
-                    (uw, iw), (ub, ib) = (np.unique(x[o], return_inverse=True) for x in (word, before))
+                    (uw, iw), (ub, ib) = (np.unique(word[x], return_inverse=True) for x in (o + 1, o))
                     own = owner[o]
                     got.append((batch, s, pack(uw, iw.astype(np.int32), ub, ib.astype(np.int32), np.diff(own, prepend=0), np.array(held, np.uint8))))
-            ids.clear(), held.clear(), texts.clear()
+            ids.clear(), held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.int64(), pa.int32(), pa.binary()))], names=["batch", "shard", "data"])
 
         for rows in batches:
