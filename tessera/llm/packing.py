@@ -21,6 +21,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +30,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, documents, written
+from tessera.llm.common import documents, written
 
 CAPACITY, END, GROUPS = 1024, 2, 96
 #: A blank inside a run of white space: there, words can't be tokenised one by one.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 
 
-def token_bytes(path: str):
-    """A function from a text to its ids as little-endian 32-bit numbers.
+@lru_cache(2)
+def token_bytes(path: str, most: int = 500_000):
+    """A function from texts to their ids as little-endian 32-bit numbers, one object a worker.
 
-    A blank after a word always begins the next pre-token, so that texts are tokenised word by word with a memo.
+    A blank after a word always begins the next pre-token, so that texts are tokenised word by word; up to ``most`` words
+    are remembered, and those that a list of texts brings anew are tokenised together.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    known: dict[str, bytes] = {}
 
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    spaced, first = Memo(lambda w: whole(" " + w)), Memo(whole, 20_000)
-
-    def encode(text: str) -> bytes:
-        if _RUN.search(text):
-            return whole(text)
-        words = text.split(" ")
-        return first[words[0]] + b"".join([spaced[w] for w in words[1:]])
+    def encode(texts: list[str]) -> list[bytes]:
+        # a word after a blank is known by the blank and itself, a first word by itself
+        words = [None if _RUN.search(t) else [w if k == 0 else " " + w for k, w in enumerate(t.split(" "))] for t in texts]
+        if len(known) > most:
+            known.clear()
+        new = list({w for ws in words if ws for w in ws if w not in known})
+        known.update(zip(new, ids(new)))
+        whole = iter(ids([t for t, ws in zip(texts, words) if ws is None]))
+        return [next(whole) if ws is None else b"".join([known[w] for w in ws]) for ws in words]
 
     return encode
 
@@ -73,8 +80,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(encode(text or "") + end)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            encoded = chain.from_iterable(encode(texts[at : at + 500]) for at in range(0, len(texts), 500))
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoded):
+                ids = memoryview(got + end)
                 n = len(ids) // 4
                 start, to = 0, n % capacity or min(n, capacity)
                 for piece in range(-(-n // capacity)):
