@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, fold, written
 
 FOLDS, HELD, MASS, STEPS = 7, 2, 300.0, 1024
-SHARD_TOKENS, BATCH_TOKENS, SHARE = 2_000_000, 6_000_000, 2_048
+SHARD_TOKENS, BATCH_TOKENS, SHARE = 1_000_000, 6_000_000, 2_048
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line feed
 
 
@@ -327,8 +327,8 @@ def hot_counts(table: DataFrame, split: dict[int, int]) -> tuple[dict[int, int],
 
     def look(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                uw, counts = unpack(data)[:2]
+            for data in batch.column(0):
+                uw, counts = unpack(data.as_py())[:2]
                 at = np.isin(uw, hot)
                 yield pa.RecordBatch.from_arrays([pa.array(uw[at].view(np.int64)), pa.array(counts[at])], names=["word", "n"])
 
@@ -345,31 +345,34 @@ def scores(table: DataFrame, train: int, known: int, hot: dict[int, int]) -> Dat
     hot_words = np.array(sorted(np.array(list(hot), np.int64).view(np.uint64).tolist()), np.uint64)
     hot_n = np.array([hot[h.view(np.int64).item()] for h in hot_words], np.int64)
 
+    def shard(data: bytes) -> pa.RecordBatch:
+        uw, counts, children, ub, ib, pairs, occurrences, owner, batch_of = unpack(data)
+        counts = counts.copy()
+        if len(hot_words):
+            k = np.minimum(np.searchsorted(hot_words, uw), len(hot_words) - 1)
+            counts = np.where(hot_words[k] == uw, hot_n[k], counts)
+        seen, in_training = pairs > 0, counts > 0
+        per_word = np.add.reduceat(seen, np.cumsum(children) - children)
+        trie = Trie(uw[in_training], counts[in_training], per_word[in_training], ub[ib[seen]], pairs[seen], 1.0, total)
+        node = trie.find(uw)
+        c = np.where(node >= 0, trie.counts[np.maximum(node, 0)], 0) if trie.words.n else np.zeros(len(uw), np.int64)
+        context = np.where(node >= 0, trie.as_context[np.maximum(node, 0)] / STEPS, -np.log10(MASS)) if trie.words.n else np.full(len(uw), -np.log10(MASS))
+        value = trie.pair(np.repeat(node, children), ub[ib]) + np.repeat(context, children)
+        base, is_known = np.repeat(np.log10(c + 1.0), children), np.repeat(node >= 0, children)
+        order = np.argsort(owner, kind="stable")
+        pair = np.repeat(np.arange(len(occurrences), dtype=np.int32), occurrences)[order]
+        docs = owner[order]
+        new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+        sums = [np.add.reduceat(x[pair], new) for x in (base, value, is_known.astype(np.int32))]
+        docs = docs[new]
+        ends = np.searchsorted(docs >> 20, np.arange(len(batch_of) + 1))
+        out = [(b, pack((docs[i:j] & 0xFFFFF).astype(np.int32), *(x[i:j] for x in sums))) for b, i, j in zip(batch_of.tolist(), ends[:-1], ends[1:]) if j > i]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], names=["batch", "data"])
+
     def score(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                uw, counts, children, ub, ib, pairs, occurrences, owner, batch_of = unpack(data)
-                counts = counts.copy()
-                if len(hot_words):
-                    k = np.minimum(np.searchsorted(hot_words, uw), len(hot_words) - 1)
-                    counts = np.where(hot_words[k] == uw, hot_n[k], counts)
-                seen, in_training = pairs > 0, counts > 0
-                per_word = np.add.reduceat(seen, np.cumsum(children) - children)
-                trie = Trie(uw[in_training], counts[in_training], per_word[in_training], ub[ib[seen]], pairs[seen], 1.0, total)
-                node = trie.find(uw)
-                c = np.where(node >= 0, trie.counts[np.maximum(node, 0)], 0) if trie.words.n else np.zeros(len(uw), np.int64)
-                context = np.where(node >= 0, trie.as_context[np.maximum(node, 0)] / STEPS, -np.log10(MASS)) if trie.words.n else np.full(len(uw), -np.log10(MASS))
-                value = trie.pair(np.repeat(node, children), ub[ib]) + np.repeat(context, children)
-                base, is_known = np.repeat(np.log10(c + 1.0), children), np.repeat(node >= 0, children)
-                order = np.argsort(owner, kind="stable")
-                pair = np.repeat(np.arange(len(occurrences), dtype=np.int32), occurrences)[order]
-                docs = owner[order]
-                new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-                sums = [np.add.reduceat(x[pair], new) for x in (base, value, is_known.astype(np.int32))]
-                docs = docs[new]
-                ends = np.searchsorted(docs >> 20, np.arange(len(batch_of) + 1))
-                out = [(b, pack((docs[i:j] & 0xFFFFF).astype(np.int32), *(x[i:j] for x in sums))) for b, i, j in zip(batch_of.tolist(), ends[:-1], ends[1:]) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], names=["batch", "data"])
+            for data in batch.column(0):  # one shard's arrays at a time: those of the one before are gone
+                yield shard(data.as_py())
 
     return table.where("shard >= 0").select("data").mapInArrow(score, "batch long, data binary")
 
