@@ -19,3 +19,14 @@ def slug(text: Column, most: int = 100) -> Column:
 def keywords(text: Column, least: int = 4) -> Column:
     """The distinct lower-case words of at least ``least`` characters, in order."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: F.length(w) >= least))
+
+
+def canonical_url(url: Column) -> Column:
+    """Lower case, without the query string."""
+    return F.lower(F.split_part(url, F.lit("?"), F.lit(1)))
+
+
+def duration(seconds: Column) -> Column:
+    """Whole seconds as ``3m 05s``, under a minute as ``5s``."""
+    s = seconds.cast("long")
+    return F.when(s >= 60, F.format_string("%dm %02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))

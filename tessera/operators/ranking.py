@@ -51,3 +51,16 @@ def nearest(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     scored = pairs.select("query_id", "vec_id", F.round(dot, 6).alias("similarity"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def gaussian(value: Column, target: float, sigma: float) -> Column:
+    """1 at the target, falling with the square of the distance."""
+    return F.exp(-((value - target) * (value - target)) / (2 * sigma * sigma))
+
+
+def interpolate(x: Column, points: list[tuple[float, float]]) -> Column:
+    """Piecewise linear through ascending points, constant beyond both ends; null stays null."""
+    out = F.when(x.isNull(), F.lit(None)).when(x <= points[0][0], float(points[0][1]))
+    for (x1, y1), (x2, y2) in zip(points, points[1:]):
+        out = out.when(x <= x2, y1 + (x - x1) * ((y2 - y1) / (x2 - x1)))
+    return out.otherwise(float(points[-1][1]))
