@@ -12,7 +12,7 @@ queried by successor search in the range that a word's pointers give.
 
 A text's score is the sum over tokens of log10(c(v w) + MASS * p(w)), known where w is, and of -log10(c(v) + MASS), known where v is. Every token
 is once predicted and once stands before another, so that each shard adds up what it knows by document and only these sums are
-sent back. Words with much of all tokens (found in a first pass) are dealt over several shards by the word before them;
+sent back, as whole numbers. Words with much of all tokens (found in a first pass) are dealt over several shards by the word before them;
 the number of shards follows the number of tokens.
 
 Words are known by 64-bit hashes. Nothing is pruned or capped. Memory a task: some 60 bytes for each of ``SHARD_TOKENS`` tokens.
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, fold, written
 
 FOLDS, HELD, MASS, STEPS = 7, 2, 300.0, 1024
-SHARD_TOKENS, BATCH_TOKENS, SHARE = 1_000_000, 6_000_000, 2_048
+SHARD_TOKENS, BATCH_TOKENS, SHARE = 1_500_000, 6_000_000, 2_048
+BASE_STEPS = 1 << 32  # base scores travel as whole numbers of these
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line feed
 
 
@@ -357,13 +358,14 @@ def scores(table: DataFrame, train: int, known: int, hot: dict[int, int]) -> Dat
         node = trie.find(uw)
         c = np.where(node >= 0, trie.counts[np.maximum(node, 0)], 0) if trie.words.n else np.zeros(len(uw), np.int64)
         context = np.where(node >= 0, trie.as_context[np.maximum(node, 0)] / STEPS, -np.log10(MASS)) if trie.words.n else np.full(len(uw), -np.log10(MASS))
-        value = trie.pair(np.repeat(node, children), ub[ib]) + np.repeat(context, children)
-        base, is_known = np.repeat(np.log10(c + 1.0), children), np.repeat(node >= 0, children)
+        loss = trie.pair(np.repeat(node, children), ub[ib]) + np.repeat(context, children)
+        loss = np.round(-loss * STEPS).astype(np.int64)  # not negative: c(v w) is at most c(w)
+        base, is_known = np.repeat(np.round(np.log10(c + 1.0) * BASE_STEPS).astype(np.int64), children), np.repeat(node >= 0, children)
         order = np.argsort(owner, kind="stable")
         pair = np.repeat(np.arange(len(occurrences), dtype=np.int32), occurrences)[order]
         docs = owner[order]
         new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-        sums = [np.add.reduceat(x[pair], new) for x in (base, value, is_known.astype(np.int32))]
+        sums = [np.add.reduceat(x[pair], new) for x in (base, loss, is_known.astype(np.int32))]
         docs = docs[new]
         ends = np.searchsorted(docs >> 20, np.arange(len(batch_of) + 1))
         out = [(b, pack((docs[i:j] & 0xFFFFF).astype(np.int32), *(x[i:j] for x in sums))) for b, i, j in zip(batch_of.tolist(), ends[:-1], ends[1:]) if j > i]
@@ -386,14 +388,14 @@ def gather(train: int, known: int):
     def add(rows: pa.Table) -> pa.Table:
         docs = next(d for d, k in zip(rows.column("data").to_pylist(), rows.column("docs").to_pylist()) if k)
         n, held, null, ids = unpack(docs)
-        base, value, is_known = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), np.int64)
+        base, loss, is_known = (np.zeros(len(n), np.int64) for _ in range(3))
         for data, k in sorted(zip(rows.column("data").to_pylist(), rows.column("docs").to_pylist())):
             if not k:
-                at, b, v, c = unpack(data)
+                at, b, x, c = unpack(data)
                 base[at] += b
-                value[at] += v
+                loss[at] += x
                 is_known[at] += c
-        columns = [pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(n), pa.array(is_known), pa.array(np.full(len(n), train)), pa.array(base - n * constant), pa.array(value)]
+        columns = [pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(n), pa.array(is_known), pa.array(np.full(len(n), train)), pa.array(base / BASE_STEPS - n * constant), pa.array(-loss / STEPS)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return add
