@@ -189,14 +189,14 @@ def w13(spark, d):
     return orders.join(least, "o_custkey").where("o_totalprice >= least").select("o_custkey", "o_orderkey")
 
 
-@query("w15_rescaled", """WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_quantity * CASE l_returnflag WHEN 'R' THEN 0.82 WHEN 'N' THEN 1.0 ELSE 1.22 END AS x FROM lineitem)
-  SELECT l_orderkey, l_linenumber, round(x * sum(q) OVER (PARTITION BY l_orderkey) / sum(x) OVER (PARTITION BY l_orderkey), 4) AS scaled FROM m""")
+@query("w15_rescaled", """WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_quantity * CASE l_returnflag WHEN 'R' THEN 82 WHEN 'N' THEN 100 ELSE 122 END AS x FROM lineitem)
+  SELECT l_orderkey, l_linenumber, x * sum(q) OVER (PARTITION BY l_orderkey) / sum(x) OVER (PARTITION BY l_orderkey) AS scaled FROM m""")
 def w15(spark, d):
-    """Weighted parts that keep the sum of their group."""
-    weight = F.when(F.col("l_returnflag") == "R", 0.82).when(F.col("l_returnflag") == "N", 1.0).otherwise(1.22)
+    """Weighted parts that keep the sum of their group; weights in hundredths, so that sums of whole quantities are exact in any order."""
+    weight = F.when(F.col("l_returnflag") == "R", 82).when(F.col("l_returnflag") == "N", 100).otherwise(122)
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), (F.col("l_quantity") * weight).alias("x"))
     group = Window.partitionBy("l_orderkey")
-    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("x") * F.sum("q").over(group) / F.sum("x").over(group), 4).alias("scaled"))
+    return rows.select("l_orderkey", "l_linenumber", (F.col("x") * F.sum("q").over(group) / F.sum("x").over(group)).alias("scaled"))
 
 
 @query("r02_gaussian_fit", "SELECT p_partkey, round(exp(-((p_size - 25.0) * (p_size - 25.0)) / 1800), 6) AS fit FROM part")
