@@ -11,7 +11,8 @@ the retained content as the group's size asks for. Nothing is dropped or capped.
 ``state`` folder a later call adds its rows to what is known.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; white space runs count as one space;
-a repeated doc_id is a row like any other (each of the rows is returned); an empty table gives no rows; extra columns,
+a repeated doc_id is a row like any other (each of the rows is returned); a null doc_id comes after all others, so that such a
+row is retained only where no row of its group has an id (keep_id is null there); an empty table gives no rows; extra columns,
 also such named like the results, are ignored.
 """
 
@@ -36,11 +37,14 @@ def digest(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
+def first_row(id_: str) -> Column:
+    """The row with the smallest id as a struct; rows without an id come last."""
+    return F.min(F.struct(F.col(id_).isNull().alias("no_id"), id_, "locator"))
+
+
 def fold_stream(log: DataFrame, spark: SparkSession, state: str, out: str) -> None:
     """Runs the stream over all of ``log`` that is new to ``state``; each micro-batch writes the digests it changed to ``out``."""
-    groups = log.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("group_size")
-    )
+    groups = log.groupBy("digest").agg(first_row("doc_id").alias("first"), F.count(F.lit(1)).alias("group_size"))
 
     def sink(rows: DataFrame, batch: int) -> None:
         rows.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.locator").alias("locator"), "group_size").write.mode(
@@ -72,9 +76,7 @@ def digest_groups(log_path: str, spark: SparkSession, schema, state: str | None
             raise
         return spark.createDataFrame([], "digest string, keep_id long, locator string, group_size long")
     # counts only rise and identifiers only fall, so the last change of a digest is the extreme one
-    return changes.groupBy("digest").agg(
-        F.min(F.struct("keep_id", "locator")).alias("k"), F.max("group_size").alias("group_size")
-    ).select("digest", "k.keep_id", "k.locator", "group_size")
+    return changes.groupBy("digest").agg(first_row("keep_id").alias("k"), F.max("group_size").alias("group_size")).select("digest", "k.keep_id", "k.locator", "group_size")
 
 
 def with_locator(docs: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def dedup_located(docs: DataFrame, digest_of=digest, rows_a_salt: int = ROWS_A_S
         return plain.drop("digest")
     # contents that share a digest: these few digests are grouped by content
     by_text = hit_texts.join(differing, "digest", "left_semi").join(log.select("locator", "doc_id", "text_sha256"), "locator")
-    firsts = by_text.groupBy("digest", "norm").agg(F.min(F.struct("doc_id", "locator")).alias("k"), F.count(F.lit(1)).alias("group_size"))
+    firsts = by_text.groupBy("digest", "norm").agg(first_row("doc_id").alias("k"), F.count(F.lit(1)).alias("group_size"))
     apart = by_text.drop("group_size").join(firsts, ["digest", "norm"]).select(
         "doc_id", F.col("k.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("k.locator")).alias("kept"), "text_sha256", "locator"
     )

@@ -12,21 +12,25 @@ Documents with equal sets are first collapsed to one representative each, so tha
 large, cost one row.
 
 Defined cases: a null text counts as empty; a text without words has an empty set and is linked with nothing; fewer words
-than five make one shingle of the whole sequence; a repeated doc_id counts once in components; an empty table gives no
-rows; extra columns are ignored.
+than five make one shingle of the whole sequence; rows are told apart by their place, so that a repeated or null doc_id is a
+row like any other; component_id is the smallest doc_id of the component, null where no row of it has one; exactly one row of
+a component is kept, one with that doc_id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, arrow_map, documents, written
+from tessera.llm.exact_dedup import with_locator
 
 WORDS, SIMILARITY = 5, 85
 #: A pair at the limit shares no bucket with probability (1 - 0.85 ** 10) ** 64 = 8e-7.
@@ -101,12 +105,12 @@ def bands(s: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key and the bands of every row."""
+    """row (a number of its own), doc_id, locator, n_shingles, set_key and the bands of every row."""
 
     def make():
-        hashes, tables = word_hashes(), borrow_order()
+        hashes, tables, numbers = word_hashes(), borrow_order(), count(TaskContext.get().partitionId() << 33)
 
-        def step(doc_id, text):
+        def step(doc_id, text, locator):
             n, keys, out = [], [], []
             for t in text:
                 s = shingles(t, hashes)
@@ -115,11 +119,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 out.append(bands(s, *tables) if len(s) else np.empty(0, np.int64))
             ends = np.cumsum([0] + [len(x) for x in out])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
-            return {"doc_id": pa.array(doc_id, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "set_key": pa.array(keys, pa.binary()), "bands": lists}
+            rows = [next(numbers) for _ in text]
+            return {"row": pa.array(rows, pa.int64()), "doc_id": pa.array(doc_id, pa.int64()), "locator": pa.array(locator, pa.string()), "n_shingles": pa.array(n, pa.int64()), "set_key": pa.array(keys, pa.binary()), "bands": lists}
 
         return step
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return arrow_map(docs.select("doc_id", "text", "locator"), make, "row long, doc_id long, locator string, n_shingles long, set_key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -137,11 +142,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, make, "id long, s array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (id, centre) whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, docs: DataFrame, places: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (id, centre) whose full sets are similar enough. ``places``: the locators of ids."""
     # written, so that its size is known: few enough are broadcast, and texts stay where they are
-    ids = written(pairs.select("id").union(pairs.select(F.col("centre").alias("id"))).distinct(), "near-ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    ids = written(pairs.select("id").union(pairs.select(F.col("centre").alias("id"))).distinct().join(places, "id"), "near-ids")
+    texts = docs.select("locator", "text").join(ids, "locator").select("id", "text")
     sets = written(shingle_sets(texts), "near-sets")
     both = pairs.select("id", "centre").join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("s").alias("t")), "centre")
 
@@ -185,7 +190,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = written(labels.join(hooks, F.col("root") == F.col("k"), "left").select("node", F.coalesce("r", "root").alias("root")), "near-labels")
 
 
-def links(docs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, places: DataFrame, similarity: int) -> DataFrame:
     """Components (id, root) of the representatives that have links, by rounds of stars. ``reps``: id, n, bands."""
     # dealt by bucket once, for both uses; a document's buckets lie apart, so that copies of one text spread over all tasks
     rows = reps.select("id", "n", F.explode("bands").alias("band")).repartition("band")
@@ -195,7 +200,7 @@ def links(docs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     members = written(rows.join(stars.select("band", "size", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "band"), "near-members")
     pairs = members.where("id <> centre").where(near).select("id", "centre").distinct()
     tried = written(pairs, "near-pairs")
-    found = written(confirmed(tried, docs, similarity), "near-links")
+    found = written(confirmed(tried, docs, places, similarity), "near-links")
     open_, centres = members.select("band", "id", "n", "size"), 1
     while True:
         roots = components(found).withColumnRenamed("node", "id")
@@ -209,19 +214,30 @@ def links(docs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
         pairs = open_.join(chosen, "band").where("root <> cr").where(near).selectExpr("greatest(id, centre) AS id", "least(id, centre) AS centre").distinct()
         pairs = written(pairs.join(tried, ["id", "centre"], "left_anti"), "near-pairs")
         tried = tried.unionByName(pairs)
-        found = found.unionByName(written(confirmed(pairs, docs, similarity), "near-links"))
+        found = found.unionByName(written(confirmed(pairs, docs, places, similarity), "near-links"))
         open_ = open_.drop("root")
 
 
 def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    return near_located(with_locator(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), similarity).drop("locator")
+
+
+def near_located(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The result of near_dedup and the rows' locators, for rows (doc_id, text, locator)."""
     sigs = written(signatures(docs), "near-signatures")
-    groups = written(sigs.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "near-groups")
-    of = written(sigs.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "near-reps")
-    reps = sigs.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands").join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    roots = links(docs, reps, similarity)
-    out = of.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    groups = written(sigs.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("rep")), "near-groups")
+    of = written(sigs.drop("bands").join(groups, "set_key", "left").select("row", "doc_id", "locator", "n_shingles", F.coalesce("rep", "row").alias("rep")), "near-reps")
+    reps = sigs.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "bands").join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
+    roots = links(docs, reps, sigs.select(F.col("row").alias("id"), "locator"), similarity)
+    rows = of.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("row", "doc_id", "locator", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    rows = written(rows, "near-rows")
+    # of components with several rows, the first: the smallest id, rows without one last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    firsts = written(rows.groupBy("root").agg(first.alias("k"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", "k"), "near-firsts")
+    component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("k.doc_id"))
+    kept = F.coalesce(F.col("row") == F.col("k.row"), F.lit(True))
+    return rows.join(firsts, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "locator")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,5 +246,6 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group, with the columns of ``docs``."""
-    kept = near_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    located = with_locator(docs)
+    kept = near_located(located.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "locator")).where("kept").select("locator")
+    return located.join(kept, "locator", "left_semi").select(docs.columns)

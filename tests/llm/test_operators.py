@@ -324,3 +324,31 @@ def test_pipeline_equals_its_stages_by_hand(spark, small):
     near = brute_near(first.values())
     want = {i for i, (_, c) in near.items() if i == c}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, small).select("doc_id").distinct().collect()} == want
+
+
+NULL_IDS = [(None, "the same five words here"), (5, "the same five words here"), (None, "alone without any id"), (None, "alone without any id"), (7, "two texts of one id"), (7, "and the other one of them")]
+
+
+def test_rows_without_an_id_are_kept_once_a_group(spark, edge, small):
+    docs = spark.createDataFrame(NULL_IDS, "doc_id long, text string")
+    left = Counter([(5, NULL_IDS[0][1]), NULL_IDS[2], *NULL_IDS[4:]])
+    for stage in (exact_dedup.keep_first, near_dedup.keep_one):
+        assert Counter(tuple(r) for r in stage(spark, docs, small).collect()) == left
+    assert {r["keep_id"] for r in rows_of(exact_dedup.exact_dedup(docs.limit(2)))} == {5}
+    assert {r["component_id"] for r in rows_of(near_dedup.near_dedup(docs.limit(2)))} == {5}
+    groups = defaultdict(list)
+    for r in edge.collect():
+        groups[norm(r["text"])].append(r["doc_id"])
+    want = Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
+    assert Counter(r["doc_id"] for r in exact_dedup.keep_first(spark, edge, small).collect()) == want
+    # of the texts with words, 4 to 7 and 12 hold the same ones, and so nearly do 8 and 9
+    assert Counter(r["doc_id"] for r in near_dedup.keep_one(spark, edge, small).collect()) == Counter([1, 2, 3, 4, 8, 10, 11, None])
+
+
+def test_pipeline_keeps_rows_without_an_id(spark, edge, tmp_path):
+    import corpus_pipeline
+
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").collect()]
+    assert Counter(got) == Counter([1, 3, 4, 8, 10, 11, None])
