@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, written
 
 CAPACITY, END, GROUPS = 1024, 2, 96
-#: A blank inside a run of white space: there, words can't be tokenised one by one.
-_RUN = re.compile(r"\s (?:\s|\Z)")
 
 
 @lru_cache(2)
@@ -42,12 +40,15 @@ def token_bytes(path: str, most: int = 500_000):
     """A function from texts to their ids as little-endian 32-bit numbers, one object a worker.
 
     A blank after a word always begins the next pre-token, so that texts are tokenised word by word; up to ``most`` words
-    are remembered, and those that a list of texts brings anew are tokenised together.
+    are remembered, and those that a list of texts brings anew are tokenised together. A special token (such as
+    ``<|endoftext|>``) in a text is that token; it ends a pre-token like the end of the text.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    # a blank inside a run of white space: there, words can't be tokenised one by one; nor where a special token has blanks
+    special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    run = re.compile("|".join([rf"\s (?:{'|'.join([r'\s', r'\Z', *special])})", *(t for t in special if re.search(r"\s", t))]))
     known: dict[str, bytes] = {}
 
     def ids(texts: list[str]) -> list[bytes]:
@@ -55,7 +56,7 @@ def token_bytes(path: str, most: int = 500_000):
 
     def encode(texts: list[str]) -> list[bytes]:
         # a word after a blank is known by the blank and itself, a first word by itself
-        words = [None if _RUN.search(t) else [w if k == 0 else " " + w for k, w in enumerate(t.split(" "))] for t in texts]
+        words = [None if run.search(t) else [w if k == 0 else " " + w for k, w in enumerate(t.split(" "))] for t in texts]
         if len(known) > most:
             known.clear()
         new = list({w for ws in words if ws for w in ws if w not in known})

@@ -352,3 +352,16 @@ def test_pipeline_keeps_rows_without_an_id(spark, edge, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").collect()]
     assert Counter(got) == Counter([1, 3, 4, 8, 10, 11, None])
+
+
+def test_packing_takes_special_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    t, draw = Tokenizer.from_file(packing.tokenizer_path()), np.random.default_rng(5)
+    parts = ["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "\t", "a", "word", "'s", "12", "é"]
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y", "<|endoftext|>", "a\t <|endoftext|> b"] + ["".join(draw.choice(parts, 12)) for _ in range(3000)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.token_bytes(packing.tokenizer_path())(texts)] == want
+    rows = rows_of(packing.pack(spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")))
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {k: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for k, ids in enumerate(want[:4])}
