@@ -1,21 +1,23 @@
 """Operator 7: language-model scores from an Elias-Fano n-gram trie.
 
-The model is a bigram model with a Dirichlet prior (MacKay and Peto): p(w | v) = (c(v w) + MASS * p(w)) / (c(v) + MASS), where p(w) is
-add-one over all training tokens; it sums to 1 over the vocabulary and one unknown word. The end token of a document also
-stands before its first word.
-
-The trie is kept by shards of the predicted word. In a shard, level 1 holds its words, level 2 for every word the words that
-stood before it, as numbers relative to the word's own range: the numbers of a range are raised by the last one of the range
-before, which makes the level monotone. Both levels and the pointers between them are Elias-Fano sequences; smoothed log-probabilities
+The model pools the counts of all orders up to ``order`` over a Dirichlet prior (for bigrams, that of MacKay and Peto). For order 3,
+p(w | u v) = (LIFT * c(u v w) + c(v w) + MASS * p(w)) / (LIFT * c(u v) + c(v) + MASS), where p(w) is add-one over all training
+tokens and c(u v) and c(v) count what is followed by a word; order 2 leaves out the LIFT terms, and each further order has LIFT
+times the weight of the one below. It sums to 1 over the vocabulary and one unknown word. The end token of a document also
+stands (as often as the order asks for) before its first word.
+
+The trie is kept by shards of the predicted word. In a shard, level 1 holds its words, level 2 for every word w the words v that
+stood before it, level 3 for every v w the words u before those, and so on, as numbers relative to the node's own range: the
+numbers of a range are raised by the last one of the range before, which makes the level monotone. All levels and the pointers between them are Elias-Fano sequences; smoothed log-probabilities
 are quantised to ``1 / STEPS``. A shard's levels lie in one memory-mapped file (unlinked at once, in the task's own temporary folder), and are
-queried by successor search in the range that a word's pointers give.
+queried by successor search in the range that a node's pointers give, from a context to the one that is longer by a word.
 
-A text's score is the sum over tokens of log10(c(v w) + MASS * p(w)), known where w is, and of -log10(c(v) + MASS), known where v is. Every token
-is once predicted and once stands before another, so that each shard adds up what it knows by document and only these sums are
+A text's score is the sum over tokens of the logarithm of the numerator, known where w is, and of that of the denominator, known
+where v is, as c(u v) is a count of v's own trie. Every token is once predicted and once ends the context of another, so that each shard adds up what it knows by document and only these sums are
 sent back, as whole numbers. Words with much of all tokens (found in a first pass) are dealt over several shards by the word before them;
 the number of shards follows the number of tokens.
 
-Words are known by 64-bit hashes. Nothing is pruned or capped. Memory a task: some 60 bytes for each of ``SHARD_TOKENS`` tokens.
+Words are known by 64-bit hashes. Nothing is pruned or capped. Memory a task: some 60 bytes for each of ``SHARD_TOKENS`` tokens at order 2, more at higher orders (README).
 
 Defined cases: null and empty texts consist of the end token; without training rows all counts are 0; repeated rows count
 and are scored each; an empty table gives no rows; extra columns are ignored.
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, fold, written
 
 FOLDS, HELD, MASS, STEPS = 7, 2, 300.0, 1024
+ORDER, LIFT = 3, 10.0
 SHARD_TOKENS, BATCH_TOKENS, SHARE = 1_500_000, 6_000_000, 2_048
 BASE_STEPS = 1 << 32  # base scores travel as whole numbers of these
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line feed
@@ -124,24 +127,27 @@ class EliasFano:
 class Trie:
     """Levels in one memory-mapped file: words, pointers, the words before them, counts and quantised log-probabilities."""
 
-    def __init__(self, words, counts, children, before, pair_counts, floor: float, total: float):
+    def __init__(self, words, counts, children, before, pair_counts, floor: float, total: float, further=()):
         """``children``: how many words before each word; ``before``: their hashes, by word and ascending; ``floor``: add-one's
-        share of an unknown word; ``total``: its denominator."""
-        ids, place = np.unique(before, return_inverse=True)
-        pointers = np.concatenate([[0], np.cumsum(children)]).astype(np.uint64)
-        ends = np.flatnonzero(children)
-        raise_by = np.zeros(len(words), np.uint64)
-        lasts = place[pointers[1:][ends].astype(np.int64) - 1].astype(np.uint64) + np.uint64(1)
-        raise_by[ends] = np.concatenate([[0], np.cumsum(lasts)[:-1]]).astype(np.uint64)
-        level = np.repeat(raise_by, children) + place.astype(np.uint64) + np.uint64(1)
-        prior = MASS * (counts + floor) / total
-        parts = {"words": EliasFano.encode(words), "pointers": EliasFano.encode(pointers), "ids": EliasFano.encode(ids), "level": EliasFano.encode(level)}
-        arrays = {
-            "counts": np.asarray(counts, "<i8"),
-            "alone": quantised(np.log10(prior)),
-            "as_context": quantised(-np.log10(counts + MASS)),
-            "pairs": quantised(np.log10(pair_counts + np.repeat(prior, children))),
-        }
+        share of an unknown word; ``total``: its denominator; ``further``: (children, before, counts) of each longer context."""
+        below = [(children, before, pair_counts), *further]
+        ids, place = np.unique(np.concatenate([b for _, b, _ in below]), return_inverse=True)
+        places = np.split(place, np.cumsum([len(b) for _, b, _ in below])[:-1])
+        value = prior = MASS * (counts + floor) / total
+        is_end = words == END
+        # the end token stands before a text's first word with end tokens alone before it, whatever word it came after
+        context = MASS + counts * np.where(is_end, sum(LIFT**d for d in range(len(below))), 1.0)
+        parts = {"words": EliasFano.encode(words), "ids": EliasFano.encode(ids)}
+        arrays = {"counts": np.asarray(counts, "<i8"), "alone": quantised(np.log10(prior)), "context.0": quantised(-np.log10(context))}
+        for d, ((children, _, n), at) in enumerate(zip(below, places)):
+            pointers, level = relative(children, at)
+            parts |= {f"pointers.{d}": EliasFano.encode(pointers), f"level.{d}": EliasFano.encode(level)}
+            value = LIFT**d * n + np.repeat(value, children)
+            arrays[f"grams.{d}"] = quantised(np.log10(value))
+            if d + 1 < len(below):
+                is_end = np.repeat(is_end, children)
+                context = np.repeat(context, children) + np.where(is_end, 0.0, LIFT ** (d + 1) * n)
+                arrays[f"context.{d + 1}"] = quantised(-np.log10(context))
         self.file = tempfile.TemporaryFile()
         where = {}
         for name, data in chain(((f"{k}.{j}", p[j + 1]) for k, p in parts.items() for j in (0, 1)), arrays.items()):
@@ -153,10 +159,10 @@ class Trie:
         self.size = self.file.tell()
         mapped = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
         view = {k: np.frombuffer(mapped, t, n, at) for k, (at, t, n) in where.items()}
-        for k, p in parts.items():
-            setattr(self, k, EliasFano(*p[0], view[f"{k}.0"].view(np.uint64), view[f"{k}.1"]))
-        for k in arrays:
-            setattr(self, k, view[k])
+        got = {k: EliasFano(*p[0], view[f"{k}.0"].view(np.uint64), view[f"{k}.1"]) for k, p in parts.items()}
+        self.words, self.ids, self.counts, self.alone = got["words"], got["ids"], view["counts"], view["alone"]
+        self.levels = [(got[f"pointers.{d}"], got[f"level.{d}"], view[f"grams.{d}"]) for d in range(len(below))]
+        self.contexts = [view[f"context.{d}"] for d in range(len(below))]
         self.unknown = float(np.log10(MASS * floor / total))
 
     def find(self, words: np.ndarray) -> np.ndarray:
@@ -166,22 +172,45 @@ class Trie:
         at = np.minimum(self.words.successor(words), self.words.n - 1)
         return np.where(self.words.get(at) == words, at, -1)
 
-    def pair(self, node: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10(c(v w) + MASS * p(w)) of word nodes and the hashes of the words before."""
-        out = np.where(node >= 0, self.alone[np.maximum(node, 0)] / STEPS if self.words.n else 0.0, self.unknown)
-        if not self.level.n:
-            return out
-        at = np.minimum(self.ids.successor(before), self.ids.n - 1)
-        ask = np.flatnonzero((self.ids.get(at) == before) & (node >= 0))
-        node, at = node[ask], at[ask]
-        first, stop = self.pointers.get(node).astype(np.int64), self.pointers.get(node + 1).astype(np.int64)
-        base = np.where(first > 0, self.level.get(np.maximum(first - 1, 0)), np.uint64(0))
-        key = base + at.astype(np.uint64) + np.uint64(1)
-        got = self.level.successor(key)
-        inside = np.flatnonzero(got < stop)
-        hit = inside[self.level.get(got[inside]) == key[inside]]
-        out[ask[hit]] = self.pairs[got[hit]] / STEPS
-        return out
+    def pair(self, node: np.ndarray, *before: np.ndarray) -> np.ndarray:
+        """log10 of the numerator of word nodes and the hashes of the words before, the nearest first."""
+        return self.grams(node, *before)[0]
+
+    def grams(self, node: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the numerator and -log10 of the denominator for which the word ends the context, of word nodes and the
+        hashes of the words before, the nearest first; both come from the longest sequence that the trie knows."""
+        out, context = np.full(len(node), self.unknown), np.full(len(node), -np.log10(MASS))
+        ask = np.flatnonzero(node >= 0)
+        node = node[ask]
+        if len(ask):
+            out[ask], context[ask] = self.alone[node] / STEPS, self.contexts[0][node] / STEPS
+        for d, ((pointers, level, grams), hashes) in enumerate(zip(self.levels, before), 1):
+            if not level.n or not len(ask):
+                break
+            at = np.minimum(self.ids.successor(hashes[ask]), self.ids.n - 1)
+            known = self.ids.get(at) == hashes[ask]
+            ask, node, at = ask[known], node[known], at[known]
+            first, stop = pointers.get(node).astype(np.int64), pointers.get(node + 1).astype(np.int64)
+            base = np.where(first > 0, level.get(np.maximum(first - 1, 0)), np.uint64(0))
+            key = base + at.astype(np.uint64) + np.uint64(1)
+            got = level.successor(key)
+            inside = np.flatnonzero(got < stop)
+            hit = inside[level.get(got[inside]) == key[inside]]
+            ask, node = ask[hit], got[hit]
+            out[ask] = grams[node] / STEPS
+            if d < len(self.contexts):
+                context[ask] = self.contexts[d][node] / STEPS
+        return out, context
+
+
+def relative(children: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pointers and level of the numbers ``place``, ascending in the range of each parent, made monotone over all ranges."""
+    pointers = np.concatenate([[0], np.cumsum(children)]).astype(np.uint64)
+    ends = np.flatnonzero(children)
+    raise_by = np.zeros(len(children), np.uint64)
+    lasts = place[pointers[1:][ends].astype(np.int64) - 1].astype(np.uint64) + np.uint64(1)
+    raise_by[ends] = np.concatenate([[0], np.cumsum(lasts)[:-1]]).astype(np.uint64)
+    return pointers, np.repeat(raise_by, children) + place.astype(np.uint64) + np.uint64(1)
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -235,8 +264,8 @@ def frequent(docs: DataFrame) -> tuple[int, dict[int, int]]:
     return total, {r["word"]: r["n"] for r in rows.where(F.col("word").isNotNull() & (F.col("n") >= least)).toLocalIterator()}  # at most SHARE rows
 
 
-def route(docs: DataFrame, shards: int, split: dict[int, int]) -> DataFrame:
-    """A row for each batch of texts and shard: the shard's words there, the words before them, and whose they are; and one
+def route(docs: DataFrame, shards: int, split: dict[int, int], order: int) -> DataFrame:
+    """A row for each batch of texts and shard: the shard's words there, the ``order - 1`` words before them, and whose they are; and one
     for each batch with its documents, under a negative shard. ``split``: over how many shards a frequent word is dealt."""
     hot = np.array(sorted(np.array(list(split), np.int64).view(np.uint64).tolist()), np.uint64)
     ways = np.array([split[h.view(np.int64).item()] for h in hot], np.uint64)
@@ -258,16 +287,19 @@ def route(docs: DataFrame, shards: int, split: dict[int, int]) -> DataFrame:
                 place[is_hot] += (word[is_hot] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % ways[k]
             shard = (place % np.uint64(shards)).astype(np.int32)
             del place
-            order = np.argsort(shard, kind="stable").astype(np.int32)
+            by_shard = np.argsort(shard, kind="stable").astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
             del shard
             got = [(batch, -1 - part, pack(n, np.array(held, np.uint8), np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64)))]
             for s in range(shards):
-                o = order[ends[s] : ends[s + 1]]
+                o = by_shard[ends[s] : ends[s + 1]]
                 if len(o):
-                    (uw, iw), (ub, ib) = (np.unique(word[x], return_inverse=True) for x in (o + 1, o))
+                    columns = [word[o + 1], word[o]]
+                    for k in range(1, order - 1):  # before a text's first word stand end tokens alone
+                        columns.append(np.where(columns[-1] == END, np.uint64(END), word[np.maximum(o - k, 0)]))
+                    grams = [x for u, i in (np.unique(c, return_inverse=True) for c in columns) for x in (u, i.astype(np.int32))]
                     own = owner[o]
-                    got.append((batch, s, pack(uw, iw.astype(np.int32), ub, ib.astype(np.int32), np.diff(own, prepend=0), np.array(held, np.uint8))))
+                    got.append((batch, s, pack(*grams, np.diff(own, prepend=0), np.array(held, np.uint8))))
             ids.clear(), held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.int64(), pa.int32(), pa.binary()))], names=["batch", "shard", "data"])
 
@@ -287,31 +319,39 @@ def route(docs: DataFrame, shards: int, split: dict[int, int]) -> DataFrame:
 
 
 def count(shard: pa.Table) -> pa.Table:
-    """Of a shard: training counts of words and pairs, and by pair the documents that hold it. Rows of documents pass through."""
+    """Of a shard: training counts of words and the sequences that end in them, and by full sequence the documents that hold it. Rows of documents pass through."""
     number = shard.column("shard")[0].as_py()
     if number < 0:
         rows = list(zip(shard.column("batch").to_pylist(), shard.column("data").to_pylist()))
         return counted([(number, b, 0, 0, d) for b, d in rows])
     batch_of = np.array(sorted(shard.column("batch").to_pylist()), np.int64)
-    words, befores, owners, trains = [], [], [], []
+    grams, owners, trains = [], [], []
     for b, data in zip(shard.column("batch").to_pylist(), shard.column("data").to_pylist()):
-        uw, iw, ub, ib, own, held = unpack(data)
+        *columns, own, held = unpack(data)
         own = np.cumsum(own, dtype=np.int64)
-        words.append(uw[iw]), befores.append(ub[ib])
+        grams.append([u[i] for u, i in zip(columns[::2], columns[1::2])])
         owners.append(np.searchsorted(batch_of, b) << 20 | own), trains.append(held[own] == 0)
-    word, before, owner, train = (np.concatenate(x) for x in (words, befores, owners, trains))
-    del words, befores, owners, trains
-    order = np.lexsort((before, word))
-    word, before, owner, train = word[order], before[order], owner[order], train[order]
-    new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (before[1:] != before[:-1])]))
-    occurrences = np.diff(np.append(new, len(word)))
-    pairs = np.add.reduceat(train.astype(np.int64), new)
-    pw, pb = word[new], before[new]
-    first = np.flatnonzero(np.concatenate([[True], pw[1:] != pw[:-1]]))
-    uw, children, counts = pw[first], np.diff(np.append(first, len(pw))), np.add.reduceat(pairs, first)
-    ub, ib = np.unique(pb, return_inverse=True)
-    data = pack(uw, counts, children.astype(np.int32), ub, ib.astype(np.int32), pairs.astype(np.int32), occurrences.astype(np.int32), owner, batch_of)
-    return counted([(number, None, int(counts.sum()), int((counts > 0).sum()), data)])
+    keys = [np.concatenate(x) for x in zip(*grams)]  # words, the words before them, those before these, ...
+    owner, train = np.concatenate(owners), np.concatenate(trains)
+    del grams, owners, trains
+    order = np.lexsort(keys[::-1])
+    owner, train = owner[order], train[order].astype(np.int64)
+    differs, starts = np.zeros(len(owner), bool), []
+    differs[0] = True
+    for k, key in enumerate(keys):
+        keys[k] = key = key[order]
+        differs[1:] |= key[1:] != key[:-1]
+        starts.append(np.flatnonzero(differs))
+        keys[k] = key[starts[-1]]  # of each node
+    occurrences = np.diff(np.append(starts[-1], len(owner)))
+    counts = [np.add.reduceat(train, at) for at in starts]
+    ub, place = np.unique(np.concatenate(keys[1:]), return_inverse=True)
+    places = np.split(place.astype(np.int32), np.cumsum([len(k) for k in keys[1:]])[:-1])
+    levels = []
+    for above, at, ib, n in zip(starts, starts[1:], places, counts[1:]):
+        levels += [np.diff(np.append(np.searchsorted(at, above), len(at))).astype(np.int32), ib, n.astype(np.int32)]
+    data = pack(keys[0], counts[0], ub, *levels, occurrences.astype(np.int32), owner, batch_of)
+    return counted([(number, None, int(counts[0].sum()), int((counts[0] > 0).sum()), data)])
 
 
 COUNTED = "shard int, batch long, train long, known long, data binary"
@@ -347,20 +387,28 @@ def scores(table: DataFrame, train: int, known: int, hot: dict[int, int]) -> Dat
     hot_n = np.array([hot[h.view(np.int64).item()] for h in hot_words], np.int64)
 
     def shard(data: bytes) -> pa.RecordBatch:
-        uw, counts, children, ub, ib, pairs, occurrences, owner, batch_of = unpack(data)
+        uw, counts, ub, *levels, occurrences, owner, batch_of = unpack(data)
+        levels = list(zip(levels[::3], levels[1::3], levels[2::3]))
         counts = counts.copy()
         if len(hot_words):
             k = np.minimum(np.searchsorted(hot_words, uw), len(hot_words) - 1)
             counts = np.where(hot_words[k] == uw, hot_n[k], counts)
-        seen, in_training = pairs > 0, counts > 0
-        per_word = np.add.reduceat(seen, np.cumsum(children) - children)
-        trie = Trie(uw[in_training], counts[in_training], per_word[in_training], ub[ib[seen]], pairs[seen], 1.0, total)
+        in_training = stay = counts > 0
+        known = []  # of each level what was seen in training
+        for children, ib, n in levels:
+            seen = n > 0
+            known.append((np.add.reduceat(seen.astype(np.int64), np.cumsum(children) - children)[stay], ub[ib[seen]], n[seen]))
+            stay = seen
+        trie = Trie(uw[in_training], counts[in_training], *known[0], 1.0, total, known[1:])
         node = trie.find(uw)
         c = np.where(node >= 0, trie.counts[np.maximum(node, 0)], 0) if trie.words.n else np.zeros(len(uw), np.int64)
-        context = np.where(node >= 0, trie.as_context[np.maximum(node, 0)] / STEPS, -np.log10(MASS)) if trie.words.n else np.full(len(uw), -np.log10(MASS))
-        loss = trie.pair(np.repeat(node, children), ub[ib]) + np.repeat(context, children)
-        loss = np.round(-loss * STEPS).astype(np.int64)  # not negative: c(v w) is at most c(w)
-        base, is_known = np.repeat(np.round(np.log10(c + 1.0) * BASE_STEPS).astype(np.int64), children), np.repeat(node >= 0, children)
+        word, before = np.arange(len(uw)), []  # of each full sequence
+        for children, ib, _ in levels:
+            word, before = np.repeat(word, children), [np.repeat(b, children) for b in before] + [ub[ib]]
+        loss = sum(trie.grams(node[word], *before))
+        del before
+        loss = np.round(-loss * STEPS).astype(np.int64)  # not negative: c(v w) is at most c(w), c(u v w) at most c(v w)
+        base, is_known = np.round(np.log10(c + 1.0) * BASE_STEPS).astype(np.int64)[word], (node >= 0)[word]
         order = np.argsort(owner, kind="stable")
         pair = np.repeat(np.arange(len(occurrences), dtype=np.int32), occurrences)[order]
         docs = owner[order]
@@ -401,12 +449,12 @@ def gather(train: int, known: int):
     return add
 
 
-def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     n, words = frequent(docs)
     shards = max(-(-n // shard_tokens), 1)
     split = {w: min(-(-2 * c * shards // n), shards) for w, c in words.items() if 2 * c * shards > n}
-    table = written(route(docs, shards, split).groupBy("shard").applyInArrow(count, COUNTED), "lm-counts")
+    table = written(route(docs, shards, split, order).groupBy("shard").applyInArrow(count, COUNTED), "lm-counts")
     sums = table.where("shard >= 0").agg(F.sum("train"), F.sum("known")).first()
     hot, again = hot_counts(table, split)
     train, known = sums[0] or 0, (sums[1] or 0) - again
@@ -416,4 +464,4 @@ def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(documents(spark, sf_dir))
+    return lm_scores(documents(spark, sf_dir), order=ORDER)

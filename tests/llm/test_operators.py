@@ -365,3 +365,37 @@ def test_packing_takes_special_tokens_as_the_library_does(spark):
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.token_bytes(packing.tokenizer_path())(texts)] == want
     rows = rows_of(packing.pack(spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")))
     assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {k: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for k, ids in enumerate(want[:4])}
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("shard_tokens", [4_000_000, 9_000])
+def test_lm_scores_of_longer_contexts(spark, small, edge, order, shard_tokens):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(edge.select(F.col("doc_id") + 100_000, "text").toDF("doc_id", "text"))
+    texts = [((*["END"] * (order - 1), *(t or "").encode().lower().split(), "END"), i is not None and zlib.crc32(str(i).encode()) % 7 == 2, i) for i, t in docs.collect()]
+    grams, contexts = Counter(), Counter()
+    for w, held, _ in texts:
+        for at in range(order - 1, len(w) if not held else 0):
+            for n in range(order):
+                grams[w[at - n : at + 1]] += 1
+                contexts[w[at - n : at]] += 1
+    total, v = contexts[()], sum(len(g) == 1 for g in grams)
+    lift = [ngram_trie.LIFT**k for k in range(order - 1)]
+    want = Counter()
+    for w, _, i in texts:
+        for at in range(order - 1, len(w)):
+            up = ngram_trie.MASS * (grams[w[at : at + 1]] + 1) / (total + v + 1) + sum(x * grams[w[at - n : at + 1]] for n, x in enumerate(lift, 1))
+            down = ngram_trie.MASS + sum(x * contexts[w[at - n : at]] for n, x in enumerate(lift, 1))
+            want[i] += math.log10(up / down)
+    got = Counter()
+    size = Counter()
+    for r in rows_of(ngram_trie.lm_scores(docs, shard_tokens, order)):
+        got[r["doc_id"]] += r["score"]
+        size[r["doc_id"]] += r["n_tokens"]
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=0.002 * size[i]) for i in want)
+
+
+def test_op7_scores_three_words(spark, tmp_path):
+    rows = [(i, "a b c" if i % 2 else "x b d") for i in range(600)]
+    spark.createDataFrame(rows + [(1000, "a b d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in rows_of(ngram_trie.op7_lm_scoring(spark, str(tmp_path)))}
+    assert got[1000] < got[1] - 0.3  # bigrams alone give both the same within 0.1
