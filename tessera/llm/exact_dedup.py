@@ -18,7 +18,6 @@ also such named like the results, are ignored.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,19 +78,32 @@ def digest_groups(log_path: str, spark: SparkSession, schema, state: str | None
     return changes.groupBy("digest").agg(first_row("keep_id").alias("k"), F.max("group_size").alias("group_size")).select("digest", "k.keep_id", "k.locator", "group_size")
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """``docs`` with the place of each row in its file; rows that come from no file are first written to the shared folder."""
-    place = F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("locator")
-    try:
-        return docs.select("*", place)
-    except AnalysisException:
-        return written(docs, "dedup-rows").select("*", place)
+def with_locator(docs: DataFrame, scanned: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` with the place of each row, and the name of the column with it (one that ``docs`` hasn't).
+
+    ``scanned``: the rows are those of files, one each, so that the place in the file tells them apart. Others (which may
+    have been multiplied or joined since they were read) are written to the shared folder with a number.
+    """
+    taken, name = {c.lower() for c in docs.columns}, "locator"
+    while name in taken:
+        name = f"_{name}"
+    if scanned:
+        return docs.select("*", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias(name)), name
+    return written(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "dedup-rows"), name
+
+
+def stays(docs: DataFrame, judge) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns; it gets rows (doc_id, text, locator)."""
+    located, place = with_locator(docs)
+    at = F.col(place).alias("locator")
+    kept = judge(located.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at)).where("kept").select(F.col("locator").alias(place))
+    return located.join(kept, place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def exact_dedup(docs: DataFrame, digest_of=digest, rows_a_salt: int = ROWS_A_SALT, files_a_batch: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs`` (doc_id, text)."""
-    located = with_locator(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return dedup_located(located, digest_of, rows_a_salt, files_a_batch).drop("locator")
+def exact_dedup(docs: DataFrame, digest_of=digest, rows_a_salt: int = ROWS_A_SALT, files_a_batch: int | None = None, scanned: bool = False) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs`` (doc_id, text). ``scanned``: see with_locator."""
+    located, place = with_locator(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scanned)
+    return dedup_located(located.withColumnRenamed(place, "locator"), digest_of, rows_a_salt, files_a_batch).drop("locator")
 
 
 def dedup_located(docs: DataFrame, digest_of=digest, rows_a_salt: int = ROWS_A_SALT, files_a_batch: int | None = None) -> DataFrame:
@@ -136,14 +148,12 @@ def dedup_located(docs: DataFrame, digest_of=digest, rows_a_salt: int = ROWS_A_S
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(documents(spark, sf_dir), scanned=True)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that stay, with their columns."""
-    located = with_locator(docs)
-    kept = dedup_located(located.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "locator")).where("kept").select("locator")
-    return located.join(kept, "locator", "left_semi").select(docs.columns)
+    return stays(docs, dedup_located)
 
 
 ORACLE = r"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op7_lm_scoring": ngram_trie.op7_lm_scoring,
     "op9_pii_surrogates": pii.op9_pii_surrogates,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_minhash_near_dedup": near_dedup.ORACLE}
