@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,22 +46,95 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and some ``size`` bytes of texts, binaries and lists; a longer row comes alone."""
+    cost = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            cost += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        elif pa.types.is_list(column.type):
+            cost += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.concatenate([[0], np.cumsum(cost)]), 0
+    while at < batch.num_rows:
+        to = max(min(at + rows, int(np.searchsorted(total, total[at] + size, side="right")) - 1), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[..., dict[str, pa.Array]]], schema: str, rows: int = 1000) -> DataFrame:
-    """mapInArrow in slices of ``rows``. ``make`` runs once a task and returns a function from the columns (as lists) to
-    a dict of Arrow arrays in the order of ``schema``."""
+    """mapInArrow in slices of ``rows`` and bounded bytes. ``make`` runs once a task and returns a function from the columns (as
+    lists) to a dict of Arrow arrays in the order of ``schema``."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in sliced(batch, rows):
                 out = step(**{n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return df.mapInArrow(run, schema)
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class WordTable:
+    """What words stand for, as stretches of one array: a table that grows by the words that texts bring anew, up to ``most``.
+
+    ``make`` gives the arrays of a list of new words at once. Texts are looked up a batch at a time: words are numbered by
+    Arrow's dictionary, so that Python sees every distinct word of a batch once.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[np.ndarray]], dtype, most: int = 300_000):
+        self.make, self.dtype, self.most = make, dtype, most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.starts, self.lengths = np.empty(1 << 16, self.dtype), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.used = 0
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The words' rows in ``starts`` and ``lengths``; valid until the next call."""
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if len(self.number) + len(new) > self.most:
+            self._empty()
+            new = list(dict.fromkeys(words))
+        if new:
+            arrays = self.make(new)
+            first, lengths = len(self.number), np.array([len(a) for a in arrays], np.int64)
+            self.number.update(zip(new, range(first, first + len(new))))
+            self.flat = _room(self.flat, self.used, self.used + int(lengths.sum()))
+            self.starts, self.lengths = (_room(x, first, first + len(new)) for x in (self.starts, self.lengths))
+            ends = self.used + np.cumsum(lengths)
+            self.flat[self.used : ends[-1]] = np.concatenate(arrays)
+            self.starts[first : first + len(new)], self.lengths[first : first + len(new)] = ends - lengths, lengths
+            self.used = int(ends[-1])
+        return np.array([self.number[w] for w in words], np.int64)
+
+    def texts(self, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """What the words of texts stand for, cut at single blanks and looked up with ``before`` in front: one array for all
+        texts and the texts' ends in it."""
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        row = self.rows([before + w for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        lengths = self.lengths[row]
+        return gathered(self.flat, self.starts[row], lengths), np.concatenate([[0], np.cumsum(lengths)])[offsets]
+
+
+def _room(x: np.ndarray, used: int, need: int) -> np.ndarray:
+    if need <= len(x):
+        return x
+    more = np.empty(max(need, 2 * len(x)), x.dtype)
+    more[:used] = x[:used]
+    return more
+
+
 class Memo(dict):
     """A dict that fills itself by ``make`` and starts anew beyond ``most`` entries, so that a worker's memory is bounded."""
 

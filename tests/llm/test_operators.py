@@ -112,7 +112,6 @@ def test_packing_is_gapless_and_close_to_the_bound(spark, small, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     docs = defaultdict(list)
     sequences = defaultdict(list)
     for r in rows_of(packing.op5_best_fit_packing(spark, small)):
@@ -362,11 +361,22 @@ def test_packing_takes_special_tokens_as_the_library_does(spark):
     texts = ["a <|endoftext|> b", "x<|endoftext|>y", "<|endoftext|>", "a\t <|endoftext|> b"] + ["".join(draw.choice(parts, 12)) for _ in range(3000)]
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert want[0] == [64, 220, 50256, 275]
-    assert [np.frombuffer(b, "<u4").tolist() for b in packing.token_bytes(packing.tokenizer_path())(texts)] == want
+    assert [x.tolist() for x in packing.token_ids(packing.tokenizer_path())(texts)] == want
     rows = rows_of(packing.pack(spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")))
     assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {k: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for k, ids in enumerate(want[:4])}
 
 
+def test_plain_characters_are_cut_into_tokens_alike():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    plain = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]]
+    texts = [x.replace("@", c) for c in plain for x in ("a@b @c", "1@ 2@@  @", "@'s @@\n @", " \t@ word's x@2")]
+    texts += [a + b + " " + b + a for a in plain[::7] for b in plain[::5]] + ["a" * 3000, "z" * 399 + " y", "日本語 x", ""]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in packing.token_ids(packing.tokenizer_path())(texts)] == want
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 @pytest.mark.parametrize("shard_tokens", [4_000_000, 9_000])
 def test_lm_scores_of_longer_contexts(spark, small, edge, order, shard_tokens):
