@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,11 +32,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, arrow_map, documents
+from tessera.llm.common import Memo, WordTable, arrow_map, documents, gathered
 
 BLANK = "▁"
-#: Words up to this length are remembered.
-MEMO_LENGTH = 64
+#: Words up to 64 characters are remembered.
+LONG = re.compile("[^ ]{65}")
+
+
+def kind_of(model: bytes) -> str:
+    """"unigram" or "bpe": field 3 of the training settings (field 2 of a model), 1 where it isn't written."""
+
+    def fields(data: bytes):
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            value = shift = 0
+            while True:
+                b = data[at]
+                at, value, shift = at + 1, value | (b & 127) << shift, shift + 7
+                if b < 128:
+                    return value
+
+        while at < len(data):
+            key = number()
+            if key & 7 == 0:
+                yield key >> 3, number()
+            else:
+                n = number() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+                yield key >> 3, data[at : at + n]
+                at += n
+
+    settings = next((x for k, x in fields(model) if k == 2), b"")
+    kind = next((x for k, x in fields(settings) if k == 3), 1)
+    if kind not in (1, 2):
+        raise ValueError("only unigram and merge (BPE) models are known")
+    return "unigram" if kind == 1 else "bpe"
 
 
 class Pieces:
@@ -47,9 +77,10 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        kind = kind or kind_of(model.serialized_model_proto())
         every = range(model.get_piece_size())
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in every if model.is_byte(i)}
-        self.unknown, self.kind = model.unk_id(), kind or "bpe"
+        self.unknown, self.kind = model.unk_id(), kind
         self.raw = [b"" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i).replace(BLANK, " ").encode() for i in every]
         for value, i in self.byte.items():
             self.raw[i] = bytes((value,))
@@ -61,11 +92,11 @@ class Pieces:
         self.longest = max(map(len, self.text))
         self.inner_blanks = any(re.search(f"[^{BLANK}]{BLANK}", t) for t in self.text)
         self.penalty = min(self.score, default=0.0) - 10
-        # by their last two characters: the lengths that pieces have, longest first
+        # by the last four characters before a boundary: the lengths of the pieces that may end there, longest first
         ends: dict[str, set[int]] = {}
         for t in self.text:
-            ends.setdefault(t[-2:], set()).add(len(t))
-        self.lengths = {e: sorted(n, reverse=True) for e, n in ends.items()}
+            ends.setdefault(t[-4:], set()).add(len(t))
+        self.lengths = Memo(lambda e: tuple(sorted({n for k in range(len(e)) for n in ends.get(e[k:], ()) if k == 0 or n == len(e) - k}, reverse=True)))
         # order of merges: 0 for single characters, then by falling score
         levels = {x: k + 1 for k, x in enumerate(sorted(set(self.score), reverse=True))}
         self.order = [levels[x] if len(t) > 1 else 0 for t, x in zip(self.text, self.score)]
@@ -130,13 +161,12 @@ class Pieces:
             else:
                 return True
 
-    def stream(self, text: str) -> Iterator[int]:
-        """The ids of a text, committed as early as they are certain."""
-        number, parts, pair, merging = self.number, self._parts, self._pair, self.kind == "bpe"
-        base, last, total = 0, [-1], [0.0]  # last[k]: number of the last piece before boundary base + k
-        for at in range(1, len(text) + 1):
-            if merging:
-                for n in self.lengths.get(text[at - 2 if at > 1 else 0 : at], ()):
+    def _extend(self, text: str, at: int, to: int, base: int, last: list[int], total: list[float]) -> None:
+        """The backpointers of the boundaries after ``at`` up to ``to``; last[k]: number of the last piece before base + k."""
+        number, parts, pair, lengths = self.number, self._parts, self._pair, self.lengths
+        if self.kind == "bpe":
+            for at in range(at + 1, to + 1):
+                for n in lengths[text[at - 4 if at > 4 else 0 : at]]:
                     if n <= at - base and (k := number.get(text[at - n : at])) is not None and parts[k] is not False:
                         before = last[at - n - base]
                         if before < 0 or pair[before << 32 | k]:
@@ -145,20 +175,46 @@ class Pieces:
                 else:
                     c = text[at - 1]
                     last.append(number[c] if c in number else self.character(c))
-            else:
-                best, c = None, text[at - 1]
-                for n in range(min(self.longest, at - base), 0, -1):
-                    k = number.get(text[at - n : at]) if n > 1 or c in number else self.character(c)
-                    if k is not None and (best is None or total[at - n - base] + self.score[k] > best[0]):
-                        best = (total[at - n - base] + self.score[k], k)
-                total.append(best[0])
-                last.append(best[1])
-            if at - base >= 4 * self.longest:
-                meet = self.meeting(last)
-                yield from self.path(last, meet)
-                base += meet
-                del last[:meet], total[:meet]
-        yield from self.path(last, len(last) - 1)
+            return
+        for at in range(at + 1, to + 1):
+            best, c = None, text[at - 1]
+            for n in range(min(self.longest, at - base), 0, -1):
+                k = number.get(text[at - n : at]) if n > 1 or c in number else self.character(c)
+                if k is not None and (best is None or total[at - n - base] + self.score[k] > best[0]):
+                    best = (total[at - n - base] + self.score[k], k)
+            total.append(best[0])
+            last.append(best[1])
+
+    def stream(self, text: str) -> Iterator[int]:
+        """The ids of a text, committed as early as they are certain."""
+        base, at, last, total = 0, 0, [-1], [0.0]
+        while True:
+            to = min(at + max(4 * self.longest, at - base), len(text))  # paths that stay apart are looked at again when the window has doubled
+            self._extend(text, at, to, base, last, total)
+            at = to
+            if at == len(text):
+                yield from self.path(last, len(last) - 1)
+                return
+            meet = self.meeting(last)
+            yield from self.path(last, meet)
+            base += meet
+            del last[:meet], total[:meet]
+
+    def many(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of words. In order, so that a word goes on from the boundaries that it shares with the one before."""
+        out: list = [None] * len(words)
+        old, last, total = "", [-1], [0.0]
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            word, same = words[k], 0
+            for a, b in zip(word, old):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :], total[same + 1 :]
+            self._extend(word, same, len(word), 0, last, total)
+            out[k] = np.array(self.path(last, len(word)), "<i4")
+            old = word
+        return out
 
     def meeting(self, last: list[int]) -> int:
         """The boundary through which all paths lead that a later piece can continue."""
@@ -185,33 +241,44 @@ def pieces_of(path: str, kind: str | None = None) -> Pieces:
 
 @lru_cache(2)
 def encoder(pieces: Pieces):
-    """A function from a text to its ids as little-endian 32-bit numbers."""
+    """A function from texts to their ids: one array for all, and the texts' ends in it."""
     cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
-    def word(w: str) -> bytes:
-        return array("i", pieces.stream(w)).tobytes()
+    def whole(text: str) -> np.ndarray:
+        """The ids of a text as it comes, with a blank before it."""
+        parts = [BLANK + text.replace(" ", BLANK)] if pieces.inner_blanks else cut.findall(BLANK + text.replace(" ", BLANK))
+        return np.fromiter((i for w in parts if text for i in pieces.stream(w)), "<i4")
 
-    memo = Memo(lambda w: word(BLANK + w), 300_000)
+    words = WordTable(pieces.many, "<i4", 400_000)
 
-    def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        if pieces.inner_blanks:
-            return word(BLANK + text.replace(" ", BLANK))
-        if text[0] == " " or "  " in text or BLANK in text:
-            return b"".join([memo[w[1:]] if w[0] == BLANK and len(w) <= MEMO_LENGTH else word(w) for w in cut.findall(BLANK + text.replace(" ", BLANK))])
-        return b"".join([memo[w] if len(w) <= MEMO_LENGTH else word(BLANK + w) for w in text.split(" ")])
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # single blanks part words; runs of blanks and words too long to be remembered are for the window alone
+        apart = {k: whole(t) for k, t in enumerate(texts) if pieces.inner_blanks or not t or t[0] == " " or t[-1] == " " or "  " in t or BLANK in t or LONG.search(t)}
+        plain = [t for k, t in enumerate(texts) if k not in apart]
+        flat, ends = words.texts(pa.array(plain, pa.string()), BLANK) if plain else (np.empty(0, "<i4"), [0])
+        if not apart:
+            return flat, ends
+        at = iter(zip(ends, ends[1:]))
+        parts = [apart[k] if k in apart else flat[slice(*next(at))] for k in range(len(texts))]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
     return encode
 
 
+@lru_cache(2)
 def decoder(pieces: Pieces):
-    """A function from ids to their text."""
-    raw = dict(enumerate(pieces.raw))
-
-    def decode(ids: list[int]) -> str:
-        text = b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+    """A function from ids, as one array with the texts' ends in it, to the texts."""
+    raw = [*pieces.raw, b""]  # unknown ids decode to nothing
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    lengths = np.array([len(x) for x in raw], np.int64)
+    starts = np.cumsum(lengths) - lengths
+
+    def decode(ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        ids = np.where((ids >= 0) & (ids < len(raw)), ids, len(raw) - 1)
+        at = np.concatenate([[0], np.cumsum(lengths[ids])])[ends].tolist()
+        data = gathered(flat, starts[ids], lengths[ids]).tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+        return [t[1:] if t[:1] == " " else t for t in texts]
 
     return decode
 
@@ -222,6 +289,10 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def id_lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def encode(docs: DataFrame, path: str | None = None, kind: str | None = None) -> DataFrame:
     """doc_id and ids of every row (doc_id, text)."""
 
@@ -229,17 +300,11 @@ def encode(docs: DataFrame, path: str | None = None, kind: str | None = None) ->
         to_ids = encoder(pieces_of(path or model_path(), kind))
 
         def step(doc_id, text):
-            ids = [to_ids(t or "") for t in text]
-            return {"doc_id": pa.array(doc_id, pa.int64()), "ids": id_lists(ids)}
+            return {"doc_id": pa.array(doc_id, pa.int64()), "ids": id_lists(*to_ids([t or "" for t in text]))}
 
         return step
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, ids array<int>", 500)
-
-
-def id_lists(ids: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0] + [len(x) // 4 for x in ids])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -249,11 +314,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         to_text = decoder(pieces_of(path or model_path()))
 
         def step(doc_id, ids):
-            return {"doc_id": pa.array(doc_id, pa.int64()), "text": pa.array([to_text(x or []) for x in ids], pa.string())}
+            ids = [[-1 if i is None else i for i in x or ()] for x in ids]
+            texts = to_text(np.array([i for x in ids for i in x], np.int64), np.cumsum([0, *map(len, ids)]))
+            return {"doc_id": pa.array(doc_id, pa.int64()), "text": pa.array(texts, pa.string())}
 
         return step
 
-    return arrow_map(encoded.select("doc_id", "ids"), make, "doc_id long, text string", 500)
+    return arrow_map(encoded.select("doc_id", "ids"), make, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -264,13 +331,13 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         to_ids, to_text = encoder(pieces), decoder(pieces)
 
         def step(doc_id, text):
-            ids = [to_ids(t or "") for t in text]
-            back = [to_text(np.frombuffer(x, "<i4").tolist()) for x in ids]
+            ids, ends = to_ids([t or "" for t in text])
+            back, data = to_text(ids, ends), memoryview(ids.astype("<i4", copy=False).view(np.uint8))
             return {
                 "doc_id": pa.array(doc_id, pa.int64()),
-                "n_ids": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids": id_lists(ids),
-                "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                "n_ids": pa.array(np.diff(ends), pa.int64()),
+                "ids": id_lists(ids, ends),
+                "ids_crc32": pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])], pa.int64()),
                 "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
                 "round_trip": pa.array([(t or "") == b for t, b in zip(text, back)], pa.bool_()),
             }
@@ -278,7 +345,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         return step
 
     schema = "doc_id long, n_ids long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean"
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema, 500)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
