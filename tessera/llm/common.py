@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it (bytes 32 and 9 to 13).
 SPACE = r"[\x20\x09-\x0D]+"
+MOST_BITS = 1 << 28
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def perhaps_in(rows: DataFrame, keys: DataFrame, key: str, number: int) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` may be among ``keys`` (all that are, few others), left where they lie.
+
+    ``number`` keys are hashed to a bitmap of 16 bits each, ``MOST_BITS`` at most, which is what bounds the broadcast (32 MB);
+    beyond, more rows pass that aren't among the keys.
+    """
+    bits = min(1 << max(16 * number - 1, 1).bit_length(), MOST_BITS)
+    at, names = F.pmod(F.xxhash64(key), F.lit(bits)), rows.columns
+    marks = keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    placed = rows.select("*", F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_place"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return placed.join(F.broadcast(marks), "_bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) > 0).select(*names)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, documents, scratch, written
+from tessera.llm.common import SPACE, documents, perhaps_in, scratch, written
 
 #: Rows of one digest that are checked against one copy of the retained content.
 ROWS_A_SALT = 2_000
@@ -122,8 +122,10 @@ def dedup_located(docs: DataFrame, digest_of=digest, rows_a_salt: int = ROWS_A_S
 
     located = log.join(groups.select("digest", "keep_id", F.col("locator").alias("keep_locator"), "group_size"), "digest")
     hits = located.where("group_size > 1")
-    # full bytes of the hits: the narrow hit rows meet the text again by locator, then the retained content by digest
-    texts = docs.select("locator", norm.alias("norm"))
+    # full bytes of the hits: the narrow hit rows meet the text again by locator, then the retained content by digest;
+    # texts without a hit stay where they lie
+    number = groups.where("group_size > 1").agg(F.sum("group_size")).first()[0] or 0
+    texts = perhaps_in(docs.select("locator", "text"), hits, "locator", number).select("locator", norm.alias("norm"))
     hit_texts = hits.select("locator", "digest", "keep_locator", "group_size").join(texts, "locator")
     copies = F.ceil(F.col("group_size") / F.lit(rows_a_salt)).cast("int")
     salted = hit_texts.withColumn("salt", F.pmod(F.xxhash64("locator"), copies).cast("int"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, arrow_map, documents, written
+from tessera.llm.common import Memo, arrow_map, documents, perhaps_in, written
 from tessera.llm.exact_dedup import stays, with_locator
 
 WORDS, SIMILARITY, STAGE_SIMILARITY = 5, 85, 80
@@ -306,9 +306,10 @@ def links(docs: DataFrame, reps: DataFrame, places: DataFrame, similarity: int)
     stars = rows.groupBy("band").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # only buckets of several members go on
     members = written(rows.join(stars.select("band", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "band"), "near-members")
-    # the full sets of these; the ids are written, so that their size is known: few enough are broadcast, and texts stay where they are
+    # the full sets of these; other texts stay where they are
     ids = written(members.select("id").distinct().join(places, "id"), "near-ids")
-    sets = written(shingle_sets(docs.select("locator", "text").join(ids, "locator").select("id", "text")), "near-sets")
+    texts = perhaps_in(docs.select("locator", "text"), ids, "locator", ids.count())
+    sets = written(shingle_sets(texts.join(ids, "locator").select("id", "text")), "near-sets")
     roots = tried = None
     turn = F.pmod(F.xxhash64("band"), F.lit(sum(TURNS)))
     for k in range(len(TURNS)):
