@@ -14,10 +14,12 @@ queried by successor search in the range that a node's pointers give, from a con
 
 A text's score is the sum over tokens of the logarithm of the numerator, known where w is, and of that of the denominator, known
 where v is, as c(u v) is a count of v's own trie. Every token is once predicted and once ends the context of another, so that each shard adds up what it knows by document and only these sums are
-sent back, as whole numbers. Words with much of all tokens (found in a first pass) are dealt over several shards by the word before them;
-the number of shards follows the number of tokens.
+sent back, as whole numbers. A first pass counts all words. Words with a third of a shard's tokens are dealt over all shards by the
+word before them, pairs and longer sequences of them with as many by what stands before these, and full sequences by their batch;
+their counts are taken from a second pass. So no key fills a shard; the number of shards follows the number of tokens.
 
-Words are known by 64-bit hashes. Nothing is pruned or capped. Memory a task: some 60 bytes for each of ``SHARD_TOKENS`` tokens at order 2, more at higher orders (README).
+Words are known by 64-bit hashes, as context by 40 bits of these. Nothing is pruned or capped. Memory a task: some 200 bytes for each of
+``SHARD_TOKENS`` tokens at order 3.
 
 Defined cases: null and empty texts consist of the end token; without training rows all counts are 0; repeated rows count
 and are scored each; an empty table gives no rows; extra columns are ignored.
@@ -37,10 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, fold, written
+from tessera.llm.near_dedup import mix
 
 FOLDS, HELD, MASS, STEPS = 7, 2, 300.0, 1024
 ORDER, LIFT = 3, 10.0
-SHARD_TOKENS, BATCH_TOKENS, SHARE = 1_500_000, 6_000_000, 2_048
+SHARD_TOKENS, BATCH_TOKENS, COUNT_TOKENS = 1_500_000, 6_000_000, 3_000_000
 BASE_STEPS = 1 << 32  # base scores travel as whole numbers of these
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line feed
 
@@ -241,34 +244,107 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def frequent(docs: DataFrame) -> tuple[int, dict[int, int]]:
-    """The number of tokens, and words with at least 1 / SHARE of those of some task, with their number there: at most SHARE a task."""
+def training(docs: DataFrame) -> DataFrame:
+    held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
+    return docs.where(~held).select("text")
+
+
+def in_batches(batches, most: int):
+    """The tokens of texts, ``most`` or some more at a time: an end token, then the texts, each with its own."""
+    held, size = [np.array([END], np.uint64)], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.append(tokens(text))
+            size += len(held[-1])
+            if size >= most:
+                yield np.concatenate(held)
+                held, size = held[:1], 0
+    if size:
+        yield np.concatenate(held)
+
+
+def as_long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """word, n: the training counts of all words, combined a batch at a time before the shuffle."""
 
     def count(batches):
-        total, seen = 0, {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                word, times = np.unique(tokens(text), return_counts=True)
-                total += int(times.sum())
-                for w, n in zip(word.tolist(), times.tolist()):
-                    seen[w] = seen.get(w, 0) + n
-                if len(seen) > 150_000:  # rare ones so far may go: what counts is a large share
-                    seen = {w: n for w, n in seen.items() if n * SHARE * 4 >= total}
-        top = [(w, n) for w, n in seen.items() if n * SHARE >= total]
-        yield pa.RecordBatch.from_arrays([pa.array([None, *(np.uint64(w).view(np.int64).item() for w, _ in top)], pa.int64()), pa.array([total, *(n for _, n in top)], pa.int64())], names=["word", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = rows.where("word IS NULL").first()
-    total = total["n"] if total else 0
-    least = max(total // SHARE, 1)
-    return total, {r["word"]: r["n"] for r in rows.where(F.col("word").isNotNull() & (F.col("n") >= least)).toLocalIterator()}  # at most SHARE rows
-
-
-def route(docs: DataFrame, shards: int, split: dict[int, int], order: int) -> DataFrame:
+        for word in in_batches(batches, COUNT_TOKENS):
+            word, n = np.unique(word[1:], return_counts=True)
+            yield pa.RecordBatch.from_arrays([as_long(word), pa.array(n.astype(np.int32))], names=["word", "n"])
+
+    return written(training(docs).mapInArrow(count, "word long, n int").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def context(word: np.ndarray) -> np.ndarray:
+    """What words are known by as context: 40 bits."""
+    return word >> np.uint64(24)
+
+
+def longer(gram: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The hash of a sequence with one more word before it."""
+    return mix(gram * np.uint64(0x9E3779B97F4A7C15) + before)
+
+
+def befores(word: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+    """The ``order - 1`` words before those at ``at`` + 1, the nearest first; before a text's first word stand end tokens alone."""
+    out = [word[at]]
+    for k in range(1, order - 1):
+        out.append(np.where(out[-1] == END, np.uint64(END), word[np.maximum(at - k, 0)]))
+    return out
+
+
+class Hot:
+    """Sequences of one to ``order`` words with so many occurrences that they would fill a shard: by length, hashes and training counts."""
+
+    def __init__(self, levels: list[dict[int, int]]):
+        self.levels = []
+        for level in levels:
+            hashes = np.array(list(level), np.int64).view(np.uint64)
+            by = np.argsort(hashes)
+            self.levels.append((hashes[by], np.array(list(level.values()), np.int64)[by]))
+
+    def counts(self, d: int, grams: np.ndarray) -> np.ndarray:
+        """The training counts of hot sequences, -1 for others."""
+        hashes, n = self.levels[d]
+        if not len(hashes):
+            return np.full(len(grams), -1)
+        at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+        return np.where(hashes[at] == grams, n[at], -1)
+
+
+def hot_sequences(docs: DataFrame, words: DataFrame, order: int, shard_tokens: int) -> Hot:
+    """What is hot has as many training occurrences as a third of a shard, so that its number is bounded by that of the shards;
+    a hot sequence consists of hot words, and these are counted exactly in one more pass over the texts."""
+    least = max(shard_tokens // 3, 1)
+    single = {r["word"]: r["n"] for r in words.where(F.col("n") >= least).toLocalIterator()}
+    if not single:
+        return Hot([{}] * order)
+    ones = Hot([single])
+
+    def count(batches):
+        for word in in_batches(batches, COUNT_TOKENS):
+            at = np.flatnonzero(ones.counts(0, word[1:]) >= 0)
+            gram = word[at + 1]
+            for d, before in enumerate(befores(word, at, order), 1):
+                go = ones.counts(0, before) >= 0
+                gram = longer(gram, context(before))
+                got, n = np.unique(gram[go], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), d, np.int32)), as_long(got), pa.array(n.astype(np.int32))], names=["d", "gram", "n"])
+
+    found = training(docs).mapInArrow(count, "d int, gram long, n int").groupBy("d", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    levels = [single] + [{} for _ in range(order - 1)]
+    for r in found.toLocalIterator():  # at most three for each shard and length
+        levels[r["d"]][r["gram"]] = r["n"]
+    return Hot(levels)
+
+
+def route(docs: DataFrame, shards: int, hot: Hot, order: int) -> DataFrame:
     """A row for each batch of texts and shard: the shard's words there, the ``order - 1`` words before them, and whose they are; and one
-    for each batch with its documents, under a negative shard. ``split``: over how many shards a frequent word is dealt."""
-    hot = np.array(sorted(np.array(list(split), np.int64).view(np.uint64).tolist()), np.uint64)
-    ways = np.array([split[h.view(np.int64).item()] for h in hot], np.uint64)
+    for each batch with its documents, under a negative shard. Hot words are dealt by the word before them as well, hot pairs by the
+    one before these, and so on; hot sequences of full length by their batch."""
 
     def deal(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -281,12 +357,17 @@ def route(docs: DataFrame, shards: int, split: dict[int, int], order: int) -> Da
             texts.clear()
             owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
             place = word[1:].copy()
-            if len(hot):
-                is_hot = np.flatnonzero(np.isin(place, hot))
-                k = np.searchsorted(hot, place[is_hot])
-                place[is_hot] += (word[is_hot] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % ways[k]
+            gram = place
+            at = np.arange(len(place), dtype=np.int32)
+            for d in range(order):
+                is_hot = hot.counts(d, gram) >= 0
+                at, gram = at[is_hot], gram[is_hot]
+                if not len(at):
+                    break
+                gram = longer(gram, context(befores(word, at, d + 2)[d]) if d + 1 < order else np.uint64(batch))
+                place[at] = gram
             shard = (place % np.uint64(shards)).astype(np.int32)
-            del place
+            del place, gram, at
             by_shard = np.argsort(shard, kind="stable").astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
             del shard
@@ -294,12 +375,12 @@ def route(docs: DataFrame, shards: int, split: dict[int, int], order: int) -> Da
             for s in range(shards):
                 o = by_shard[ends[s] : ends[s + 1]]
                 if len(o):
-                    columns = [word[o + 1], word[o]]
-                    for k in range(1, order - 1):  # before a text's first word stand end tokens alone
-                        columns.append(np.where(columns[-1] == END, np.uint64(END), word[np.maximum(o - k, 0)]))
-                    grams = [x for u, i in (np.unique(c, return_inverse=True) for c in columns) for x in (u, i.astype(np.int32))]
-                    own = owner[o]
-                    got.append((batch, s, pack(*grams, np.diff(own, prepend=0), np.array(held, np.uint8))))
+                    own, (u, i) = owner[o], np.unique(word[o + 1], return_inverse=True)
+                    columns = [u, i.astype(np.int32), np.diff(own, prepend=0), np.array(held, np.uint8)]
+                    for before in befores(word, o, order):
+                        c = context(before)
+                        columns += [c.astype(np.uint32), (c >> np.uint64(32)).astype(np.uint8)]
+                    got.append((batch, s, pack(*columns)))
             ids.clear(), held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.int64(), pa.int32(), pa.binary()))], names=["batch", "shard", "data"])
 
@@ -318,113 +399,65 @@ def route(docs: DataFrame, shards: int, split: dict[int, int], order: int) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held).mapInArrow(deal, "batch long, shard int, data binary")
 
 
-def count(shard: pa.Table) -> pa.Table:
-    """Of a shard: training counts of words and the sequences that end in them, and by full sequence the documents that hold it. Rows of documents pass through."""
-    number = shard.column("shard")[0].as_py()
-    if number < 0:
-        rows = list(zip(shard.column("batch").to_pylist(), shard.column("data").to_pylist()))
-        return counted([(number, b, 0, 0, d) for b, d in rows])
-    batch_of = np.array(sorted(shard.column("batch").to_pylist()), np.int64)
-    grams, owners, trains = [], [], []
-    for b, data in zip(shard.column("batch").to_pylist(), shard.column("data").to_pylist()):
-        *columns, own, held = unpack(data)
-        own = np.cumsum(own, dtype=np.int64)
-        grams.append([u[i] for u, i in zip(columns[::2], columns[1::2])])
-        owners.append(np.searchsorted(batch_of, b) << 20 | own), trains.append(held[own] == 0)
-    keys = [np.concatenate(x) for x in zip(*grams)]  # words, the words before them, those before these, ...
-    owner, train = np.concatenate(owners), np.concatenate(trains)
-    del grams, owners, trains
-    order = np.lexsort(keys[::-1])
-    owner, train = owner[order], train[order].astype(np.int64)
-    differs, starts = np.zeros(len(owner), bool), []
-    differs[0] = True
-    for k, key in enumerate(keys):
-        keys[k] = key = key[order]
-        differs[1:] |= key[1:] != key[:-1]
-        starts.append(np.flatnonzero(differs))
-        keys[k] = key[starts[-1]]  # of each node
-    occurrences = np.diff(np.append(starts[-1], len(owner)))
-    counts = [np.add.reduceat(train, at) for at in starts]
-    ub, place = np.unique(np.concatenate(keys[1:]), return_inverse=True)
-    places = np.split(place.astype(np.int32), np.cumsum([len(k) for k in keys[1:]])[:-1])
-    levels = []
-    for above, at, ib, n in zip(starts, starts[1:], places, counts[1:]):
-        levels += [np.diff(np.append(np.searchsorted(at, above), len(at))).astype(np.int32), ib, n.astype(np.int32)]
-    data = pack(keys[0], counts[0], ub, *levels, occurrences.astype(np.int32), owner, batch_of)
-    return counted([(number, None, int(counts[0].sum()), int((counts[0] > 0).sum()), data)])
-
-
-COUNTED = "shard int, batch long, train long, known long, data binary"
-
-
-def counted(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "batch", "train", "known", "data"])
-
-
-def hot_counts(table: DataFrame, split: dict[int, int]) -> tuple[dict[int, int], int]:
-    """Training counts of the words that several shards hold, and in how many of those they are known beyond the first."""
-    hot = np.array(sorted(np.array(list(split), np.int64).view(np.uint64).tolist()), np.uint64)
-
-    def look(batches):
-        for batch in batches:
-            for data in batch.column(0):
-                uw, counts = unpack(data.as_py())[:2]
-                at = np.isin(uw, hot)
-                yield pa.RecordBatch.from_arrays([pa.array(uw[at].view(np.int64)), pa.array(counts[at])], names=["word", "n"])
-
-    if not split:
-        return {}, 0
-    rows = table.where("shard >= 0").select("data").mapInArrow(look, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("int")).alias("known"))
-    got = rows.collect()  # at most SHARE rows
-    return {r["word"]: r["n"] for r in got}, sum(max(r["known"] - 1, 0) for r in got)
-
-
-def scores(table: DataFrame, train: int, known: int, hot: dict[int, int]) -> DataFrame:
-    """batch, data: by document of a batch, what a shard knows of its sums."""
+SUMS = "batch long, docs boolean, data binary"
+
+
+def sums(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.bool_(), pa.binary()))], names=["batch", "docs", "data"])
+
+
+def scores(train: int, known: int, hot: Hot):
+    """A function from a shard's rows to what it knows of the sums of documents, by batch. Rows of documents pass through."""
     total = float(train + known + 1)
-    hot_words = np.array(sorted(np.array(list(hot), np.int64).view(np.uint64).tolist()), np.uint64)
-    hot_n = np.array([hot[h.view(np.int64).item()] for h in hot_words], np.int64)
-
-    def shard(data: bytes) -> pa.RecordBatch:
-        uw, counts, ub, *levels, occurrences, owner, batch_of = unpack(data)
-        levels = list(zip(levels[::3], levels[1::3], levels[2::3]))
-        counts = counts.copy()
-        if len(hot_words):
-            k = np.minimum(np.searchsorted(hot_words, uw), len(hot_words) - 1)
-            counts = np.where(hot_words[k] == uw, hot_n[k], counts)
-        in_training = stay = counts > 0
-        known = []  # of each level what was seen in training
-        for children, ib, n in levels:
+
+    def score(shard: pa.Table) -> pa.Table:
+        rows = sorted(zip(shard.column("batch").to_pylist(), shard.column("data").to_pylist()))
+        if shard.column("shard")[0].as_py() < 0:
+            return sums([(b, True, d) for b, d in rows])
+        parts = [unpack(d) for _, d in rows]
+        word = np.concatenate([u[i] for u, i, *_ in parts])
+        own = [np.cumsum(p[2], dtype=np.int64) for p in parts]
+        train_at = np.concatenate([p[3][o] == 0 for p, o in zip(parts, own)])
+        owner = np.concatenate([k << 20 | o for k, o in enumerate(own)])  # ascending
+        before = [np.concatenate([p[k].astype(np.uint64) | p[k + 1].astype(np.uint64) << np.uint64(32) for p in parts]) for k in range(4, len(parts[0]), 2)]
+        del parts, own
+        # the sequences of each length, ascending: what they end in (of the length below), the word before, training counts
+        words, node = np.unique(word, return_inverse=True)
+        counts = np.bincount(node[train_at], minlength=len(words))
+        same = hot.counts(0, words)
+        counts, gram, levels = np.where(same >= 0, same, counts), words, []
+        for d, b in enumerate(before, 1):
+            key, node = np.unique(node.astype(np.uint64) << np.uint64(40) | b, return_inverse=True)
+            above, b = (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1)
+            n = np.bincount(node[train_at], minlength=len(key))
+            gram = longer(gram[above], b)
+            same = hot.counts(d, gram)
+            levels.append((above, b, np.where(same >= 0, same, n)))
+        del word, before
+        # of each level, what was seen in training goes to the trie
+        stay, known_levels = counts > 0, []
+        for above, b, n in levels:
             seen = n > 0
-            known.append((np.add.reduceat(seen.astype(np.int64), np.cumsum(children) - children)[stay], ub[ib[seen]], n[seen]))
+            known_levels.append((np.bincount(above[seen], minlength=len(stay))[stay], b[seen], n[seen]))
             stay = seen
-        trie = Trie(uw[in_training], counts[in_training], *known[0], 1.0, total, known[1:])
-        node = trie.find(uw)
-        c = np.where(node >= 0, trie.counts[np.maximum(node, 0)], 0) if trie.words.n else np.zeros(len(uw), np.int64)
-        word, before = np.arange(len(uw)), []  # of each full sequence
-        for children, ib, _ in levels:
-            word, before = np.repeat(word, children), [np.repeat(b, children) for b in before] + [ub[ib]]
-        loss = sum(trie.grams(node[word], *before))
-        del before
-        loss = np.round(-loss * STEPS).astype(np.int64)  # not negative: c(v w) is at most c(w), c(u v w) at most c(v w)
-        base, is_known = np.round(np.log10(c + 1.0) * BASE_STEPS).astype(np.int64)[word], (node >= 0)[word]
-        order = np.argsort(owner, kind="stable")
-        pair = np.repeat(np.arange(len(occurrences), dtype=np.int32), occurrences)[order]
-        docs = owner[order]
-        new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-        sums = [np.add.reduceat(x[pair], new) for x in (base, loss, is_known.astype(np.int32))]
-        docs = docs[new]
-        ends = np.searchsorted(docs >> 20, np.arange(len(batch_of) + 1))
-        out = [(b, pack((docs[i:j] & 0xFFFFF).astype(np.int32), *(x[i:j] for x in sums))) for b, i, j in zip(batch_of.tolist(), ends[:-1], ends[1:]) if j > i]
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], names=["batch", "data"])
-
-    def score(batches):
-        for batch in batches:
-            for data in batch.column(0):  # one shard's arrays at a time: those of the one before are gone
-                yield shard(data.as_py())
-
-    return table.where("shard >= 0").select("data").mapInArrow(score, "batch long, data binary")
+        trie = Trie(words[counts > 0], counts[counts > 0], *known_levels[0], 1.0, total, known_levels[1:])
+        found = trie.find(words)
+        c = np.where(found >= 0, trie.counts[np.maximum(found, 0)], 0) if trie.words.n else np.zeros(len(words), np.int64)
+        # each full sequence is looked up once: its word, and the words before it
+        at, asked = np.arange(len(levels[-1][0])), []
+        for above, b, _ in reversed(levels):
+            asked.insert(0, b[at])
+            at = above[at]
+        loss = -sum(trie.grams(found[at], *asked))
+        loss = np.round(loss * STEPS).astype(np.int64)  # not negative: a count is at most that of what it ends in
+        base, is_known = np.round(np.log10(c + 1.0) * BASE_STEPS).astype(np.int64)[at], (found >= 0)[at]
+        new = np.flatnonzero(np.diff(owner, prepend=-1))
+        got = [np.add.reduceat(x[node], new) for x in (base, loss, is_known.astype(np.int32))]
+        docs = owner[new]
+        ends = np.searchsorted(docs >> 20, np.arange(len(rows) + 1))
+        return sums([(b, False, pack((docs[i:j] & 0xFFFFF).astype(np.int32), *(x[i:j] for x in got))) for (b, _), i, j in zip(rows, ends[:-1], ends[1:]) if j > i])
+
+    return score
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -449,19 +482,16 @@ def gather(train: int, known: int):
     return add
 
 
-def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, order: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
-    n, words = frequent(docs)
-    shards = max(-(-n // shard_tokens), 1)
-    split = {w: min(-(-2 * c * shards // n), shards) for w, c in words.items() if 2 * c * shards > n}
-    table = written(route(docs, shards, split, order).groupBy("shard").applyInArrow(count, COUNTED), "lm-counts")
-    sums = table.where("shard >= 0").agg(F.sum("train"), F.sum("known")).first()
-    hot, again = hot_counts(table, split)
-    train, known = sums[0] or 0, (sums[1] or 0) - again
-    rows = scores(table, train, known, hot).withColumn("docs", F.lit(False))
-    rows = rows.unionByName(table.where("shard < 0").select("batch", "data", F.lit(True).alias("docs")))
+    words = vocabulary(docs)
+    seen = words.agg(F.sum("n"), F.count(F.lit(1))).first()
+    train, known = seen[0] or 0, seen[1]
+    hot = hot_sequences(docs, words, order, shard_tokens)
+    shards = max(-(-train * FOLDS // ((FOLDS - 1) * shard_tokens)), 1)
+    rows = route(docs, shards, hot, order).groupBy("shard").applyInArrow(scores(train, known, hot), SUMS)
     return rows.groupBy("batch").applyInArrow(gather(train, known), RESULT)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(documents(spark, sf_dir), order=ORDER)
+    return lm_scores(documents(spark, sf_dir))

@@ -180,14 +180,14 @@ def brute_lm(docs):
 @pytest.mark.parametrize("shard_tokens", [4_000_000, 9_000])
 def test_lm_scores(spark, small, shard_tokens):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    got = {r["doc_id"]: tuple(r.values()) for r in rows_of(ngram_trie.lm_scores(docs, shard_tokens))}
+    got = {r["doc_id"]: tuple(r.values()) for r in rows_of(ngram_trie.lm_scores(docs, shard_tokens, 2))}
     for want in brute_lm([tuple(r) for r in docs.collect()]):
         have = got[want[0]]
         assert have[:5] == want[:5] and have[5] == pytest.approx(want[5], rel=1e-9) and have[6] == pytest.approx(want[6], abs=0.002 * want[2])
 
 
 def test_lm_scores_of_edge_cases(edge):
-    got = sorted((tuple(r.values()) for r in rows_of(ngram_trie.lm_scores(edge))), key=str)
+    got = sorted((tuple(r.values()) for r in rows_of(ngram_trie.lm_scores(edge, order=2))), key=str)
     for have, want in zip(got, sorted(brute_lm([(r["doc_id"], r["text"]) for r in edge.collect()]), key=str)):
         assert have[:5] == want[:5] and have[5] == pytest.approx(want[5], rel=1e-9) and have[6] == pytest.approx(want[6], abs=0.002 * want[2])
 
@@ -214,7 +214,7 @@ def test_elias_fano(n):
     assert (seq.successor(ask) == np.searchsorted(values, ask)).all()
 
 
-def brute_near(docs):
+def brute_near(docs, least=85):
     sets = {}
     for i, t in docs:
         w = (t or "").encode().lower().split()
@@ -232,7 +232,7 @@ def brute_near(docs):
             where[x].append(i)
     for i, s in sets.items():
         for j, both in Counter(j for x in s for j in where[x] if j < i).items():
-            if 100 * both >= 85 * (len(s) + len(sets[j]) - both):
+            if 100 * both >= least * (len(s) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -245,6 +245,32 @@ def test_near_dedup(spark, small, edge):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (*want[r["doc_id"]], r["doc_id"] == want[r["doc_id"]][1])
 
 
+@pytest.mark.parametrize("peels", [1, 2])
+def test_near_dedup_loses_no_link_of_a_crowd(spark, peels, monkeypatch):
+    """Copies that differ in some words, many pairs close to the limit on either side."""
+    monkeypatch.setattr(near_dedup, "PEELS", peels)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    draw = np.random.default_rng(11)
+    rows = []
+    for crowd, size in enumerate((70, 40, 9)):
+        base = [f"w{crowd}x{k}" for k in range(120)]
+        for k in range(size):
+            words = list(base)
+            for at in draw.choice(120, draw.integers(1, 4), replace=False):
+                words[at] = f"other{draw.integers(0, 6)}"
+            rows.append((int(draw.integers(0, 1 << 40)), " ".join(words)))
+    want = brute_near(rows)
+    assert 5 < len({c for _, c in want.values()}) < len(rows)
+    for r in rows_of(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))):
+        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+
+
+def test_overlaps_are_sizes_of_intersections():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 300, n)) for n in (1, 40, 200, 90)]
+    assert near_dedup.overlaps(sets, sets[::-1], 64).tolist() == [[len(np.intersect1d(a, b)) for b in sets[::-1]] for a in sets]
+
+
 def test_surrogates_keep_types_and_coreference(spark):
     text = "Mr. John Smith (John.Smith@acme.com, +1 (366) 555-9807, 42.144.35.254) paid by 4041894974608795. MRS Anna Smith: 366-555-9807, john.smith@acme.com; v4.0. 1234567890123"
     docs = spark.createDataFrame([(1, text), (2, "nothing to hide, 12.5.2020")], "doc_id long, text string")
@@ -320,7 +346,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, small):
     first = {}
     for i, t in rows:
         first.setdefault(norm(t), (i, t))
-    near = brute_near(first.values())
+    near = brute_near(first.values(), near_dedup.STAGE_SIMILARITY)
     want = {i for i, (_, c) in near.items() if i == c}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, small).select("doc_id").distinct().collect()} == want
 
@@ -344,6 +370,15 @@ def test_rows_without_an_id_are_kept_once_a_group(spark, edge, small):
     assert Counter(r["doc_id"] for r in near_dedup.keep_one(spark, edge, small).collect()) == Counter([1, 2, 3, 4, 8, 10, 11, None])
 
 
+def test_dedup_of_rows_multiplied_since_the_scan_and_of_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(3, "a b", "x", 1), (5, "c d", "y", 2)], "doc_id long, text string, locator string, found int").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d").withColumn("_h", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows_of(exact_dedup.exact_dedup(docs))) == Counter([(3, 3, 2, True), (3, 3, 2, False), (5, 5, 2, True), (5, 5, 2, False)])
+    for stage in (exact_dedup.keep_first, near_dedup.keep_one):
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and sorted((r["doc_id"], r["locator"]) for r in kept.collect()) == [(3, "x"), (5, "y")]
+
+
 def test_pipeline_keeps_rows_without_an_id(spark, edge, tmp_path):
     import corpus_pipeline
 
