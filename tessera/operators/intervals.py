@@ -35,3 +35,14 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: float) -> DataF
     first = F.floor(F.greatest("s1", "s2") / width)
     pairs = a.join(b, [key, "bin"]).where((F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")) & (F.col("bin") == first))
     return pairs.select(key, "left_id", "right_id", (F.least("e1", "e2") - F.greatest("s1", "s2")).alias("overlap"))
+
+
+def adjacent(df: DataFrame, key: str, gap: float) -> DataFrame:
+    """Pairs of rows (id, key, start, end) of one key of which an end and a beginning, or both beginnings, lie ``gap`` or less apart:
+    key, left_id, right_id with left_id < right_id. Points meet in bins of width ``gap`` and their neighbours."""
+    points = F.array(F.struct(F.lit(0).alias("k"), F.col("start").alias("p")), F.struct(F.lit(1).alias("k"), F.col("end").alias("p")))
+    rows = df.select(key, "id", F.explode(points).alias("x")).select(key, "id", "x.k", "x.p", F.floor(F.col("x.p") / gap).alias("bin"))
+    a = rows.select(key, F.col("id").alias("left_id"), F.col("k").alias("ka"), F.col("p").alias("pa"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    b = rows.select(key, F.col("id").alias("right_id"), F.col("k").alias("kb"), F.col("p").alias("pb"), "bin")
+    near = a.join(b, [key, "bin"]).where((F.col("left_id") < F.col("right_id")) & (F.abs(F.col("pa") - F.col("pb")) <= gap) & (F.col("ka") + F.col("kb") < 2))
+    return near.select(key, "left_id", "right_id").distinct()

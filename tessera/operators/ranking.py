@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Blocks of queries in vector search.
+BLOCKS = 16
+
+
 def weighted(signals: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean of the signals at hand: the weight of a null one goes to the others; null without any."""
     present = reduce(add, [F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in signals.values()])
@@ -26,6 +30,11 @@ def winners(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("place = 1").drop("place")
 
 
+def top(df: DataFrame, key: str, order: list[Column], k: int, name: str = "place") -> DataFrame:
+    """The first ``k`` rows of each key in order, with their place from 1. Spark cuts each partition to ``k`` rows a key before the shuffle."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(name) <= k).withColumn(name, F.col(name).cast("long"))
+
+
 def capped_top(df: DataFrame, key: str, part: str, order: list[Column], cap: int, total: int) -> DataFrame:
     """At most ``cap`` rows of each part and ``total`` rows of each key, in order, with their place."""
     capped = df.withColumn("in_part", F.row_number().over(Window.partitionBy(key, part).orderBy(*order))).where(F.col("in_part") <= cap)
@@ -42,15 +51,23 @@ def apportion(df: DataFrame, weight: str, name: str, seats: int) -> DataFrame:
     return rows.withColumns({"left": left, "place": place}).select(name, (F.col("floor") + (F.col("place") <= F.col("left")).cast("long")).alias("seats"))
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest rows (vec_id, embedding) by cosine for each query row (a stated set, joined in blocks): query_id, vec_id, similarity, place."""
-    unit = lambda: F.transform("embedding", lambda x: x.cast("double") / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    left = queries.select(F.col("vec_id").alias("query_id"), unit().alias("q"))
-    pairs = base.select("vec_id", unit().alias("v")).join(left, F.col("vec_id") != F.col("query_id"))
+def cosines(base: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, vec_id, similarity of all rows (vec_id, embedding) with each query row (a stated set) but itself.
+
+    Vectors are scaled to unit length once. The queries are dealt into blocks that every base row meets in turn, so that neither
+    side is broadcast and a task holds a block of queries at a time.
+    """
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))
+    unit = lambda df: df.select("vec_id", "embedding", F.sqrt(square).alias("_norm")).select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("v"))
+    left = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).cast("int").alias("block"))
+    right = unit(base).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = pairs.select("query_id", "vec_id", F.round(dot, 6).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    return right.join(left, "block").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 6).alias("similarity"))
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest rows by cosine for each query row: query_id, vec_id, similarity, place."""
+    return top(cosines(base, queries), "query_id", [F.desc("similarity"), F.col("vec_id")], k).withColumn("place", F.col("place").cast("int"))
 
 
 def gaussian(value: Column, target: float, sigma: float) -> Column:

@@ -48,3 +48,35 @@ def hamming_pairs(df: DataFrame, name: str, most: int, bits: int) -> DataFrame:
     differ = F.col("left_hash").bitwiseXOR(F.col("right_hash"))
     first = F.coalesce(*(F.when(band(differ, i) == 0, F.lit(i)) for i in range(most + 1)))
     return pairs.withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= most) & (F.col("i") == first)).select("left_hash", "right_hash", "distance")
+
+
+def bands(lists: DataFrame, key: str, rows: str, width: float) -> DataFrame:
+    """key, the rows' columns and band. ``rows`` ascend by ``minus``, the negated score; a band holds what lies within ``width`` of its top."""
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("band"), F.array().cast("array<int>").alias("out"))
+
+    def step(a, r):
+        new = a["top"].isNull() | (a["top"] + r["minus"] > width)
+        band = a["band"] + new.cast("int")
+        return F.struct(F.when(new, -r["minus"]).otherwise(a["top"]).alias("top"), band.alias("band"), F.array_append(a["out"], band).alias("out"))
+
+    found = lists.select(key, rows, F.aggregate(rows, start, step)["out"].alias("_bands"))
+    zipped = F.explode(F.arrays_zip(F.col(rows).alias("r"), F.col("_bands").alias("band")))
+    return found.select(key, zipped.alias("z")).select(key, "z.r.*", "z.band")
+
+
+def broken_runs(lists: DataFrame, key: str, rows: str, longest: int, others: list[str]) -> DataFrame:
+    """key, event_id and value: the values of ``rows`` (event_id, event_type) in order, of which no more than ``longest`` in a row are
+    equal; the next one is taken from ``others`` in turn (the one after it, if that is the same value)."""
+    alt = F.array(*map(F.lit, others))
+    start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("run"), F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, r):
+        same = F.coalesce(a["value"] == r["event_type"], F.lit(False))
+        full = same & (a["run"] >= longest)
+        turn = lambda k: F.element_at(alt, k % len(others) + 1)
+        value = F.when(full, F.when(turn(a["used"]) == r["event_type"], turn(a["used"] + 1)).otherwise(turn(a["used"]))).otherwise(r["event_type"])
+        run = F.when(same & ~full, a["run"] + 1).otherwise(1)
+        return F.struct(value.alias("value"), run.alias("run"), (a["used"] + full.cast("int")).alias("used"), F.array_append(a["out"], value).alias("out"))
+
+    found = lists.select(key, rows, F.aggregate(rows, start, step)["out"].alias("_values"))
+    return found.select(key, F.explode(F.arrays_zip(F.col(rows).alias("r"), F.col("_values").alias("value"))).alias("z")).select(key, "z.r.event_id", "z.value")
