@@ -30,3 +30,12 @@ def duration(seconds: Column) -> Column:
     """Whole seconds as ``3m 05s``, under a minute as ``5s``."""
     s = seconds.cast("long")
     return F.when(s >= 60, F.format_string("%dm %02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
+
+
+def weighted_cosine(words: Column, weights: Column, query: dict[str, int]) -> Column:
+    """The cosine of a bag of weighted words (parallel arrays) with the query's words; 0 where the bag is empty."""
+    wanted = F.create_map(*(F.lit(x) for kv in query.items() for x in kv))
+    bag = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), F.aggregate(F.filter(F.arrays_zip(words.alias("w"), weights.alias("x")), lambda e: e["w"] == w), F.lit(0), lambda a, e: a + e["x"]).alias("x")))
+    dot = F.aggregate(bag, F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(F.try_element_at(wanted, e["w"]), F.lit(0)))
+    norm = F.sqrt(F.aggregate(bag, F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+    return F.coalesce(F.try_divide(dot, norm * float(sum(v * v for v in query.values())) ** 0.5), F.lit(0.0))

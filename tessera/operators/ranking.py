@@ -20,6 +20,14 @@ def weighted(signals: dict[str, tuple[Column, float]]) -> Column:
     return F.when(present > 0, total / present)
 
 
+def redistributed(base: list[tuple[Column, float]], optional: list[tuple[Column, float]]) -> Column:
+    """Weighted sum of signals: a missing base signal counts 0; the weights of missing optional ones go to the base ones in proportion."""
+    total = sum(w for _, w in base)
+    absent = reduce(add, [F.when(c.isNull(), w).otherwise(0.0) for c, w in optional])
+    both = [reduce(add, [w * F.coalesce(c, F.lit(0.0)) for c, w in part]) for part in (base, optional)]
+    return both[0] * (1 + absent / total) + both[1]
+
+
 def tier(score: Column) -> Column:
     """Confidence tier of a score from 0 to 100."""
     return F.when(score >= 85, "high").when(score >= 70, "medium").when(score >= 50, "low").otherwise("none")
