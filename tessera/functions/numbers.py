@@ -54,3 +54,21 @@ def relevance(tier: Column, base: Column, entities: Column, video: Column) -> Co
     score = base + F.when(entities >= 2, 10).otherwise(0) + F.when(entities >= 3, 6).otherwise(0)
     score = F.when((entities == 0) & (tier >= 4), F.least(score, F.lit(22))).otherwise(score)
     return F.greatest(F.lit(0), F.least(F.lit(100), score + F.when(video & (score >= 50), 4).otherwise(0)))
+
+
+def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """What the ranges a to b and c to d share."""
+    return F.greatest(F.lit(0.0), F.least(b, d) - F.greatest(a, c))
+
+
+def cosine(x: Column, y: Column) -> Column:
+    """0 where lengths differ, one is missing or has no length."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
+    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+    return F.when((F.size(x) == F.size(y)) & (norm > 0), dot(x, y) / norm).otherwise(0.0)
+
+
+def dhash(values: Column, side: int = 8) -> Column:
+    """Of ``side`` x ``side`` values, bit by bit whether each is less than its right neighbour."""
+    places = F.array(*(F.lit(r * side + c) for r in range(side) for c in range(side - 1)))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda h, i: h * 2 + (values[i] < values[i + 1]).cast("long"))

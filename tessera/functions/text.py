@@ -39,3 +39,22 @@ def weighted_cosine(words: Column, weights: Column, query: dict[str, int]) -> Co
     dot = F.aggregate(bag, F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(F.try_element_at(wanted, e["w"]), F.lit(0)))
     norm = F.sqrt(F.aggregate(bag, F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
     return F.coalesce(F.try_divide(dot, norm * float(sum(v * v for v in query.values())) ** 0.5), F.lit(0.0))
+
+
+#: Latin-1 letters with diacritics and the letters they are written with.
+MARKED, BARE = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def plain_slug(text: Column, default: str, most: int = 100) -> Column:
+    """A slug of letters without diacritics; ``default`` where nothing is left."""
+    return F.coalesce(F.nullif(slug(F.translate(F.lower(text), MARKED, BARE), most), F.lit("")), F.lit(default))
+
+
+def fragment(note: Column) -> Column:
+    """A note "Fragment uit NAME (m:ss–m:ss)" as source (lower case), start and end in seconds; nulls where it isn't one, or ends
+    before it starts."""
+    part = lambda k: F.regexp_extract(note, r"^Fragment uit (.+?) \((\d+):(\d{2})[–-](\d+):(\d{2})\)$", k)
+    number = lambda k: part(k).try_cast("long")
+    start, end = number(2) * 60 + number(3), number(4) * 60 + number(5)
+    ok = end > start
+    return F.struct(F.when(ok, F.lower(F.trim(part(1)))).alias("source"), F.when(ok, start).alias("start"), F.when(ok, end).alias("end"))

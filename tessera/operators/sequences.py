@@ -40,8 +40,8 @@ def places_in_runs(df: DataFrame, key: str, order: list[str], value: str, long:
 def hamming_pairs(df: DataFrame, name: str, most: int, bits: int) -> DataFrame:
     """left_hash, right_hash, distance of different hashes at most ``most`` bits apart. Of ``most`` + 1 bands one is equal in such a
     pair, so that none is lost; a pair is kept in its first equal band, so that it comes once."""
-    width = -(-bits // (most + 1))
-    band = lambda h, i: F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit((1 << width) - 1))
+    ends = [i * bits // (most + 1) for i in range(most + 2)]  # dealt evenly, so that no band is empty
+    band = lambda h, i: F.shiftrightunsigned(h, ends[i]).bitwiseAND(F.lit((1 << ends[i + 1] - ends[i]) - 1))
     hashes = df.select(F.col(name).cast("long").alias("h")).where("h IS NOT NULL").distinct()
     banded = hashes.select("h", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), band(F.col("h"), i).alias("b")) for i in range(most + 1)))).alias("x")).select("h", "x.i", "x.b")
     pairs = banded.withColumnRenamed("h", "left_hash").join(banded.withColumnRenamed("h", "right_hash"), ["i", "b"]).where("left_hash < right_hash")
@@ -80,3 +80,13 @@ def broken_runs(lists: DataFrame, key: str, rows: str, longest: int, others: lis
 
     found = lists.select(key, rows, F.aggregate(rows, start, step)["out"].alias("_values"))
     return found.select(key, F.explode(F.arrays_zip(F.col(rows).alias("r"), F.col("_values").alias("value"))).alias("z")).select(key, "z.r.event_id", "z.value")
+
+
+def numbered(df: DataFrame, key: list[str], stretch: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's number from 1 in order within its key. ``stretch`` is a column that rises with the order: rows are numbered
+    within a stretch, after the counts of the stretches before it, so that a key with much of all rows is not sorted in one task."""
+    counts = df.groupBy(*key, stretch).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*(key or [F.lit(1)])).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*key, stretch, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*key, stretch).orderBy(*order))
+    return df.withColumn("_place", place).join(counts, [*key, stretch]).withColumn(name, F.col("_before") + F.col("_place")).drop("_before", "_place")
