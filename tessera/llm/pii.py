@@ -1,10 +1,11 @@
 """Operator 9: surrogates for personal data. DataFrame and SQL functions only.
 
-One pattern finds e-mail addresses, IPv4 addresses, IBANs (checked modulo 97), payment cards (Luhn), US social security
-numbers, telephone numbers, and names (after a title, or a known given name before a capitalised one). Every mention is
+A pattern finds e-mail addresses, IPv4 addresses, IBANs (checked modulo 97), payment cards (Luhn), US social security
+numbers, telephone numbers, and names (after a title, or a known given name before a capitalised one; then the surname
+alone as well, wherever it stands in the text). Every mention is
 made of entities: an address of its mailbox and its domain, a name of its given names (with the gender that title or
 name tell) and its surname, anything else of itself, in a form that doesn't depend on punctuation or case. An entity's
-surrogate is drawn from SHA-512 of the key, its kind and the entity: digits for digits and letters for letters, valid
+surrogate is drawn by HMAC-SHA-512 under a key, which is the session's setting ``SETTING`` or else drawn at random once a session, from its kind and the entity: digits for digits and letters for letters, valid
 checksums, brand and country kept, names of the same gender and script. It is written back in each mention's own format,
 so that the same entity reads alike wherever it is met.
 
@@ -14,11 +15,14 @@ Nearly all entities stay at draw 0, so that their surrogates are worked out in p
 others are joined with these draws. A hot entity costs one row in the entity table, since rows are combined before the shuffle.
 
 Defined cases: a null text stays null, without entities; empty texts stay empty; texts without entities stay as they are; repeated rows
-are each rewritten alike; an empty table gives no rows; extra columns are ignored by the query and kept by the stage.
+are each rewritten alike; an empty table gives no rows; extra columns, whatever their names, are ignored by the query and kept by the
+stage; a null doc_id is kept. Names without a title or a known given name are not found.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, written
 
-KEY, ROUNDS = "tessera", 64
+#: The session setting that holds the key.
+SETTING, ROUNDS = "spark.tessera.pii.key", 64
 KINDS = ("email", "ip", "iban", "card", "ssn", "phone", "name")
 
 # fixed values: titles by gender, and common given names by gender
@@ -137,6 +142,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's setting; where there is none, a random one, which then is the session's."""
+    key = spark.conf.get(SETTING, None)
+    if not key:
+        spark.conf.set(SETTING, key := secrets.token_hex(32))
+    return key
+
+
+def hmac(key: str, text: Column) -> Column:
+    """HMAC-SHA-512 of a text, as hexadecimal digits."""
+    block = hashlib.sha512(key.encode()).digest().ljust(128, b"\0")  # keys of any length are hashed first
+    inner, outer = (F.lit(bytes(b ^ x for b in block)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 512))), 512)
+
+
 class Draw:
     """Keyed numbers for an entity's draw, from 256 hexadecimal digits: ``at(i)`` is below 256."""
 
@@ -145,8 +165,8 @@ class Draw:
 
     @staticmethod
     def digits(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-        seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
-        return F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f+")), 512))
+        seed = F.concat_ws("\x1f", kind, canon, attempt.cast("string"))
+        return F.concat(hmac(key, seed), hmac(key, F.concat(seed, F.lit("\x1f+"))))
 
     def at(self, i) -> Column:
         place = F.pmod(i if isinstance(i, Column) else F.lit(i), F.lit(128))
@@ -267,20 +287,30 @@ def rendered(key: str, m: Column, kind: Column, draws: Column | None) -> Column:
     return F.when(kind.isNull(), m).otherwise(let(F.transform(entities_of(m, kind), plain), put))
 
 
-def found_in(text: Column) -> Column:
-    """The mentions of a text (m) and their kinds, in order; kind is null where a checksum fails."""
+def pattern_for(text: Column) -> Column:
+    """The pattern for a text: with the surnames of its names, so that these are met where they stand alone as well."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
+    names = F.filter(found, lambda m: m.rlike(r"^\p{Lu}") & ~m.contains("@") & ~m.rlike("^[A-Z]{2}[0-9]{2}"))
+    surnames = F.array_distinct(F.transform(names, lambda m: F.element_at(name_parts(m), -1)))
+    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}@._-])(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}@_-])"))
+    return F.when(F.size(surnames) > 0, alone).otherwise(F.lit(PATTERN))
+
+
+def found_in(text: Column, pattern: Column) -> Column:
+    """The mentions of a text (m) and their kinds, in order; kind is null where a checksum fails."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), pattern, F.lit(0))
     return F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
 
 
 def entity_rows(docs: DataFrame, **more: Column) -> DataFrame:
     """kind and canon of every entity of every mention, a row each, beside the columns ``more``."""
     names = list(more)
-    mentions = docs.select(*(c.alias(n) for n, c in more.items()), F.explode(found_in(F.col("text"))).alias("f")).where("f.kind IS NOT NULL")
+    rows = docs.select("text", pattern_for(F.col("text")).alias("pattern"), *(c.alias(n) for n, c in more.items()))
+    mentions = rows.select(*names, F.explode(found_in(F.col("text"), F.col("pattern"))).alias("f")).where("f.kind IS NOT NULL")
     return mentions.select(*names, F.explode(entities_of(F.col("f.m"), F.col("f.kind"))).alias("e")).select(*names, "e.kind", "e.canon")
 
 
-def redraws(docs: DataFrame, key: str = KEY) -> DataFrame | None:
+def redraws(docs: DataFrame, key: str) -> DataFrame | None:
     """kind, canon, attempt of the entities that may not keep draw 0; None if all may."""
     draw = lambda attempt: surrogate(key, F.col("kind"), F.col("canon"), attempt).alias("sur")
     base = written(entity_rows(docs).distinct().select("kind", "canon", draw(F.lit(0))), "pii-entities")
@@ -292,38 +322,46 @@ def redraws(docs: DataFrame, key: str = KEY) -> DataFrame | None:
         lost += [rows.join(t, ["kind", "sur"], "left_semi").select("kind", "canon") for t in taken]
         return reduce(DataFrame.union, lost).distinct()
 
-    lost, kept = written(losers(base, real), "pii-lost"), None
-    for attempt in range(1, ROUNDS + 1):
-        if lost.isEmpty():
-            return kept
+    lost, kept, attempt, still = written(losers(base, real), "pii-lost"), None, 0, 0
+    while not lost.isEmpty():
+        attempt += 1
         rows = written(lost.select("kind", "canon", F.lit(attempt).alias("attempt"), draw(F.lit(attempt))), "pii-draws")
         earlier = [base.select("kind", "sur"), real] + ([kept.select("kind", "sur")] if kept is not None else [])
         lost = written(losers(rows, *earlier), "pii-lost")
-        settled = rows.join(lost, ["kind", "canon"], "left_anti")
-        kept = written(settled if kept is None else kept.unionByName(settled), "pii-kept")
-    raise ValueError(f"no free surrogates after {ROUNDS} draws: a fixed format has fewer values than the texts have entities")
-
-
-def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with ``text`` rewritten, and ``found``, the mentions that were met."""
+        settled = written(rows.join(lost, ["kind", "canon"], "left_anti"), "pii-settled")
+        still = still + 1 if settled.isEmpty() else 0
+        if still == ROUNDS:
+            raise ValueError(f"no surrogate was free in {ROUNDS} draws: a fixed format has hardly more values than the texts have entities")
+        kept = settled if kept is None else kept.unionByName(settled)
+    return kept
+
+
+def with_surrogates(docs: DataFrame, key: str | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with ``text`` rewritten and the mentions that were met, in a column of the name that is returned (one that
+    ``docs`` hasn't). ``key``: by default that of the session."""
+    key, own = key or session_key(docs.sparkSession), "mentions"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = f"_{own}"
+    found, pattern, hash_, drawn = own, f"{own}_pattern", f"{own}_hash", f"{own}_draws"
     again = redraws(docs, key)
     rows = docs
     if again is not None:  # draws by text, so that rows meet theirs whatever their id; equal texts share a row of them
         held = entity_rows(docs, _h=F.xxhash64("text")).distinct()
-        by_text = held.join(again, ["kind", "canon"]).groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("_draws"))
-        rows = docs.withColumn("_h", F.xxhash64("text")).join(written(by_text, "pii-by-text"), "_h", "left")
-    draws = None if again is None else F.col("_draws")
-    rows = rows.withColumn("found", found_in(F.col("text")))
-    parts = F.split(F.col("text"), PATTERN, -1)
-    new = F.transform(F.col("found"), lambda f: rendered(key, f["m"], f["kind"], draws))
+        by_text = held.join(again, ["kind", "canon"]).groupBy(F.col("_h").alias(hash_)).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias(drawn))
+        rows = docs.withColumn(hash_, F.xxhash64("text")).join(written(by_text, "pii-by-text"), hash_, "left")
+    draws = None if again is None else F.col(drawn)
+    rows = rows.withColumn(pattern, pattern_for(F.col("text")))
+    rows = rows.withColumn(found, found_in(F.col("text"), F.col(pattern)))
+    parts = F.split(F.col("text"), F.col(pattern), -1)
+    new = F.transform(F.col(found), lambda f: rendered(key, f["m"], f["kind"], draws))
     whole = F.array_join(F.zip_with(parts, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    return rows.withColumn("text", F.when(F.size("found") == 0, F.col("text")).otherwise(whole)).drop("_h", "_draws")
+    return rows.withColumn("text", F.when(F.size(found) == 0, F.col("text")).otherwise(whole)).drop(hash_, drawn, pattern), found
 
 
-def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with surrogates, and the number of mentions in all and by kind."""
-    rows = with_surrogates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
-    rows = rows.withColumn("kinds", F.filter(F.transform("found", lambda f: f["kind"]), lambda k: k.isNotNull()))
+    rows, found = with_surrogates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
+    rows = rows.withColumn("kinds", F.filter(F.transform(found, lambda f: f["kind"]), lambda k: k.isNotNull()))
     counts = [(F.size("kinds") - F.size(F.array_remove("kinds", kind))).alias(f"n_{kind}") for kind in KINDS]
     return rows.select("doc_id", "text", F.size("kinds").alias("n_found"), *counts)
 
@@ -334,7 +372,7 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hide(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, its text with surrogates and its length counted anew, with its columns."""
-    rows = with_surrogates(docs)
+    rows, found = with_surrogates(docs)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("found") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.size(found) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

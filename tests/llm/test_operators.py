@@ -288,6 +288,30 @@ def test_surrogates_keep_types_and_coreference(spark):
     assert (sum(card[::2]) + sum(sum(divmod(2 * x, 10)) for x in card[1::2])) % 10 == 0
 
 
+def test_surnames_alone_follow_and_columns_stay(spark, small):
+    docs = spark.createDataFrame([(1, "Mr. John Smith came. Smith left with J. Smith; Smithson and blacksmith stayed.", [1], "a", "b"), (None, None, [2], "c", "d"), (1, "", [3], "e", "f")], "doc_id long, text string, found array<int>, _h string, _draws string")
+    got = pii.hide(spark, docs, small)
+    assert got.columns == docs.columns
+    rows = sorted((r for r in rows_of(got)), key=lambda r: r["found"])
+    assert [(r["doc_id"], r["found"], r["_h"], r["_draws"]) for r in rows] == [(1, [1], "a", "b"), (None, [2], "c", "d"), (1, [3], "e", "f")]
+    assert rows[1]["text"] is None and rows[2]["text"] == ""
+    new = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) left with J\. (\w+); Smithson and blacksmith stayed\.", rows[0]["text"])
+    assert new and new[2] == new[3] == new[4] != "Smith" and new[1] != "John"
+
+
+def test_keys_change_surrogates(spark):
+    docs = spark.createDataFrame([(1, "write to a.b@example.com")], "doc_id long, text string")
+    texts = {k: pii.surrogates(docs, k).first()["text"] for k in ("one", "two", None)}
+    assert len(set(texts.values())) == 3 and texts["one"] == pii.surrogates(docs, "one").first()["text"] and texts[None] == pii.surrogates(docs).first()["text"]
+
+
+def test_hmac_is_the_standard_one(spark):
+    import hmac
+
+    got = spark.range(1).select(pii.hmac("key", F.lit("some text"))).first()[0]
+    assert got == hmac.new(hashlib.sha512(b"key").digest(), b"some text", "sha512").hexdigest()
+
+
 def test_surrogates_stay_distinct_when_formats_are_small(spark):
     rows = [(1, " ".join(f"{c}@b.co" for c in "abcdefghijklmnopqrstuvwxyz")), (2, None), (3, "z@b.co a@b.co")]
     got = {r["doc_id"]: r["text"] for r in rows_of(pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string")))}
