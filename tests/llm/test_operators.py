@@ -161,6 +161,34 @@ def test_grammar_finds_a_credential_without_its_key_word(spark):
     assert got[999]["n_grammar"] == 1 and all(r["n_grammar"] == 0 for i, r in got.items() if i < 999)
 
 
+def test_grammars_know_lengths_prefixes_and_ordinary_runs():
+    import random
+
+    draw = random.Random(5)
+    some = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    live, hexa = [f"sk_live_{some(base62, 24)}" for _ in range(200)], [some("0123456789abcdef", 32) for _ in range(200)]
+    plain = [".".join(str(draw.randint(0, 255)) for _ in range(4)) for _ in range(300)] + [some("etaoinshrdlu", draw.randint(12, 20)) for _ in range(600)] + [f"v{draw.randint(1, 9)}.{draw.randint(0, 99)}.0-release-{draw.randint(1, 99)}" for _ in range(200)]
+    automata, ordinary = [secrets.infer(live), secrets.infer(hexa)], secrets.infer(plain, 2)
+    assert all(len(a) > 20 for a in automata)  # chains, not bags of characters
+    flagged = lambda values: sum(secrets.format_bits(v, automata, ordinary) >= secrets.LIKELY for v in values)
+    assert flagged([f"sk_live_{some(base62, 24)}" for _ in range(50)] + [some("0123456789abcdef", 32) for _ in range(50)]) == 100
+    more = [".".join(str(draw.randint(0, 255)) for _ in range(4)) for _ in range(200)] + [some("etaoinshrdlu", draw.randint(12, 20)) for _ in range(400)]
+    assert flagged(more) == 0
+
+
+def test_automata_are_distributions():
+    automaton = secrets.infer(["ab1", "ab2", "ac", "xy-z"])
+    for stop, table in automaton:
+        assert 2**stop + sum(2**bits for bits, _ in table.values()) == pytest.approx(1)
+
+
+def test_candidates_may_overlap_base_spans():
+    text = "sk_live_0123456789abcdef0123 password=abcdefghijkl0123"
+    base = secrets.base_spans(text)
+    assert [k for _, k, _, _ in base] == [2, 0] and secrets.candidates(text, base) == [(0, 28)]
+
+
 def brute_lm(docs):
     words = {k: [*(t or "").encode().lower().split(), "END"] for k, (_, t) in enumerate(docs)}
     held = {k: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for k, (i, _) in enumerate(docs)}
