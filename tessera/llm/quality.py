@@ -2,14 +2,14 @@
 
 Features are indicators of n-grams, hashed to ``BUCKETS`` buckets: words, and runs of one to three word shapes (letters by
 case, digits, other characters, and whether a word repeats the one before). Each indicator is scaled by its class
-log-count ratio; a linear model with squared hinge loss is then fitted by dual coordinate descent, classes weighted
+log-count ratio; a linear model with hinge loss is then fitted by dual coordinate descent until the gradients agree, classes weighted
 alike, and its margin is calibrated on a fifth of the sample that the fit didn't see.
 
-The sample is at most ``MOST`` labelled rows (those with the smallest hash of their id) outside the held-out fold, which
+The sample is at most ``most`` labelled rows (those with the smallest hash of their id) outside the held-out fold, which
 bounds what reaches the driver; every document is scored on its whole text.
 
 Defined cases: null and empty texts have no feature and get the score of the bias; without both classes every score is
-the smoothed base rate; an empty table gives no rows; repeated rows are scored each; extra columns are ignored.
+the smoothed base rate; an empty table gives no rows; repeated rows are scored each; held_out is null for a null doc_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from tessera.llm.near_dedup import mix
 from tessera.llm.toxicity import labelled
 
 BUCKETS, MOST, FOLDS, HELD, CUT = 1 << 20, 10_000, 4, 2, 0.7
-SMOOTH, COST, EPOCHS = 1.0, 1.0, 12
+SMOOTH, COST, EPOCHS, GAP = 1.0, 1.0, 60, 0.05
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if m.group().isupper() else "Aa" if m.group()[0].isupper() else "a"), (re.compile(r"\d+"), lambda m: "9")]
 
@@ -80,23 +80,28 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised squared-hinge model (Hsieh et al. 2008); rows hold feature ids, values theirs."""
-    w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
-    diag = 0.5 / cost
-    norm = np.array([(v * v).sum() + 1.0 for v in values]) + diag
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int = BUCKETS, epochs: int = EPOCHS, gap: float = GAP) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the L2-regularised hinge-loss model (Hsieh et al. 2008); rows hold feature ids, values
+    theirs. Passes end when no projected gradient of a pass is further than ``gap`` from the others, or after ``epochs``."""
+    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
+    norm = np.array([(v * v).sum() + 1.0 for v in values])
     order = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
+        most, least = -np.inf, np.inf
         for i in order.permutation(len(rows)):
             x, v = rows[i], values[i]
-            g = y[i] * (w[x] @ v + bias) - 1 + diag[i] * alpha[i]
-            new = max(alpha[i] - g / norm[i], 0.0)
-            if new != alpha[i]:
+            g = y[i] * (w[x] @ v + bias) - 1
+            projected = min(g, 0.0) if alpha[i] <= 0 else max(g, 0.0) if alpha[i] >= cost[i] else g
+            most, least = max(most, projected), min(least, projected)
+            if projected:
+                new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
                 step = (new - alpha[i]) * y[i]
                 w[x] += step * v
                 bias += step
                 alpha[i] = new
-    return w, bias
+        if most - least < gap:
+            break
+    return w, bias, alpha
 
 
 def fit(sample: DataFrame) -> Model:
@@ -120,7 +125,7 @@ def fit(sample: DataFrame) -> Model:
         held[:] = False
     use = np.flatnonzero(~held)
     share = np.where(y > 0, (y[use] > 0).mean(), (y[use] < 0).mean())
-    w, bias = dual_coordinate_descent([rows[i] for i in use], [values[i] for i in use], y[use], COST * 0.5 / share[use])
+    w, bias, _ = dual_coordinate_descent([rows[i] for i in use], [values[i] for i in use], y[use], COST * 0.5 / share[use])
     model = Model((w * ratios).astype(np.float32), bias, 1.0, 0.0)
     see = np.flatnonzero(held) if held.any() else use
     model.slope, model.offset = logistic_fit([model.margin(rows[i]) for i in see], y[see] > 0)
@@ -143,7 +148,8 @@ def apply(model: Model, docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, score double, predicted int")
 
 
-def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_quality(spark: SparkSession, sf_dir: str, most: int = MOST) -> DataFrame:
+    """``most``: the bound on labelled rows that the model is fitted on."""
     docs = documents(spark, sf_dir)
-    model = fit(labelled(spark, docs, sf_dir, "quality", FOLDS, HELD, MOST, "quality-sample"))
+    model = fit(labelled(spark, docs, sf_dir, "quality", FOLDS, HELD, most, "quality-sample"))
     return apply(model, docs).withColumn("held_out", fold(F.col("doc_id"), FOLDS) == HELD)
