@@ -111,22 +111,29 @@ def id3v2(data: bytes) -> tuple[int, dict[str, str], bool | None]:
 
 
 def bitrate_table(frame: bytes, head: tuple) -> dict | None:
-    """A Xing, Info or VBRI table of a first frame: kind, frames, bytes, and the seek table's length."""
+    """A Xing, Info or VBRI table of a first frame: kind, frames, bytes, the seek table (bytes at equal steps of time, as far as the
+    header tells them) and the encoder's delay and padding in samples."""
     at = 4 + (2 if head[6] else 0) + head[7]
     for at in (at, 4 + head[7]):
         if frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
             kind, flags = frame[at : at + 4].decode(), struct.unpack(">I", frame[at + 4 : at + 8])[0]
-            at, out = at + 8, {"kind": kind, "frames": None, "bytes": None, "toc": 0}
+            at, out = at + 8, {"kind": kind, "frames": None, "bytes": None, "toc": [], "delay": 0, "padding": 0}
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit and len(frame) >= at + 4:
                     out[name] = struct.unpack(">I", frame[at : at + 4])[0]
                     at += 4
             if flags & 4 and len(frame) >= at + 100:
-                out["toc"] = 100
+                out["toc"] = [p * (out["bytes"] or 0) // 256 for p in frame[at : at + 100]]
+                at += 100
+            at += 4 if flags & 8 else 0
+            if frame[at : at + 4] in (b"LAME", b"Lavf", b"Lavc") and len(frame) >= at + 24:
+                both = int.from_bytes(frame[at + 21 : at + 24], "big")
+                out |= {"delay": both >> 12, "padding": both & 0xFFF}
             return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
-        size, frames = struct.unpack(">II", frame[46:54])
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": struct.unpack(">H", frame[54:56])[0]}
+        delay, _, size, frames, n, scale, width, _ = struct.unpack(">HHIIHHHH", frame[42:62])
+        entries = [int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") * scale for k in range(n)] if width and 62 + n * width <= len(frame) else []
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": [sum(entries[:k]) for k in range(len(entries))], "delay": delay, "padding": 0}
     return None
 
 
@@ -177,6 +184,8 @@ def parser() -> Callable[[bytes], dict]:
             rate = head[2]
             at += head[0]
         out["skipped"] += max(end - at, 0)
+        if out["table"]:  # what the encoder put before and after the sound doesn't count
+            samples = max(samples - out["table"]["delay"] - out["table"]["padding"], 0)
         return out | {"first": first, "offsets": offsets, "bodies": bodies, "samples": samples, "rate": rate}
 
     return parse
@@ -273,11 +282,12 @@ def read_audio(media: DataFrame) -> DataFrame:
                 "resyncs": pa.array([g["resyncs"] for g in got], pa.int64()),
                 "tags": pa.array([list(g["tags"].items()) for g in got], pa.map_(pa.string(), pa.string())),
                 "frame_offsets": pa.array([g["offsets"] for g in got], pa.list_(pa.int64())),
+                "seek_table": pa.array([(g["table"] or {}).get("toc", []) for g in got], pa.list_(pa.int64())),
             }
 
         return step
 
-    return arrow_map(media.select("doc_id", "media"), make, "doc_id long, n_frames long, samples long, seconds double, crc_good long, crc_bad long, skipped long, resyncs long, tags map<string,string>, frame_offsets array<long>", 500)
+    return arrow_map(media.select("doc_id", "media"), make, "doc_id long, n_frames long, samples long, seconds double, crc_good long, crc_bad long, skipped long, resyncs long, tags map<string,string>, frame_offsets array<long>, seek_table array<long>", 500)
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -287,18 +297,19 @@ def digests(media: DataFrame) -> DataFrame:
         parse = parser()
 
         def step(doc_id, media):
+            media = [m or b"" for m in media]
             got = [parse(m) for m in media]
             back = [payload_of(m, g) for m, g in zip(media, got)]
             return {
                 "doc_id": pa.array(doc_id, pa.int64()),
-                "n_bytes": pa.array([int(g["tags"]["TXXX:content"]) for g in got], pa.int64()),
+                "n_bytes": pa.array([int(n) if (n := g["tags"].get("TXXX:content", "")).isdecimal() else None for g in got], pa.int64()),
                 "payload_bytes": pa.array([len(b) for b in back], pa.int64()),
                 "payload_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
                 "tail_crc32": pa.array([zlib.crc32(b[-16:]) for b in back], pa.int64()),
                 "media_bytes": pa.array([len(m) for m in media], pa.int64()),
                 "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
                 "feature": pa.array([feature(g) for g in got], pa.string()),
-                "seconds": pa.array([g["samples"] / g["rate"] for g in got], pa.float64()),
+                "seconds": pa.array([g["samples"] / g["rate"] if g["rate"] else 0.0 for g in got], pa.float64()),
                 "frame_offsets": pa.array([g["offsets"] for g in got], pa.list_(pa.int64())),
             }
 

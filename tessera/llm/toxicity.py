@@ -7,17 +7,19 @@ subsequences, after Ruzzo and Tompa) finds every passage. A passage of score S i
 K*n*exp(-lambda*S) times by chance (Karlin and Altschul); passages under ``SIGNIFICANT`` count, and the sum of their
 -ln E, on a log scale, is calibrated to a probability by a logistic fit.
 
-Tokens are hashed to ``BUCKETS`` buckets, which bounds the model. The model is fitted on at most ``MOST`` labelled rows
+Tokens are hashed to ``BUCKETS`` buckets, which bounds the model. The model is fitted on at most ``most`` labelled rows
 (those with the smallest hash of their id) outside the held-out fold; every document is scored on its whole text.
 
 Defined cases: null and empty texts have no passage and get the score of a text without any; without usable labels every
-score is the smoothed base rate; an empty table gives no rows; repeated rows are scored each; extra columns are ignored.
+score is the smoothed base rate; an empty table gives no rows; repeated rows are scored each; held_out is null for a null doc_id; extra
+columns are ignored by the query and kept by the stage.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, arrow_map, documents, fold, logistic_fit, sampled_labels, sigmoid, written
+from tessera.llm.common import Memo, arrow_map, documents, fold, logistic_fit, sampled_labels, sigmoid, sliced, written
 
 BUCKETS, MOST, FOLDS, HELD = 1 << 18, 20_000, 3, 1
 PRIOR, WIDTH, FLOOR, SIGNIFICANT, CUT = 2_000.0, 1.96, -0.5, 0.05, 0.7
@@ -105,7 +107,7 @@ def segments(s: np.ndarray) -> list[tuple[int, int, float]]:
 
 def token_scores(table: np.ndarray) -> Memo:
     """The score of a token by its text: that of its best feature; punctuation alone scores nothing."""
-    return Memo(lambda w: max((float(table[b]) for b in buckets_of(w)), default=0.0), 500_000)
+    return Memo(lambda w: max((float(table[b]) for b in buckets_of(w)), default=0.0), 300_000)
 
 
 @dataclass
@@ -197,21 +199,22 @@ def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, column: str, fol
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("text", "label"), name)
 
 
-def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op4_toxicity(spark: SparkSession, sf_dir: str, most: int = MOST) -> DataFrame:
+    """``most``: the bound on labelled rows that the model is fitted on."""
     docs = documents(spark, sf_dir)
-    model = fit(labelled(spark, docs, sf_dir, "toxic", FOLDS, HELD, MOST, "toxic-sample"))
+    model = fit(labelled(spark, docs, sf_dir, "toxic", FOLDS, HELD, most, "toxic-sample"))
     return apply(model, docs).withColumn("held_out", fold(F.col("doc_id"), FOLDS) == HELD)
 
 
-def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = MOST) -> DataFrame:
     """Pipeline stage: the documents not found toxic, with their columns. Rows are filtered where they lie, without a shuffle."""
-    model = fit(labelled(spark, docs, sf_dir, "toxic", FOLDS, HELD, MOST, "toxic-sample"))
+    model = fit(labelled(spark, docs, sf_dir, "toxic", FOLDS, HELD, most, "toxic-sample"))
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
     def clean(batches):
         m = shared.value
         scores_of = token_scores(m.table)
-        for batch in batches:
+        for batch in chain.from_iterable(sliced(b) for b in batches):
             scores = [m.score(m.passages((t or "").split(), scores_of)) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([x < CUT for x in scores], pa.bool_()))
 

@@ -108,6 +108,111 @@ def test_audio_resynchronises_and_counts_bad_checksums(spark):
     assert cut["samples"] == whole["samples"] and [b - a for a, b in zip(whole["frame_offsets"], cut["frame_offsets"])] == [0] * 2 + [5] * (whole["n_frames"] - 2)
 
 
+def plain_frames(data):
+    """(offset, length, samples, rate) of the frames of a stream without junk, by the standard's tables."""
+    rates = {(3, 1): range(32, 449, 32), (3, 2): (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), (3, 3): (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+             (2, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+    at, out = 0, []
+    while at + 4 <= len(data):
+        a, b = data[at + 1], data[at + 2]
+        version, layer = a >> 3 & 3, 4 - (a >> 1 & 3)
+        kbps = list(rates.get((3 if version == 3 else 2, layer)) or rates[2, 2])[(b >> 4) - 1]
+        hz = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}[version][b >> 2 & 3]
+        samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
+        size = (12 * kbps * 1000 // hz + (b >> 1 & 1)) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + (b >> 1 & 1)
+        out.append((at, size, samples, hz))
+        at += size
+    return out
+
+
+@pytest.mark.parametrize("head", ["fffb9000", "fffb9200", "fffbe440", "ffff5400", "fffd9400", "fff35400", "fff59400", "ffe38400"])
+def test_audio_of_all_versions_and_layers(head):
+    """MPEG-1, 2 and 2.5, Layers I to III, with and without padding: offsets and durations by an independent reading."""
+    word = bytes.fromhex(head)
+    size = plain_frames(word)[0][1]
+    data = b"".join(word + bytes(size - 4) for _ in range(7))
+    want, got = plain_frames(data), mpeg_audio.parser()(data)
+    assert got["offsets"] == [o for o, *_ in want] and got["samples"] == sum(s for _, _, s, _ in want) and got["rate"] == want[0][3]
+    cut = mpeg_audio.parser()(data[:-5])
+    assert len(cut["offsets"]) == 6 and cut["truncated"]
+
+
+def test_audio_tables_tags_and_padding():
+    word = bytes.fromhex("fffb9000")
+    size = plain_frames(word)[0][1]
+    plain = word + bytes(size - 4)
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    xing = (word + bytes(32) + b"Info" + (15).to_bytes(4, "big") + (5).to_bytes(4, "big") + (2560).to_bytes(4, "big") + bytes(range(100)) + bytes(4) + lame).ljust(size, b"\0")
+    got = mpeg_audio.parser()(xing + plain * 5)
+    assert got["table"]["kind"] == "Info" and got["table"]["frames"] == 5 and got["table"]["toc"] == [10 * k for k in range(100)]
+    assert got["samples"] == 5 * 1152 - 576 - 1000
+    vbri = (word + bytes(32) + b"VBRI" + (1).to_bytes(2, "big") + (0).to_bytes(2, "big") + bytes(2) + (4000).to_bytes(4, "big") + (5).to_bytes(4, "big") + b"\0\3\0\2\0\1\0\2" + b"\5\6\7").ljust(size, b"\0")
+    got = mpeg_audio.parser()(vbri + plain * 5 + b"TAG" + b"A title".ljust(125, b"\0"))
+    assert (got["table"]["kind"], got["table"]["frames"], got["table"]["bytes"], got["table"]["toc"]) == ("VBRI", 5, 4000, [0, 10, 22])
+    assert got["tags"]["v1:title"] == "A title" and got["samples"] == 5 * 1152
+    text = b"TIT2" + (6).to_bytes(4, "big") + b"\0\0" + b"\3caf\xc3\xa9"
+    got = mpeg_audio.parser()(b"ID3\4\0\0" + bytes((0, 0, 0, len(text))) + text + plain * 3)
+    assert got["tags"]["TIT2"] == "café" and got["offsets"][0] == 10 + len(text)
+
+
+def test_audio_of_nulls_and_of_other_writers(spark):
+    rows = [(1, None), (2, bytearray(b"")), (3, bytearray(b"no audio")), (4, bytearray(bytes.fromhex("fffb9000") + bytes(413)) * 3)]
+    got = {r["doc_id"]: r for r in rows_of(mpeg_audio.digests(spark.createDataFrame(rows, "doc_id long, media binary")))}
+    assert all(got[i]["n_bytes"] is None and got[i]["feature"] == "none" for i in (1, 2, 3)) and got[4]["n_bytes"] is None and len(got[4]["frame_offsets"]) == 3
+
+
+def test_hinge_loss_is_at_its_optimum():
+    """The dual variables satisfy the optimality conditions, and primal and dual values meet."""
+    draw = np.random.default_rng(4)
+    rows = [np.unique(draw.integers(0, 40, 8)) for _ in range(120)]
+    values = [draw.normal(size=len(x)) for x in rows]
+    y, cost = np.where(draw.random(120) < 0.4, 1, -1), np.where(draw.random(120) < 0.5, 0.3, 1.0)
+    w, bias, alpha = quality.dual_coordinate_descent(rows, values, y, cost, 40, 5000, 1e-9)
+    margin = np.array([y[i] * (w[x] @ v + bias) for i, (x, v) in enumerate(zip(rows, values))])
+    assert (alpha >= 0).all() and (alpha <= cost).all()
+    assert (margin[alpha < 1e-9] >= 1 - 1e-6).all() and (margin[alpha > cost - 1e-9] <= 1 + 1e-6).all()
+    primal = (w @ w + bias**2) / 2 + (cost * np.maximum(1 - margin, 0)).sum()
+    assert primal == pytest.approx(alpha.sum() - (w @ w + bias**2) / 2, rel=1e-6)
+
+
+def test_toxicity_scores_by_plain_loops(spark, tmp_path):
+    labelled_set(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = toxicity.fit(toxicity.labelled(spark, docs, str(tmp_path), "toxic", 3, 1, 20_000, "t"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows_of(toxicity.apply(model, docs)):
+        words = (texts[r["doc_id"]] or "").split()
+        best, total = 0.0, 0.0
+        scores = [max((float(model.table[b]) for b in toxicity.buckets_of(w)), default=0.0) for w in words]
+        for s in scores:  # the best segment, by Kadane's scan
+            total = max(total, 0.0) + s
+            best = max(best, total)
+        expected = math.log(model.k * len(words)) - model.lam * best if words else 0.0
+        assert (r["n_passages"] > 0) == bool(words and expected < math.log(toxicity.SIGNIFICANT))
+
+
+STAGES = {"toxicity": toxicity.reject_toxic, "exact": exact_dedup.keep_first, "near": near_dedup.keep_one, "pii": pii.hide, "packing": packing.pack_stage}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_on_empty_and_odd_tables(name, spark, edge, empty, small):
+    assert rows_of(STAGES[name](spark, empty, small)) == []
+    odd = edge.select(*edge.columns, F.col("doc_id").alias("row"), F.lit("x").alias("locator"), F.lit(1).alias("root"), F.lit(2).alias("mentions"), F.lit(3).alias("lang"))
+    got = STAGES[name](spark, odd, small)
+    assert got.count() > 0 and (name == "packing" or got.columns == odd.columns)
+    everything = odd.select([F.lit(None).cast(t).alias(c) for c, t in odd.dtypes]).limit(3)
+    assert STAGES[name](spark, everything, small).count() == (1 if name in ("exact",) else 3)
+
+
+@pytest.mark.parametrize("query, rows", [(quality.op10_quality, 14), (toxicity.op4_toxicity, 14)])
+def test_classifiers_on_empty_and_odd_tables(query, rows, spark, edge, empty, small, tmp_path):
+    for k, df in enumerate((empty, edge)):
+        df.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        spark.createDataFrame([(5, 1, 0), (8, 0, 1), (8, 0, 1), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        got = rows_of(query(spark, f"{tmp_path}/{k}"))
+        assert len(got) == k * rows and all(0 <= r["score"] <= 1 and (r["held_out"] is None) == (r["doc_id"] is None) for r in got)
+
+
 def test_packing_is_gapless_and_close_to_the_bound(spark, small, texts):
     from tokenizers import Tokenizer
 
