@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import ranking, sequences, stats
@@ -12,22 +12,25 @@ from tessera.plans.book import book
 from tessera.sources.tables import table
 
 QUERIES, ORACLES, query = book()
-n_rows = F.count(F.lit(1))
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 @query("a01_filtered_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 def a01(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 100000").agg(n_rows.alias("n"))
+    return table(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 100000").agg(n_rows().alias("n"))
 
 
 @query("a02_counts_of_some", "SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id")
 def a02(spark, d):
-    return table(spark, d, "events").where(F.col("event_type").isin("click", "purchase")).groupBy("user_id").agg(n_rows.alias("n"))
+    return table(spark, d, "events").where(F.col("event_type").isin("click", "purchase")).groupBy("user_id").agg(n_rows().alias("n"))
 
 
 @query("a05_open_histogram", "SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
 def a05(spark, d):
-    return table(spark, d, "documents").groupBy("source", "lang").agg(n_rows.alias("n"))
+    return table(spark, d, "documents").groupBy("source", "lang").agg(n_rows().alias("n"))
 
 
 @query("a07_averages", "SELECT d.source, round(avg(l.quality), 6) AS quality, round(avg(l.toxic), 6) AS toxic, count(l.doc_id) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
@@ -51,7 +54,7 @@ def a15(spark, d):
     ok, k = F.col("value") >= 5, F.from_json("props", "k long")["k"]
     by = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 4).alias("variant"))
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return by.agg(n_rows.alias("n"), share(ok).alias("success"), share(~ok).alias("failure"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg(F.when(ok, F.col("value"))), 6).alias("mean_success"), F.round(F.sum(k % 3) / n_rows, 6).alias("retry_rate"), F.max("value").alias("worst"))
+    return by.agg(n_rows().alias("n"), share(ok).alias("success"), share(~ok).alias("failure"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg(F.when(ok, F.col("value"))), 6).alias("mean_success"), F.round(F.sum(k % 3) / n_rows(), 6).alias("retry_rate"), F.max("value").alias("worst"))
 
 
 @query("a16_running_rates", """SELECT l_suppkey, l_orderkey, l_linenumber, round(sum(l_quantity) OVER w, 2) AS total, count(*) OVER w AS n, round(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER w / count(*) OVER w, 6) AS rate
@@ -68,7 +71,7 @@ def a16(spark, d):
 def a17(spark, d):
     """How often a source is among the first five of a run."""
     first = ranking.top(table(spark, d, "lineitem"), "l_orderkey", [F.desc("l_extendedprice"), F.col("l_linenumber"), F.col("l_partkey")], 5)
-    return first.groupBy((F.col("l_suppkey") % 7).alias("source")).agg(n_rows.alias("n"))
+    return first.groupBy((F.col("l_suppkey") % 7).alias("source")).agg(n_rows().alias("n"))
 
 
 @query("a21_distinct_first_seen", "WITH f AS (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY f) AS k FROM f) SELECT user_id, list(event_type ORDER BY f) AS types FROM r WHERE k <= 3 GROUP BY user_id")
@@ -87,7 +90,7 @@ def a25(spark, d):
     last = ranking.top(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 20)
     scores = {"size": F.coalesce(F.col("value") * 8, F.lit(50.0)), "rest": (40 + F.length("event_type") * 4).cast("double")}
     long = last.select("user_id", F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), v.alias("score")) for k, v in scores.items()))).alias("x")).select("user_id", "x.dimension", "x.score")
-    by = long.groupBy("user_id", "dimension").agg(F.avg("score").alias("a"), F.round(F.min("score"), 4).alias("least"), n_rows.alias("n"))
+    by = long.groupBy("user_id", "dimension").agg(F.avg("score").alias("a"), F.round(F.min("score"), 4).alias("least"), n_rows().alias("n"))
     return by.select("user_id", "dimension", F.round("a", 4).alias("mean"), "least", "n", ((F.round("a", 4) < 65) & (F.col("n") >= 3)).alias("weak"), ((F.floor(F.col("a") + 0.5) < 60) & (F.col("n") >= 5)).alias("persistent"))
 
 
@@ -101,7 +104,7 @@ def a26(spark, d):
   SELECT l_orderkey, round(greatest(CASE WHEN m >= 20 THEN 40 ELSE 0 END, least(100, greatest(0, 0.7 * a * 2 + 0.3 * m * 2 + CASE WHEN sources >= 4 THEN 8 ELSE 0 END + CASE WHEN n >= 5 THEN 4 ELSE 0 END - least(25, 6 * bad)))), 4) AS merit FROM s""")
 def a30(spark, d):
     """Mean and minimum, bonuses, penalties up to a cap, and a floor under a condition."""
-    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("a"), F.min("l_quantity").alias("m"), n_rows.alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("bad"), F.count_distinct("l_suppkey").alias("sources"))
+    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("a"), F.min("l_quantity").alias("m"), n_rows().alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("bad"), F.count_distinct("l_suppkey").alias("sources"))
     base = 0.7 * F.col("a") * 2 + 0.3 * F.col("m") * 2 + F.when(F.col("sources") >= 4, 8).otherwise(0) + F.when(F.col("n") >= 5, 4).otherwise(0) - F.least(F.lit(25), 6 * F.col("bad"))
     clamped = F.least(F.lit(100.0), F.greatest(F.lit(0.0), base))
     return s.select("l_orderkey", F.round(F.greatest(F.when(F.col("m") >= 20, 40.0).otherwise(0.0), clamped), 4).alias("merit"))
@@ -137,7 +140,7 @@ def a35(spark, d):
     """Hit rates by phase; 0 where a phase wasn't reached."""
     n = lambda *kinds: F.count_if(F.col("event_type").isin(*kinds))
     by = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("day"))
-    return by.agg(F.round(n("click") / n_rows, 6).alias("cache"), F.round(n("click", "view") / n_rows, 6).alias("keyword"), F.round(stats.ratio(n("refund"), n("error")), 6).alias("fallback"))
+    return by.agg(F.round(n("click") / n_rows(), 6).alias("cache"), F.round(n("click", "view") / n_rows(), 6).alias("keyword"), F.round(stats.ratio(n("refund"), n("error")), 6).alias("fallback"))
 
 
 @query("a36_uniqueness", """WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, list_dot_product(q.e, b.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(b.e, b.e))) AS s FROM u q JOIN u b ON q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0)
@@ -164,10 +167,10 @@ def a37(spark, d):
   SELECT o_orderpriority, count(*) AS calls, CAST(sum(candidates) AS BIGINT) AS candidates, round(sum(price) / count(*), 2) AS per_call, round(sum(price) / sum(candidates), 2) AS per_candidate, round(avg(q), 4) AS quantity, round(avg(di), 6) AS discount, round(avg(t), 6) AS tax, round(sum(candidates) * 0.0015, 4) AS cost FROM c JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority""")
 def a38(spark, d):
     """Means by call and by candidate, means of dimensions, and cost."""
-    calls = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(n_rows.alias("candidates"), F.sum("l_extendedprice").alias("price"), F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("di"), F.avg("l_tax").alias("t"))
+    calls = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(n_rows().alias("candidates"), F.sum("l_extendedprice").alias("price"), F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("di"), F.avg("l_tax").alias("t"))
     by = calls.join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey").groupBy("o_orderpriority")
     n, price = F.sum("candidates"), F.sum("price")
-    return by.agg(n_rows.alias("calls"), n.alias("candidates"), F.round(price / n_rows, 2).alias("per_call"), F.round(price / n, 2).alias("per_candidate"), F.round(F.avg("q"), 4).alias("quantity"), F.round(F.avg("di"), 6).alias("discount"), F.round(F.avg("t"), 6).alias("tax"), F.round(n * 0.0015, 4).alias("cost"))
+    return by.agg(n_rows().alias("calls"), n.alias("candidates"), F.round(price / n_rows(), 2).alias("per_call"), F.round(price / n, 2).alias("per_candidate"), F.round(F.avg("q"), 4).alias("quantity"), F.round(F.avg("di"), 6).alias("discount"), F.round(F.avg("t"), 6).alias("tax"), F.round(n * 0.0015, 4).alias("cost"))
 
 
 RUNS = """r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT user_id, event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS new FROM events)),
@@ -209,7 +212,7 @@ def a41(spark, d):
 @query("a43_fallback_share", "SELECT source, round(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0 END), 6) AS fallback, count(*) AS n, CASE WHEN avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0 END) > 0.5 THEN 60 WHEN avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0 END) > 0.25 THEN 20 ELSE 0 END AS penalty FROM documents GROUP BY source")
 def a43(spark, d):
     share = F.avg((F.col("lang") == "en").cast("double"))
-    by = table(spark, d, "documents").groupBy("source").agg(share.alias("s"), n_rows.alias("n"))
+    by = table(spark, d, "documents").groupBy("source").agg(share.alias("s"), n_rows().alias("n"))
     return by.select("source", F.round("s", 6).alias("fallback"), "n", F.when(F.col("s") > 0.5, 60).when(F.col("s") > 0.25, 20).otherwise(0).alias("penalty"))
 
 
@@ -241,7 +244,7 @@ def a47(spark, d):
     parts = [("value", "value > 11", F.when(F.col("value") > 16, "high").otherwise("low")), ("kind", "event_type = 'error'", F.lit("medium")), ("refund", "event_type = 'refund' AND value > 8", F.lit("high"))]
     problems = reduce(lambda a, b: a.unionByName(b), [events.where(w).select("user_id", F.lit(r).alias("review"), s.alias("severity")) for r, w, s in parts])
     n = lambda v: F.count_if(F.col("severity") == v)
-    c = problems.groupBy("user_id").agg(n_rows.alias("problems"), n("high").alias("high"), n("medium").alias("medium")).withColumn("score", F.greatest(F.lit(0), 100 - 6 * F.col("problems")))
+    c = problems.groupBy("user_id").agg(n_rows().alias("problems"), n("high").alias("high"), n("medium").alias("medium")).withColumn("score", F.greatest(F.lit(0), 100 - 6 * F.col("problems")))
     status = F.when((F.col("high") >= 3) | (F.col("score") < 45), "rejected").when((F.col("high") >= 1) | (F.col("score") < 65), "revise").when(F.col("score") < 80, "minor").otherwise("approved")
     return c.select("user_id", "score", "high", "medium", status.alias("status"))
 
@@ -250,9 +253,9 @@ def a47(spark, d):
   SELECT user_id, CAST(sum(n) AS BIGINT) AS total, round(coalesce(sum(n) FILTER (event_type = 'view'), 0) / sum(n), 6) AS views, arg_max(event_type, (n, -f)) AS dominant, round(count(*) / sum(n), 6) AS variety FROM c GROUP BY user_id""")
 def a48(spark, d):
     """Shares, the dominant class (the first seen among equals), and classes by rows."""
-    c = table(spark, d, "events").groupBy("user_id", "event_type").agg(n_rows.alias("n"), F.min("event_id").alias("f"))
+    c = table(spark, d, "events").groupBy("user_id", "event_type").agg(n_rows().alias("n"), F.min("event_id").alias("f"))
     views = F.coalesce(F.sum(F.when(F.col("event_type") == "view", F.col("n"))), F.lit(0))
-    return c.groupBy("user_id").agg(F.sum("n").alias("total"), F.round(views / F.sum("n"), 6).alias("views"), F.max_by("event_type", F.struct("n", -F.col("f"))).alias("dominant"), F.round(n_rows / F.sum("n"), 6).alias("variety"))
+    return c.groupBy("user_id").agg(F.sum("n").alias("total"), F.round(views / F.sum("n"), 6).alias("views"), F.max_by("event_type", F.struct("n", -F.col("f"))).alias("dominant"), F.round(n_rows() / F.sum("n"), 6).alias("variety"))
 
 
 @query("a49_severity_rollup", "SELECT l_orderkey, CASE WHEN count(*) FILTER (l_quantity >= 45) >= 2 THEN 'poor' WHEN count(*) FILTER (l_quantity >= 45) = 1 OR count(*) FILTER (l_quantity BETWEEN 35 AND 44) >= 2 THEN 'fair' ELSE 'good' END AS quality FROM lineitem GROUP BY l_orderkey")
@@ -266,14 +269,14 @@ def a49(spark, d):
 def a50(spark, d):
     """Classes with more than 1.5 times their target share, of users with five rows or more."""
     targets = F.create_map(*(F.lit(x) for kv in {"click": 0.3, "view": 0.4, "purchase": 0.1}.items() for x in kv))
-    s = table(spark, d, "events").groupBy("user_id", "event_type").agg(n_rows.alias("n"))
+    s = table(spark, d, "events").groupBy("user_id", "event_type").agg(n_rows().alias("n"))
     s = s.withColumn("total", F.sum("n").over(Window.partitionBy("user_id"))).withColumn("target", F.try_element_at(targets, "event_type"))
     return s.where((F.col("total") >= 5) & (F.col("n") / F.col("total") > 1.5 * F.col("target"))).select("user_id", "event_type", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
 @query("a51_shortfall", "SELECT o_custkey, count(*) AS wanted, count(*) FILTER (o_orderstatus = 'F') AS found, greatest(0, ceil(count(*) * 0.5) - count(*) FILTER (o_orderstatus = 'F')) AS missing FROM orders GROUP BY o_custkey")
 def a51(spark, d):
-    by = table(spark, d, "orders").groupBy("o_custkey").agg(n_rows.alias("wanted"), F.count_if(F.col("o_orderstatus") == "F").alias("found"))
+    by = table(spark, d, "orders").groupBy("o_custkey").agg(n_rows().alias("wanted"), F.count_if(F.col("o_orderstatus") == "F").alias("found"))
     return by.withColumn("missing", F.greatest(F.lit(0), F.ceil(F.col("wanted") * 0.5) - F.col("found")).cast("double"))
 
 
@@ -291,7 +294,7 @@ def w06(spark, d):
     by = Window.partitionBy("user_id").orderBy("event_id")
     m = table(spark, d, "events").select("user_id", "event_id", (F.abs(F.col("value") - F.lag("value").over(by)) < 4).alias("still"), F.col("event_type").eqNullSafe(F.lag("event_type").over(by)).alias("same"))
     g = m.withColumn("run", F.sum(F.when(F.col("still"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    c = g.groupBy("user_id", "run").agg(n_rows.alias("n"), F.count_if("same").alias("same"))
+    c = g.groupBy("user_id", "run").agg(n_rows().alias("n"), F.count_if("same").alias("same"))
     return c.groupBy("user_id").agg(F.count_if(F.col("n") >= 3).alias("static_runs"), F.max("n").alias("longest"), F.sum("same").alias("repeats"))
 
 
@@ -304,7 +307,7 @@ def w09(spark, d):
     by = Window.partitionBy("user_id").orderBy("event_id")
     new = (~F.col("event_type").eqNullSafe(F.lag("event_type").over(by))) | (F.row_number().over(by) == 1)
     r = events.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    w = r.groupBy("user_id", "run").agg(F.min("us").alias("a"), n_rows.alias("n")).withColumn("b", F.coalesce(F.lead("a").over(Window.partitionBy("user_id").orderBy("run")), "a"))
+    w = r.groupBy("user_id", "run").agg(F.min("us").alias("a"), n_rows().alias("n")).withColumn("b", F.coalesce(F.lead("a").over(Window.partitionBy("user_id").orderBy("run")), "a"))
     k = F.row_number().over(Window.partitionBy("user_id", "run").orderBy("event_id")) - 1
     return r.join(w, ["user_id", "run"]).select("user_id", "event_id", F.round((F.col("a") + (F.col("b") - F.col("a")) / F.col("n") * k) / 1000000, 3).alias("at"))
 
@@ -333,7 +336,7 @@ def w11(spark, d):
 @query("w12_latency_sample", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM r WHERE k <= 1000 GROUP BY event_type")
 def w12(spark, d):
     """The last thousand rows of each class."""
-    return ranking.top(table(spark, d, "events"), "event_type", [F.desc("event_id")], 1000).groupBy("event_type").agg(n_rows.alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    return ranking.top(table(spark, d, "events"), "event_type", [F.desc("event_id")], 1000).groupBy("event_type").agg(n_rows().alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
 
 
 @query("w14_score_bands", """WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS k FROM lineitem),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
@@ -12,7 +12,10 @@ from tessera.plans.book import book
 from tessera.sources.tables import table
 
 QUERIES, ORACLES, query = book()
-n_rows = F.count(F.lit(1))
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 @query("x01_text_key", r"SELECT doc_id, substr(regexp_replace(trim(lower(text), ' '), '\s+', ' ', 'g'), 1, 256) AS key FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x20-\x7E\n\t]*')")
@@ -259,11 +262,11 @@ def x37(spark, d):
     return by.select("item_id", "word", F.round(F.col("a") * 0.06, 4).alias("start"), F.round((F.col("b") + 1) * 0.06, 4).alias("end"))
 
 
-@query("x39_rebase", "SELECT user_id, event_id, round(greatest(0, epoch(ts) - epoch(min(ts) OVER (PARTITION BY user_id)) - 60), 3) AS local FROM events")
+@query("x39_rebase", "SELECT user_id, event_id, greatest(0, epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id)) - 60000000) AS local_us FROM events")
 def x39(spark, d):
-    """Times from the scene's start (a minute after its first row), not below 0."""
+    """Times in microseconds from the scene's start (a minute after its first row), not below 0."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").select("user_id", "event_id", F.round(F.greatest(F.lit(0.0), (t - F.min(t).over(Window.partitionBy("user_id"))) / 1e6 - 60), 3).alias("local"))
+    return table(spark, d, "events").select("user_id", "event_id", F.greatest(F.lit(0), t - F.min(t).over(Window.partitionBy("user_id")) - 60_000_000).alias("local_us"))
 
 
 @query("x40_stall_threshold", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_totalprice > 200000 THEN 90 WHEN o_totalprice > 100000 THEN 60 ELSE 30 END WHEN o_orderstatus = 'O' THEN 20 ELSE 10 END AS minutes FROM orders")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
@@ -12,7 +12,10 @@ from tessera.plans.book import book
 from tessera.sources.tables import table
 
 QUERIES, ORACLES, query = book()
-n_rows = F.count(F.lit(1))
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 #: The weights of the four base signals and of the eight optional ones.
 BASE = {"clip": 0.22, "embedding": 0.15, "keyword": 0.09, "source": 0.07}
@@ -81,8 +84,8 @@ def r05(spark, d):
     """0 for what is used up, less for kinds in much use."""
     lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_returnflag", "l_quantity", "l_suppkey")
     part = table(spark, d, "part").select("p_partkey", "p_type")
-    used = lines.where("l_returnflag = 'R'").groupBy("p_partkey").agg((n_rows >= 12).alias("used"))
-    kinds = lines.where("l_quantity >= 50 AND l_suppkey % 50 = 0").join(part, "p_partkey").groupBy("p_type").agg(n_rows.alias("n"))
+    used = lines.where("l_returnflag = 'R'").groupBy("p_partkey").agg((n_rows() >= 12).alias("used"))
+    kinds = lines.where("l_quantity >= 50 AND l_suppkey % 50 = 0").join(part, "p_partkey").groupBy("p_type").agg(n_rows().alias("n"))
     rest = N.clamp(1 - 0.15 * F.coalesce("n", F.lit(0)))
     return part.join(used, "p_partkey", "left").join(kinds, "p_type", "left").select("p_partkey", F.round(F.when(F.col("used"), 0.0).otherwise(rest), 6).alias("diversity"))
 
@@ -106,7 +109,7 @@ def r07(spark, d):
 @query("r08_source_strategy", """WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') / count(*) AS coverage FROM orders GROUP BY o_custkey)
   SELECT o_custkey, round(coverage, 6) AS coverage, CASE WHEN coverage > 0.88 THEN 'archive' WHEN coverage > 0.45 THEN 'mixed' ELSE 'internet' END AS strategy, CASE WHEN coverage > 0.88 THEN 1.0 WHEN coverage > 0.45 THEN 0.7 ELSE 0.3 END::DOUBLE AS archive_weight, CASE WHEN coverage > 0.88 THEN 0.3 WHEN coverage > 0.45 THEN 0.7 ELSE 1.0 END::DOUBLE AS internet_weight FROM c""")
 def r08(spark, d):
-    c = table(spark, d, "orders").groupBy("o_custkey").agg((F.count_if(F.col("o_orderstatus") == "F") / n_rows).alias("c"))
+    c = table(spark, d, "orders").groupBy("o_custkey").agg((F.count_if(F.col("o_orderstatus") == "F") / n_rows()).alias("c"))
     pick = lambda *v: F.when(F.col("c") > 0.88, v[0]).when(F.col("c") > 0.45, v[1]).otherwise(v[2])
     return c.select("o_custkey", F.round("c", 6).alias("coverage"), pick("archive", "mixed", "internet").alias("strategy"), pick(1.0, 0.7, 0.3).alias("archive_weight"), pick(0.3, 0.7, 1.0).alias("internet_weight"))
 
@@ -213,7 +216,7 @@ def r25(spark, d):
 def r26(spark, d):
     """The largest of three boosts: for the clip itself, its kind, and its topic."""
     part = table(spark, d, "part").select("p_partkey", "p_type", "p_name")
-    adopted = table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(n_rows.alias("n"))
+    adopted = table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(n_rows().alias("n"))
     rows = part.join(adopted, "p_partkey", "left")
     kinds = rows.groupBy("p_type").agg(F.sum("n").alias("kind"))
     boost = F.greatest(F.least(F.lit(18), F.coalesce("n", F.lit(0))), F.when(F.col("kind") > 3000, 6).otherwise(0), F.when(F.col("p_name").contains("ring"), 3).otherwise(0))
@@ -247,7 +250,7 @@ def r29(spark, d):
 def r33(spark, d):
     """Sources (a closed set) by weight."""
     weight = F.when(F.col("event_type") == "purchase", 5).when(F.col("event_type") == "signup", 3).otherwise(1)
-    s = table(spark, d, "events").groupBy("event_type").agg((n_rows * F.first(weight)).alias("w"))
+    s = table(spark, d, "events").groupBy("event_type").agg((n_rows() * F.first(weight)).alias("w"))
     return s.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("w"), "event_type")).cast("long"))
 
 
@@ -255,7 +258,7 @@ def r33(spark, d):
   SELECT p_partkey, round(CASE WHEN n >= 3 AND a BETWEEN 0.6 * 25 AND 1.4 * 25 THEN 0.7 * 25 + 0.3 * a ELSE 25 END, 6) AS budget FROM part LEFT JOIN h ON p_partkey = l_partkey""")
 def r34(spark, d):
     """Seven parts estimate and three parts history, where history is within 40 % of it."""
-    h = table(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp")).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("a"), n_rows.alias("n"))
+    h = table(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp")).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("a"), n_rows().alias("n"))
     sane = (F.col("n") >= 3) & F.col("a").between(0.6 * 25, 1.4 * 25)
     return table(spark, d, "part").select("p_partkey").join(h, "p_partkey", "left").select("p_partkey", F.round(F.when(sane, 0.7 * 25 + 0.3 * F.col("a")).otherwise(25.0), 6).alias("budget"))
 

@@ -1,6 +1,7 @@
 """Every registered query of the library against its oracle in DuckDB."""
 
 import datetime
+import decimal
 import os
 
 import duckdb
@@ -9,7 +10,19 @@ import pytest
 from tessera import registry
 
 
+#: Queries whose smallest tables give no rows; newer ones beside them do.
+FEW = {"f07_substring", "f19_silent_gates", "j02_anti_join"}
+
+
 def plain(x):
+    if hasattr(x, "asDict"):
+        return tuple(plain(v) for v in x)
+    if isinstance(x, dict):
+        return tuple(plain(v) for v in x.values())
+    if isinstance(x, (list, tuple)):
+        return tuple(plain(v) for v in x)
+    if isinstance(x, decimal.Decimal):
+        return round(float(x), 4)
     if isinstance(x, float):
         return round(x, 4)
     return x.date() if isinstance(x, datetime.datetime) and x.time() == datetime.time() else x
@@ -20,11 +33,15 @@ def rows(names, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
+def views(con, folder):
+    for f in os.listdir(folder):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+
+
 @pytest.fixture(scope="module")
 def duck(small):
     con = duckdb.connect()
-    for f in os.listdir(small):
-        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{small}/{f}'")
+    views(con, small)
     return con
 
 
@@ -33,4 +50,9 @@ def test_equals_oracle(name, spark, duck, small):
     got = registry.queries()[name](spark, small)
     want = duck.sql(registry.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+    mine = rows(got.columns, [tuple(r) for r in got.collect()])
+    assert mine == rows(want.columns, want.fetchall())
+    if not mine and name not in FEW:  # the smallest tables may have none; the next larger ones must
+        larger = duckdb.connect()
+        views(larger, small.replace("sf0.001", "sf0.01"))
+        assert larger.sql(registry.oracle_sql()[name]).fetchall(), "an oracle of no rows shows nothing"
