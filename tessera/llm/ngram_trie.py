@@ -16,7 +16,7 @@ A text's score is the sum over tokens of the logarithm of the numerator, known w
 where v is, as c(u v) is a count of v's own trie. Every token is once predicted and once ends the context of another, so that each shard adds up what it knows by document and only these sums are
 sent back, as whole numbers. A first pass counts all words. Words with a third of a shard's tokens are dealt over all shards by the
 word before them, pairs and longer sequences of them with as many by what stands before these, and full sequences by their batch;
-their counts are taken from a second pass. So no key fills a shard; the number of shards follows the number of tokens.
+their counts are taken from further passes. So no key fills a shard; the number of shards follows the number of tokens.
 
 Words are known by 64-bit hashes, as context by 40 bits of these. Nothing is pruned or capped. Memory a task: some 200 bytes for each of
 ``SHARD_TOKENS`` tokens at order 3.
@@ -43,7 +43,7 @@ from tessera.llm.near_dedup import mix
 
 FOLDS, HELD, MASS, STEPS = 7, 2, 300.0, 1024
 ORDER, LIFT = 3, 10.0
-SHARD_TOKENS, BATCH_TOKENS, COUNT_TOKENS = 1_500_000, 6_000_000, 3_000_000
+SHARD_TOKENS, BATCH_TOKENS, COUNT_TOKENS = 1_000_000, 4_500_000, 2_000_000
 BASE_STEPS = 1 << 32  # base scores travel as whole numbers of these
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line feed
 
@@ -113,14 +113,18 @@ class EliasFano:
         high = (x >> np.uint64(self.low)).astype(np.int64)
         last = self.zeros[-1] - 1
         high = np.minimum(high, last)
-        first = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, 255) - (high - 1), 0)
+        at = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, 255) - (high - 1), 0)
         stop = self._select(high, self.zeros, 255) - high
-        want, at = x & np.uint64((1 << self.low) - 1), first.copy()
+        want = x & np.uint64((1 << self.low) - 1)
         todo = np.flatnonzero(at < stop)
-        while len(todo):  # as many rounds as a bucket of equal high bits has elements
-            todo = todo[self._low(at[todo]) < want[todo]]
-            at[todo] += 1
-            todo = todo[at[todo] < stop[todo]]
+        first, after, want = at[todo], stop[todo], want[todo]
+        while len(todo):  # a binary search among the elements of equal high bits
+            middle = (first + after) >> 1
+            less = self._low(middle) < want
+            first, after = np.where(less, middle + 1, first), np.where(less, after, middle)
+            at[todo] = first
+            go = first < after
+            todo, first, after, want = todo[go], first[go], after[go], want[go]
         return at
 
 
@@ -190,8 +194,9 @@ class Trie:
         for d, ((pointers, level, grams), hashes) in enumerate(zip(self.levels, before), 1):
             if not level.n or not len(ask):
                 break
-            at = np.minimum(self.ids.successor(hashes[ask]), self.ids.n - 1)
-            known = self.ids.get(at) == hashes[ask]
+            words, each = np.unique(hashes[ask], return_inverse=True)  # each context word is looked up once, in order
+            at = np.minimum(self.ids.successor(words), self.ids.n - 1)
+            known, at = (self.ids.get(at) == words)[each], at[each]
             ask, node, at = ask[known], node[known], at[known]
             first, stop = pointers.get(node).astype(np.int64), pointers.get(node + 1).astype(np.int64)
             base = np.where(first > 0, level.get(np.maximum(first - 1, 0)), np.uint64(0))
@@ -317,28 +322,33 @@ class Hot:
 
 def hot_sequences(docs: DataFrame, words: DataFrame, order: int, shard_tokens: int) -> Hot:
     """What is hot has as many training occurrences as a third of a shard, so that its number is bounded by that of the shards;
-    a hot sequence consists of hot words, and these are counted exactly in one more pass over the texts."""
+    a hot sequence consists of hot words, and is counted exactly in one more pass over the texts for each length that has any."""
     least = max(shard_tokens // 3, 1)
     single = {r["word"]: r["n"] for r in words.where(F.col("n") >= least).toLocalIterator()}
     if not single:
         return Hot([{}] * order)
     ones = Hot([single])
 
-    def count(batches):
-        for word in in_batches(batches, COUNT_TOKENS):
-            at = np.flatnonzero(ones.counts(0, word[1:]) >= 0)
-            gram = word[at + 1]
-            for d, before in enumerate(befores(word, at, order), 1):
-                go = ones.counts(0, before) >= 0
-                gram = longer(gram, context(before))
-                got, n = np.unique(gram[go], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), d, np.int32)), as_long(got), pa.array(n.astype(np.int32))], names=["d", "gram", "n"])
-
-    found = training(docs).mapInArrow(count, "d int, gram long, n int").groupBy("d", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    levels = [single] + [{} for _ in range(order - 1)]
-    for r in found.toLocalIterator():  # at most three for each shard and length
-        levels[r["d"]][r["gram"]] = r["n"]
-    return Hot(levels)
+    levels = [single]
+    while len(levels) < order and levels[-1]:  # a hot sequence begins with a hot one that is a word shorter
+        got = Hot([*levels, *[{}] * (order - len(levels))])
+
+        def count(batches, d=len(levels), got=got):
+            for word in in_batches(batches, COUNT_TOKENS):
+                at = np.arange(len(word) - 1, dtype=np.int32)
+                gram = word[1:]
+                for k in range(d):
+                    hot = got.counts(k, gram) >= 0
+                    at, gram = at[hot], gram[hot]
+                    before = befores(word, at, k + 2)[k]
+                    hot = ones.counts(0, before) >= 0
+                    at, gram = at[hot], longer(gram[hot], context(before[hot]))
+                gram, n = np.unique(gram, return_counts=True)
+                yield pa.RecordBatch.from_arrays([as_long(gram), pa.array(n.astype(np.int32))], names=["gram", "n"])
+
+        found = training(docs).mapInArrow(count, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        levels.append({r["gram"]: r["n"] for r in found.toLocalIterator()})  # at most three for each shard
+    return Hot(levels + [{}] * (order - len(levels)))
 
 
 def route(docs: DataFrame, shards: int, hot: Hot, order: int) -> DataFrame:
