@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Memo, arrow_map, documents, written
 
 KINDS = ("assign", "access", "hex", "grammar")
-MIN, MOST, LIKELY, SLACK = 12, 1_500, 24.0, 12.0
+MIN, MOST, LIKELY, SLACK = 12, 1_000, 24.0, 12.0
 #: Weights of the priors over what follows a state, and over the characters of a class.
 FOLLOW, WITHIN = 1 / 12, 8.0
 
@@ -275,6 +275,7 @@ def bits_of(automaton, s: str) -> float:
 def grammars(found: DataFrame, most: int = MOST) -> tuple[list, list]:
     """Automata of the credential kinds, and that of ordinary candidates, from at most ``most`` values a kind."""
     values = found.select(F.explode("found").alias("f")).select("f.kind", "f.value").distinct()
+    # up to a thousand rows a kind, Spark cuts each partition before the shuffle
     first = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
     sample: dict[int, list[str]] = {}
     for row in values.withColumn("place", first).where(F.col("place") <= most).toLocalIterator():  # at most ``most`` rows a kind
