@@ -72,3 +72,19 @@ def dhash(values: Column, side: int = 8) -> Column:
     """Of ``side`` x ``side`` values, bit by bit whether each is less than its right neighbour."""
     places = F.array(*(F.lit(r * side + c) for r in range(side) for c in range(side - 1)))
     return F.aggregate(places, F.lit(0).cast("long"), lambda h, i: h * 2 + (values[i] < values[i + 1]).cast("long"))
+
+
+def _near(q: Column):
+    """Whether a text holds ``q`` or is held by it."""
+    return lambda x: F.contains(x, q) | F.contains(q, x)
+
+
+def routing(asked: list[str], anchors: list[str], tags: Column, name: Column, words: Column) -> Column:
+    """Points of an archive for what is asked. 28 for a tag, 22 for the name, 16 for each of its words, 18 for an anchor in it."""
+    total = F.lit(0)
+    for q in map(F.lit, asked):
+        near = _near(q)
+        total = total + F.when(F.exists(tags, near), 28).otherwise(0) + F.when(F.contains(name, q), 22).otherwise(0) + 16 * F.size(F.filter(words, near))
+    for q in anchors:
+        total = total + F.when(F.contains(name, F.lit(q)), 18).otherwise(0)
+    return total.cast("long")
