@@ -46,3 +46,18 @@ def flushes(events: DataFrame, key: str, ts: str, order: str, most: int, seconds
 
     sizes = times.select(key, F.posexplode(F.aggregate("_t", start, step)["sizes"]).alias("flush", "n"))
     return sizes.select(key, (F.col("flush") + 1).alias("flush"), "n")
+
+
+def rate_limited(events: DataFrame, key: str, ts: str, order: str, most: int, seconds: int) -> DataFrame:
+    """key, order and whether the request is allowed: ``most`` in a window that begins with its first request and lasts ``seconds``."""
+    row = F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), order)
+    lists = events.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(a, r):
+        new = a["first"].isNull() | (r["t"] - a["first"] >= seconds * 1_000_000)
+        n = F.when(new, 1).otherwise(a["n"] + 1)
+        return F.struct(F.when(new, r["t"]).otherwise(a["first"]).alias("first"), n.alias("n"), F.array_append(a["out"], n <= most).alias("out"))
+
+    rows = lists.select(key, "_rows", F.aggregate("_rows", start, step)["out"].alias("_ok"))
+    return rows.select(key, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_ok").alias("allowed"))).alias("z")).select(key, f"z.r.{order}", "z.allowed")

@@ -307,3 +307,27 @@ def t10(spark, d):
 def t07(spark, d):
     """A buffer is flushed at five rows, or when a row comes two hours after its first."""
     return lifecycle.flushes(table(spark, d, "events"), "user_id", "ts", "event_id", 5, 7200)
+
+
+@query("t05_rate_limit", """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  s AS (SELECT user_id, event_id, k, t AS first, 1 AS n, true AS allowed FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.event_id, r.k, CASE WHEN r.t - s.first >= 3600000000 THEN r.t ELSE s.first END, CASE WHEN r.t - s.first >= 3600000000 THEN 1 ELSE s.n + 1 END, r.t - s.first >= 3600000000 OR s.n < 3 FROM s JOIN r ON s.user_id = r.user_id AND r.k = s.k + 1)
+  SELECT user_id, event_id, allowed FROM s""")
+def t05(spark, d):
+    """Three an hour; the hour begins with the first request after the one before ended (streaming form: tessera.streaming.feeds)."""
+    return lifecycle.rate_limited(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 3600)
+
+
+@query("t12_new_since_run", """WITH b AS (SELECT event_id, event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS run FROM events) SELECT run, count(*) AS taken, CAST(min(event_id) AS BIGINT) AS first FROM b GROUP BY run""")
+def t12(spark, d):
+    """A backfill that is interrupted three times: each run takes what lies beyond the cursor of the one before."""
+    events = table(spark, d, "events").select("event_id")
+    top = events.agg((F.max("event_id") + 1).alias("_top"))  # one row
+    runs = events.crossJoin(F.broadcast(top)).select("event_id", F.floor(F.col("event_id") * 4 / F.col("_top")).alias("run"))
+    return runs.groupBy("run").agg(n_rows().alias("taken"), F.min("event_id").alias("first"))
+
+
+@query("t13_idempotent_enqueue", "SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS job, arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS asked FROM events GROUP BY ALL")
+def t13(spark, d):
+    """Of requests with one job id the first counts (streaming form: tessera.streaming.feeds)."""
+    rows = table(spark, d, "events").select("user_id", F.from_json("props", "k long")["k"].alias("job"), "ts", "event_id")
+    return rows.groupBy("user_id", "job").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), n_rows().alias("asked"))
