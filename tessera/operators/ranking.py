@@ -9,10 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Blocks of queries in vector search.
-BLOCKS = 16
-
-
 def weighted(signals: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean of the signals at hand: the weight of a null one goes to the others; null without any."""
     present = reduce(add, [F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in signals.values()])
@@ -62,13 +58,14 @@ def apportion(df: DataFrame, weight: str, name: str, seats: int) -> DataFrame:
 def cosines(base: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, vec_id, similarity of all rows (vec_id, embedding) with each query row (a stated set) but itself.
 
-    Vectors are scaled to unit length once. The queries are dealt into blocks that every base row meets in turn, so that neither
-    side is broadcast and a task holds a block of queries at a time.
+    Vectors are scaled to unit length once. Base rows are dealt into as many blocks as there are shuffle partitions, and the few
+    queries go to each block, so that nothing is broadcast and no base row is copied.
     """
+    blocks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     square = F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))
     unit = lambda df: df.select("vec_id", "embedding", F.sqrt(square).alias("_norm")).select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("v"))
-    left = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).cast("int").alias("block"))
-    right = unit(base).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    left = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = unit(base).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return right.join(left, "block").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 6).alias("similarity"))
 

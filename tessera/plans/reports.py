@@ -150,7 +150,10 @@ def a20(spark, d):
 
 @query("a22_repeated_sources", "SELECT text, count(DISTINCT source) AS sources FROM documents GROUP BY text HAVING count(DISTINCT source) >= 2")
 def a22(spark, d):
-    return table(spark, d, "documents").groupBy("text").agg(F.count_distinct("source").alias("sources")).where("sources >= 2")
+    """Texts are grouped by their digests; only those that several sources have are read again."""
+    docs = table(spark, d, "documents")
+    by = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.count_distinct("source").alias("sources"), F.min("doc_id").alias("doc_id")).where("sources >= 2")
+    return by.join(docs.select("doc_id", "text"), "doc_id").select("text", "sources")
 
 
 @query("a27_min_max", "SELECT p_partkey, round(CASE WHEN p_retailprice IS NULL THEN 0 WHEN h = l THEN 1 ELSE (p_retailprice - l) / (h - l) END, 6) AS scaled FROM part, (SELECT min(p_retailprice) AS l, max(p_retailprice) AS h FROM part)")
