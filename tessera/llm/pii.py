@@ -287,26 +287,26 @@ def rendered(key: str, m: Column, kind: Column, draws: Column | None) -> Column:
     return F.when(kind.isNull(), m).otherwise(let(F.transform(entities_of(m, kind), plain), put))
 
 
-def pattern_for(text: Column) -> Column:
-    """The pattern for a text: with the surnames of its names, so that these are met where they stand alone as well."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
-    names = F.filter(found, lambda m: m.rlike(r"^\p{Lu}") & ~m.contains("@") & ~m.rlike("^[A-Z]{2}[0-9]{2}"))
-    surnames = F.array_distinct(F.transform(names, lambda m: F.element_at(name_parts(m), -1)))
-    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}@._-])(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}@_-])"))
-    return F.when(F.size(surnames) > 0, alone).otherwise(F.lit(PATTERN))
-
-
-def found_in(text: Column, pattern: Column) -> Column:
-    """The mentions of a text (m) and their kinds, in order; kind is null where a checksum fails."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), pattern, F.lit(0))
-    return F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+def with_mentions(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the mentions of their texts in a column ``name`` (m, and its kind; null where a checksum fails), in order, and in
+    ``name_pattern`` the pattern where it isn't the plain one: with the surnames of a text's names, so that these are met where they
+    stand alone as well. Only such texts are matched again."""
+    text, plain, pattern = F.coalesce("text", F.lit("")), F.col(f"{name}_plain"), F.col(f"{name}_pattern")
+    rows = rows.withColumn(f"{name}_plain", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    names = F.filter(plain, lambda m: m.rlike(r"^\p{Lu}") & ~m.contains("@") & ~m.rlike("^[A-Z]{2}[0-9]{2}"))
+    surnames = F.array_join(F.array_distinct(F.transform(names, lambda m: F.element_at(name_parts(m), -1))), "|")
+    rows = rows.withColumn(f"{name}_pattern", F.nullif(surnames, F.lit("")))
+    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}@._-])(?:"), pattern, F.lit(r")(?![\p{L}\p{N}@_-])"))
+    rows = rows.withColumn(f"{name}_pattern", F.when(pattern.isNotNull(), alone))
+    found = F.when(pattern.isNull(), plain).otherwise(F.regexp_extract_all(text, pattern, F.lit(0)))
+    return rows.withColumn(name, F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))).drop(f"{name}_plain")
 
 
 def entity_rows(docs: DataFrame, **more: Column) -> DataFrame:
     """kind and canon of every entity of every mention, a row each, beside the columns ``more``."""
     names = list(more)
-    rows = docs.select("text", pattern_for(F.col("text")).alias("pattern"), *(c.alias(n) for n, c in more.items()))
-    mentions = rows.select(*names, F.explode(found_in(F.col("text"), F.col("pattern"))).alias("f")).where("f.kind IS NOT NULL")
+    rows = with_mentions(docs.select("text", *(c.alias(n) for n, c in more.items())), "mentions")
+    mentions = rows.select(*names, F.explode("mentions").alias("f")).where("f.kind IS NOT NULL")
     return mentions.select(*names, F.explode(entities_of(F.col("f.m"), F.col("f.kind"))).alias("e")).select(*names, "e.kind", "e.canon")
 
 
@@ -350,9 +350,8 @@ def with_surrogates(docs: DataFrame, key: str | None = None) -> tuple[DataFrame,
         by_text = held.join(again, ["kind", "canon"]).groupBy(F.col("_h").alias(hash_)).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias(drawn))
         rows = docs.withColumn(hash_, F.xxhash64("text")).join(written(by_text, "pii-by-text"), hash_, "left")
     draws = None if again is None else F.col(drawn)
-    rows = rows.withColumn(pattern, pattern_for(F.col("text")))
-    rows = rows.withColumn(found, found_in(F.col("text"), F.col(pattern)))
-    parts = F.split(F.col("text"), F.col(pattern), -1)
+    rows = with_mentions(rows, own)
+    parts = F.split(F.col("text"), F.coalesce(pattern, F.lit(PATTERN)), -1)
     new = F.transform(F.col(found), lambda f: rendered(key, f["m"], f["kind"], draws))
     whole = F.array_join(F.zip_with(parts, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     return rows.withColumn("text", F.when(F.size(found) == 0, F.col("text")).otherwise(whole)).drop(hash_, drawn, pattern), found
