@@ -306,8 +306,9 @@ def entity_rows(docs: DataFrame, **more: Column) -> DataFrame:
     """kind and canon of every entity of every mention, a row each, beside the columns ``more``."""
     names = list(more)
     rows = with_mentions(docs.select("text", *(c.alias(n) for n, c in more.items())), "mentions")
-    mentions = rows.select(*names, F.explode("mentions").alias("f")).where("f.kind IS NOT NULL")
-    return mentions.select(*names, F.explode(entities_of(F.col("f.m"), F.col("f.kind"))).alias("e")).select(*names, "e.kind", "e.canon")
+    # outer, since explode alone has its input worked out once more for a filter on its size
+    mentions = rows.select(*names, F.explode_outer("mentions").alias("f")).where("f.kind IS NOT NULL")
+    return mentions.select(*names, F.explode_outer(entities_of(F.col("f.m"), F.col("f.kind"))).alias("e")).select(*names, "e.kind", "e.canon")
 
 
 def redraws(docs: DataFrame, key: str) -> DataFrame | None:
