@@ -103,11 +103,11 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class WordTable:
     """What words stand for, as stretches of one array: a table that grows by the words that texts bring anew, up to ``most``.
 
-    ``make`` gives the arrays of a list of new words at once. Texts are looked up a batch at a time: words are numbered by
-    Arrow's dictionary, so that Python sees every distinct word of a batch once.
+    ``make`` gives for a list of new words one array, and where in it each word's stretch begins and how long it is. Texts are
+    looked up a batch at a time: words are numbered by Arrow's dictionary, so that Python sees every distinct word of a batch once.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[np.ndarray]], dtype, most: int = 300_000):
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], dtype, most: int = 300_000):
         self.make, self.dtype, self.most = make, dtype, most
         self._empty()
 
@@ -117,30 +117,28 @@ class WordTable:
         self.used = 0
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """The words' rows in ``starts`` and ``lengths``; valid until the next call."""
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        """The rows of distinct words in ``starts`` and ``lengths``; valid until the next call."""
+        new = [w for w in words if w not in self.number]
         if len(self.number) + len(new) > self.most:
             self._empty()
-            new = list(dict.fromkeys(words))
+            new = words
         if new:
-            arrays = self.make(new)
-            first, lengths = len(self.number), np.array([len(a) for a in arrays], np.int64)
-            self.number.update(zip(new, range(first, first + len(new))))
-            self.flat = _room(self.flat, self.used, self.used + int(lengths.sum()))
-            self.starts, self.lengths = (_room(x, first, first + len(new)) for x in (self.starts, self.lengths))
-            ends = self.used + np.cumsum(lengths)
-            self.flat[self.used : ends[-1]] = np.concatenate(arrays)
-            self.starts[first : first + len(new)], self.lengths[first : first + len(new)] = ends - lengths, lengths
-            self.used = int(ends[-1])
-        return np.array([self.number[w] for w in words], np.int64)
-
-    def texts(self, texts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
-        """What the words of texts stand for, cut at single blanks and looked up with ``before`` in front: one array for all
-        texts and the texts' ends in it."""
+            flat, starts, lengths = self.make(new)
+            first, last = len(self.number), len(self.number) + len(new)
+            self.number.update(zip(new, range(first, last)))
+            self.flat = _room(self.flat, self.used, self.used + len(flat))
+            self.starts, self.lengths = (_room(x, first, last) for x in (self.starts, self.lengths))
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.starts[first:last], self.lengths[first:last] = starts + self.used, lengths
+            self.used += len(flat)
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What the words of texts stand for, cut at single blanks: one array for all texts and the texts' ends in it."""
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        row = self.rows([before + w for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        row = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         lengths = self.lengths[row]
         return gathered(self.flat, self.starts[row], lengths), np.concatenate([[0], np.cumsum(lengths)])[offsets]
 

@@ -200,21 +200,28 @@ class Pieces:
             base += meet
             del last[:meet], total[:meet]
 
-    def many(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words. In order, so that a word goes on from the boundaries that it shares with the one before."""
-        out: list = [None] * len(words)
+    def many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words that stand after a blank: one array, and where each word's begin and how many they are. In order, so
+        that a word goes on from the boundaries that it shares with the one before."""
+        order = sorted(range(len(words)), key=words.__getitem__)
+        flat: list[int] = []
+        starts = []
         old, last, total = "", [-1], [0.0]
-        for k in sorted(range(len(words)), key=words.__getitem__):
-            word, same = words[k], 0
-            for a, b in zip(word, old):
-                if a != b:
-                    break
-                same += 1
-            del last[same + 1 :], total[same + 1 :]
-            self._extend(word, same, len(word), 0, last, total)
-            out[k] = np.array(self.path(last, len(word)), "<i4")
-            old = word
-        return out
+        for at in range(0, len(order), 50_000):
+            ordered = [BLANK + words[k] for k in order[at : at + 50_000]]
+            letters = np.array([old, *ordered])
+            letters = letters.view(np.uint32).reshape(len(letters), -1)
+            shared = (letters[1:] == letters[:-1]).argmin(axis=1).tolist()  # characters that a word shares with the one before
+            for word, same in zip(ordered, shared):
+                same = min(same, len(old))
+                del last[same + 1 :], total[same + 1 :]
+                self._extend(word, same, len(word), 0, last, total)
+                starts.append(len(flat))
+                flat += self.path(last, len(word))
+                old = word
+        of = np.empty((2, len(words)), np.int64)
+        of[:, order] = starts, np.diff([*starts, len(flat)])
+        return np.array(flat, "<i4"), *of
 
     def meeting(self, last: list[int]) -> int:
         """The boundary through which all paths lead that a later piece can continue."""
@@ -226,11 +233,12 @@ class Pieces:
         return ends.pop()
 
     def path(self, last: list[int], to: int) -> list[int]:
-        out = []
+        out, text, ids = [], self.text, self.ids
         while to > 0:
-            out.append(last[to])
-            to -= len(self.text[last[to]])
-        return [i for k in reversed(out) for i in self.ids[k]]
+            k = last[to]
+            out.append(k)
+            to -= len(text[k])
+        return [i for k in reversed(out) for i in ids[k]]
 
 
 @lru_cache(2)
@@ -249,13 +257,13 @@ def encoder(pieces: Pieces):
         parts = [BLANK + text.replace(" ", BLANK)] if pieces.inner_blanks else cut.findall(BLANK + text.replace(" ", BLANK))
         return np.fromiter((i for w in parts if text for i in pieces.stream(w)), "<i4")
 
-    words = WordTable(pieces.many, "<i4", 400_000)
+    words = WordTable(pieces.many, "<i4", 600_000)
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # single blanks part words; runs of blanks and words too long to be remembered are for the window alone
         apart = {k: whole(t) for k, t in enumerate(texts) if pieces.inner_blanks or not t or t[0] == " " or t[-1] == " " or "  " in t or BLANK in t or LONG.search(t)}
         plain = [t for k, t in enumerate(texts) if k not in apart]
-        flat, ends = words.texts(pa.array(plain, pa.string()), BLANK) if plain else (np.empty(0, "<i4"), [0])
+        flat, ends = words.texts(pa.array(plain, pa.string())) if plain else (np.empty(0, "<i4"), [0])
         if not apart:
             return flat, ends
         at = iter(zip(ends, ends[1:]))
