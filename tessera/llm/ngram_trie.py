@@ -43,7 +43,7 @@ from tessera.llm.near_dedup import mix
 
 FOLDS, HELD, MASS, STEPS = 7, 2, 300.0, 1024
 ORDER, LIFT = 3, 10.0
-SHARD_TOKENS, BATCH_TOKENS, COUNT_TOKENS = 1_000_000, 4_500_000, 2_000_000
+SHARD_TOKENS, BATCH_TOKENS, COUNT_TOKENS = 800_000, 4_500_000, 2_000_000
 BASE_STEPS = 1 << 32  # base scores travel as whole numbers of these
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line feed
 
