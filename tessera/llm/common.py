@@ -198,3 +198,21 @@ def logistic_fit(x, y) -> tuple[float, float]:
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def in_order(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their number from 0 in an order, as ``name``: they are dealt by ranges of it, numbered there, and written.
+
+    What the driver holds and broadcasts is one count a partition.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    dealt, part = written(dealt, "in-order"), F.shiftright(name, 33)
+    before, total = [], 0
+    for r in sorted(dealt.groupBy(part.alias("part")).count().collect()):
+        before.append((r["part"], total))
+        total += r["count"]
+    firsts = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))
+    inside = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    columns = [F.col(c) for c in rows.columns]
+    return dealt.withColumn("_part", part).join(firsts, "_part").select(*columns, (inside + F.col("_before")).alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mpeg_audio, near_dedup, ngram_trie, packing, pii, quality, secrets, sentencepiece_codec, toxicity
+from tessera.llm import exact_dedup, fill_middle, mpeg_audio, near_dedup, ngram_trie, packing, pii, quality, resampling, secrets, sentencepiece_codec, sharding, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op7_lm_scoring": ngram_trie.op7_lm_scoring,
     "op9_pii_surrogates": pii.op9_pii_surrogates,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_sharding": sharding.op13_sharding,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_minhash_near_dedup": near_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_minhash_near_dedup": near_dedup.ORACLE, "op11_fill_in_middle": fill_middle.ORACLE, "op12_importance_resampling": resampling.ORACLE}
