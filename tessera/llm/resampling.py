@@ -185,7 +185,8 @@ def resample(docs: DataFrame, target: DataFrame, run: int = RUN, buckets: int =
     gain = gains(bucket_counts(docs, run, buckets, most), bucket_counts(target, run, buckets, most), spark, buckets)
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.ln(-F.ln((h + F.lit(0.5)) / F.lit(4294967296.0))))
-    scored = weights(docs, gain, run, most).withColumn("score", F.col("weight") + noise).withColumn("short", F.col("n_words") < least_words)
+    weighed = written(weights(docs, gain, run, most), "resample-weights")  # ranges are sampled before they are dealt: texts are walked once
+    scored = weighed.withColumn("score", F.col("weight") + noise).withColumn("short", F.col("n_words") < least_words)
     ordered = in_order(scored, ["short", F.desc("score"), F.col("doc_id").asc_nulls_last()], "at")
     number = ordered.where(~F.col("short")).count()
     drawn = F.when(~F.col("short") & (F.col("at") < percent * number // 100), F.col("at") + 1)
