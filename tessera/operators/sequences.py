@@ -1,4 +1,4 @@
-"""Sequences: clamped sums, places in runs, and near hashes by bands."""
+"""Sequences: clamped sums, places in runs, bands of scores and numbers in order."""
 
 from __future__ import annotations
 
@@ -37,19 +37,6 @@ def places_in_runs(df: DataFrame, key: str, order: list[str], value: str, long:
     return rows.withColumns({"before": before, "long_run": F.count(F.lit(1)).over(run) >= long}).drop("_new", "_run")
 
 
-def hamming_pairs(df: DataFrame, name: str, most: int, bits: int) -> DataFrame:
-    """left_hash, right_hash, distance of different hashes at most ``most`` bits apart. Of ``most`` + 1 bands one is equal in such a
-    pair, so that none is lost; a pair is kept in its first equal band, so that it comes once."""
-    ends = [i * bits // (most + 1) for i in range(most + 2)]  # dealt evenly, so that no band is empty
-    band = lambda h, i: F.shiftrightunsigned(h, ends[i]).bitwiseAND(F.lit((1 << ends[i + 1] - ends[i]) - 1))
-    hashes = df.select(F.col(name).cast("long").alias("h")).where("h IS NOT NULL").distinct()
-    banded = hashes.select("h", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), band(F.col("h"), i).alias("b")) for i in range(most + 1)))).alias("x")).select("h", "x.i", "x.b")
-    pairs = banded.withColumnRenamed("h", "left_hash").join(banded.withColumnRenamed("h", "right_hash"), ["i", "b"]).where("left_hash < right_hash")
-    differ = F.col("left_hash").bitwiseXOR(F.col("right_hash"))
-    first = F.coalesce(*(F.when(band(differ, i) == 0, F.lit(i)) for i in range(most + 1)))
-    return pairs.withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= most) & (F.col("i") == first)).select("left_hash", "right_hash", "distance")
-
-
 def bands(lists: DataFrame, key: str, rows: str, width: float) -> DataFrame:
     """key, the rows' columns and band. ``rows`` ascend by ``minus``, the negated score; a band holds what lies within ``width`` of its top."""
     start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("band"), F.array().cast("array<int>").alias("out"))

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
-from tessera.operators import greedy, ranking, sequences
+from tessera.operators import greedy, hamming, ranking, sequences
 from tessera.plans.book import book
-from tessera.sources.folders import scratch
+from tessera.sources.folders import cut
 from tessera.sources.tables import table
 
 QUERIES, ORACLES, query = book()
@@ -21,13 +21,6 @@ def n_rows() -> Column:
     return F.count(F.lit(1))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back."""
-    path = scratch(df.sparkSession, "rounds")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @query("d02_two_keys", """WITH RECURSIVE c AS (SELECT l_orderkey AS k, l_linenumber * 100000 + l_partkey AS o, l_suppkey % 3 AS a, l_partkey % 4 AS b FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, a, b) AS i FROM c),
   s AS (SELECT k, o, a, b, i, [a] AS xs, [b] AS ys, true AS kept FROM r WHERE i = 1 UNION ALL SELECT r.k, r.o, r.a, r.b, r.i, CASE WHEN list_contains(xs, r.a) OR list_contains(ys, r.b) THEN xs ELSE list_append(xs, r.a) END, CASE WHEN list_contains(xs, r.a) OR list_contains(ys, r.b) THEN ys ELSE list_append(ys, r.b) END, NOT (list_contains(xs, r.a) OR list_contains(ys, r.b)) FROM s JOIN r ON r.k = s.k AND r.i = s.i + 1)
   SELECT k AS l_orderkey, o AS place, a AS id, b AS url FROM s WHERE kept""")
@@ -43,22 +36,31 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(key.alias("id"), ((F.floor(key / 6) * 2654435761 % 16777216).bitwiseXOR(F.element_at(F.array(*map(F.lit, (0, 1, 3, 7, 15, 31))), (key % 6 + 1).cast("int")))).alias("hash"))
 
 
+def wide(key: Column) -> Column:
+    """A picture hash of 64 bits, close in groups of six keys."""
+    return (F.floor(key / 6) % 1000003 * 2654435761 * 97).bitwiseXOR(F.element_at(F.array(*map(F.lit, (0, 1, 7, 127, 2047, 65535))), (key % 6 + 1).cast("int")))
+
+
 _HASH = "SELECT c_custkey AS id, xor((c_custkey // 6) * 2654435761 % 16777216, [0, 1, 3, 7, 15, 31][c_custkey % 6 + 1]) AS hash FROM customer"
 
 
-@query("d03_keep_oldest", f"""WITH RECURSIVE h AS ({_HASH}), r AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM h), s AS (SELECT id, i, [hash] AS got, true AS kept FROM r WHERE i = 1
-  UNION ALL SELECT r.id, r.i, CASE WHEN len(list_filter(got, lambda x: bit_count(xor(x, r.hash)) <= 2)) > 0 THEN got ELSE list_append(got, r.hash) END, len(list_filter(got, lambda x: bit_count(xor(x, r.hash)) <= 2)) = 0 FROM s JOIN r ON r.i = s.i + 1)
-  SELECT id, kept FROM s""")
+_PICTURES = "SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 3 THEN NULL WHEN c_custkey % 77 = 5 THEN 0 ELSE xor((c_custkey // 6) % 1000003 * 2654435761 * 97, [0, 1, 7, 127, 2047, 65535][c_custkey % 6 + 1]) END AS hash FROM customer"
+
+
+@query("d03_keep_oldest", f"""WITH RECURSIVE h AS ({_PICTURES}), r AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM h WHERE hash IS NOT NULL), s AS (SELECT id, i, [hash] AS got, true AS kept FROM r WHERE i = 1
+  UNION ALL SELECT r.id, r.i, CASE WHEN len(list_filter(got, lambda x: x = r.hash OR (x <> 0 AND r.hash <> 0 AND bit_count(xor(x, r.hash)) <= 8))) > 0 THEN got ELSE list_append(got, r.hash) END, len(list_filter(got, lambda x: x = r.hash OR (x <> 0 AND r.hash <> 0 AND bit_count(xor(x, r.hash)) <= 8))) = 0 FROM s JOIN r ON r.i = s.i + 1)
+  SELECT id, kept FROM s UNION ALL SELECT id, true FROM h WHERE hash IS NULL""")
 def d03(spark, d):
-    """In order of id, a picture goes if a kept one is within 2 bits; near one that went is no reason."""
-    rows = hashes(spark, d)
-    near = sequences.hamming_pairs(rows, "hash", 2, 24).select("left_hash", "right_hash")
-    same = rows.groupBy("hash").agg(F.min("id").alias("first"))
-    firsts = cut(same)  # of equal hashes the oldest stands for all
+    """In order of id, a picture goes if a kept one is within 8 of 64 bits; near one that went is no reason. A hash of 0 (one colour)
+    is near its equals only; a picture without a hash stays."""
+    key = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(key.alias("id"), F.when(key % 50 == 3, F.lit(None)).when(key % 77 == 5, F.lit(0)).otherwise(wide(key)).alias("hash"))
+    near = hamming.pairs(rows.where("hash <> 0"), "hash", 8, 64, cut).select("left_hash", "right_hash")
+    firsts = cut(rows.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("first")))  # of equal hashes the oldest stands for all
     by = lambda side: firsts.select(F.col("hash").alias(f"{side}_hash"), F.col("first").alias(f"{side}_id"))
     pairs = near.join(by("left"), "left_hash").join(by("right"), "right_hash").select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
-    kept = greedy.keep_first_of_near(firsts.select(F.col("first").alias("id")), pairs, cut).where("kept").select("id", F.lit(True).alias("kept"))
-    return rows.select("id").join(kept, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+    kept = greedy.keep_first_of_near(firsts.select(F.col("first").alias("id")), cut(pairs), cut).where("kept").select("id", F.lit(True).alias("kept"))
+    return rows.join(kept, "id", "left").select("id", F.coalesce("kept", F.col("hash").isNull()).alias("kept"))
 
 
 @query("d04_frames", f"""WITH h AS ({_HASH}), f AS (SELECT id // 3 AS clip, hash FROM h), p AS (SELECT a.clip AS a, b.clip AS b, a.hash AS x, min(bit_count(xor(a.hash, b.hash))) AS least FROM f a JOIN f b ON b.clip = a.clip + 1 GROUP BY ALL),
@@ -95,13 +97,12 @@ def d07(spark, d):
     return ranking.top(rows.groupBy("beat", "q").agg(F.min_by("s", "o").alias("s")), "beat", [F.desc("s"), F.col("q")], 30)
 
 
-@query("d08_fragment_prepass", f"""WITH RECURSIVE f AS (SELECT l_suppkey % 40 AS src, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS id, l_partkey % 500 AS a, l_partkey % 500 + 6 AS b FROM lineitem WHERE l_returnflag = 'R'), u AS (SELECT src, min(id) AS id, a, b FROM f GROUP BY src, a, b), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY id) AS i FROM u),
+@query("d08_fragment_prepass", f"""WITH RECURSIVE f AS (SELECT l_suppkey % 40 AS src, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS id, l_partkey % 500 AS a, l_partkey % 500 + 6 AS b FROM lineitem), u AS (SELECT src, min(id) AS id, a, b FROM f GROUP BY src, a, b), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY id) AS i FROM u),
   s AS (SELECT src, id, i, [a] AS got, true AS kept FROM r WHERE i = 1 UNION ALL SELECT r.src, r.id, r.i, CASE WHEN len(list_filter(got, lambda x: abs(x - r.a) <= 2)) > 0 THEN got ELSE list_append(got, r.a) END, len(list_filter(got, lambda x: abs(x - r.a) <= 2)) = 0 FROM s JOIN r ON r.src = s.src AND r.i = s.i + 1)
   SELECT src, id, kept FROM s""")
 def d08(spark, d):
     """Before any content is looked at: in order of id, a fragment goes if a kept one of its source covers most of it."""
-    line = table(spark, d, "lineitem").where("l_returnflag = 'R'")
-    rows = line.select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("id"), (F.col("l_partkey") % 500).alias("a"))
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("id"), (F.col("l_partkey") % 500).alias("a"))
     first = cut(rows.groupBy("src", "a").agg(F.min("id").alias("id")))  # equal fragments: the oldest stands for all
     near = first.select("src", F.col("id").alias("i"), F.explode(F.sequence(F.col("a") - 2, F.col("a") + 2)).alias("a")).join(first, ["src", "a"]).where("i < id").select(F.col("i").alias("left_id"), F.col("id").alias("right_id"), "src")
     nodes = first.select(F.struct("src", "id").alias("id"))
@@ -184,9 +185,7 @@ _WIDE = "SELECT DISTINCT xor((c_custkey // 6) % 1000003 * 2654435761 * 97, [0, 1
 @query("j11_near_hashes", f"WITH h AS ({_WIDE}) SELECT a.hash AS left_hash, b.hash AS right_hash, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a JOIN h b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= 8")
 def j11(spark, d):
     """Picture hashes of 64 bits (made up, close in groups of six keys), 8 bits apart at most."""
-    key = F.col("c_custkey")
-    wide = (F.floor(key / 6) % 1000003 * 2654435761 * 97).bitwiseXOR(F.element_at(F.array(*map(F.lit, (0, 1, 7, 127, 2047, 65535))), (key % 6 + 1).cast("int")))
-    return sequences.hamming_pairs(table(spark, d, "customer").select(wide.alias("hash")), "hash", 8, 64)
+    return hamming.pairs(table(spark, d, "customer").select(wide(F.col("c_custkey")).alias("hash")), "hash", 8, 64, cut)
 
 
 @query("w01_global_queue", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS position FROM orders WHERE o_orderstatus = 'O'")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import merges, ranking, sequences, stats
+from tessera.operators import hamming, merges, ranking, sequences, stats
+from tessera.sources.folders import cut
 from tessera.sources.tables import table
 
 QUERIES: dict = {}
@@ -78,7 +79,7 @@ def j11(spark, d):
     """Different hashes within 3 bits of each other; equal ones are one row of the join."""
     key = F.col("p_partkey")
     high = (F.floor(key / 4) * F.lit(2654435761)) % F.lit(4294967296)
-    return sequences.hamming_pairs(table(spark, d, "part").select(high.bitwiseXOR(key % 4).alias("hash")), "hash", 3, 32)
+    return hamming.pairs(table(spark, d, "part").select(high.bitwiseXOR(key % 4).alias("hash")), "hash", 3, 32, cut)
 
 
 @query("m02_monotone_upsert", "SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AS bought, arg_max(value, (ts, event_id)) FILTER (event_type = 'purchase') AS last_value, count(*) AS tries FROM events GROUP BY user_id")

@@ -20,6 +20,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str = "rounds") -> DataFrame:
+    """Written to the shared folder and read back, which ends the lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     """The rows, written as JSON lines and read back with their schema."""
     path = scratch(df.sparkSession, "lines")
