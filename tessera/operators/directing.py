@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,27 +25,38 @@ def interleaved(counts: Column, kinds: list[str]) -> Column:
     return F.aggregate(steps, start, step)["plan"]
 
 
-def placed(rows: DataFrame, key: str, free: str, opening: Column) -> DataFrame:
-    """key, place, event_id: the clips (event_id, kind) in the order that the greedy choice gives. Kinds 0 to 3 are the targets in turn;
-    3 is archive footage.
+def _placed(kinds: list[int], ids: list[int], opening: bool) -> list[int]:
+    """The ids in the order that the greedy choice gives. A score depends on the kind alone, so that each place looks at the first clip
+    of each kind, not at all that are left.
 
     Fixed values: 10 for the target, -5 and -15 for repeats, -8 for archive after archive, and what suits a first place.
     """
-    start = F.struct(F.col(free).alias("free"), F.lit(-1).alias("p1"), F.lit(-1).alias("p2"), F.array().cast("array<long>").alias("out"))
+    queues = {k: deque(i for j, i in zip(kinds, ids) if j == k) for k in set(kinds)}
+    first = (4, 4, 9, -4) if opening else (8, 8, -10, 0)
+    out, one, two = [], None, None
+    for place in range(len(ids)):
+
+        def rank(kind):
+            target = 10 if kind == place % 4 and not (place == 0 and opening) else 0
+            repeat = (5 + 15 * (kind == two) + 8 * (kind == 3)) if kind == one else 0
+            return -(target - repeat + (first[kind] if place == 0 else 0)), queues[kind][0]
+
+        kind = min((k for k, q in queues.items() if q), key=rank)
+        out.append(queues[kind].popleft())
+        one, two = kind, one
+    return out
+
 
-    def step(a, pos):
-        def score(kind):
-            first = F.when(opening, F.when(kind == 2, 9).when(kind < 2, 4).otherwise(-4)).otherwise(F.when(kind < 2, 8).when(kind == 2, -10).otherwise(0))
-            target = F.when((kind == pos % 4) & ~((pos == 0) & opening), 10).otherwise(0)
-            repeat = F.when(kind == a["p1"], 5 + F.when(kind == a["p2"], 15).otherwise(0)).otherwise(0) + F.when((kind == 3) & (a["p1"] == 3), 8).otherwise(0)
-            return target - repeat + F.when(pos == 0, first).otherwise(0)
+def placed(rows: DataFrame, key: str, kind: str, opening: str) -> DataFrame:
+    """key, place, event_id of clips (key, event_id, kind, opening): one after the other the best by target, by the two before and by the
+    opening, the first id among equals. Kinds 0 to 3 are the targets in turn; 3 is archive footage. A key is one sequence in one task."""
 
-        best = F.array_min(F.transform(a["free"], lambda x, i: F.struct((-score(x["kind"])).alias("s"), i.alias("i"), x["kind"].alias("kind"), x["event_id"].alias("event_id"))))
-        left = F.filter(a["free"], lambda x, i: i != best["i"])
-        return F.struct(left.alias("free"), best["kind"].alias("p1"), a["p1"].alias("p2"), F.array_append(a["out"], best["event_id"]).alias("out"))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("event_id", kind="stable")
+        ids = _placed(part[kind].tolist(), part["event_id"].tolist(), bool(part[opening].iloc[0]))
+        return pd.DataFrame({key: part[key].iloc[0], "place": range(len(ids)), "event_id": ids})
 
-    out = F.aggregate(F.sequence(F.lit(0), F.size(free) - 1), start, step)["out"]
-    return rows.select(key, F.posexplode(out).alias("place", "event_id"))
+    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, place int, event_id long")
 
 
 def cursor(words: Column, wanted: Column) -> Column:

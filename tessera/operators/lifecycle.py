@@ -26,16 +26,33 @@ def expired(events: DataFrame, key: str, ts: str, budget: Column, floor: int, st
     return rows.crossJoin(_now(events, ts)).select(key, ((age("_born") > F.greatest("_budget", F.lit(floor))) & (age("_last") > stale)).alias("expired"))
 
 
-def ttl_hits(lookups: DataFrame, key: list[str], order: list[str], seconds: int) -> DataFrame:
-    """The lookups with whether the one before of their key lies within the time to live."""
-    t = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    before = F.lag(t).over(Window.partitionBy(*key).orderBy(*order))
-    return lookups.withColumn("hit", F.coalesce(t - before <= seconds * 1_000_000, F.lit(False)))
+def _histories(events: DataFrame, key: list[str], ts: str, order: str, seconds: int, longer: bool) -> DataFrame:
+    """The keys' rows (t in microseconds, order) in lists, cut where the next row comes ``seconds`` (or ``longer``) after the one before:
+    what is anchored at a first row and lasts so long starts anew there in any case, so that a list is a busy stretch, not a history."""
+    rows = events.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), order)
+    by = Window.partitionBy(*key).orderBy("_t", order)
+    gap = F.col("_t") - F.lag("_t").over(by)
+    new = (gap > seconds * 1_000_000) if longer else (gap >= seconds * 1_000_000)
+    cut = rows.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("_stretch", F.sum("_new").over(by))
+    return cut.groupBy(*key, "_stretch").agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), order))).alias("_rows"))
+
+
+def ttl_hits(lookups: DataFrame, key: list[str], ts: str, order: str, seconds: int) -> DataFrame:
+    """key, order and hit: whether the lookup finds its key stored ``seconds`` ago at most. A miss stores it; a hit doesn't renew it."""
+    start = F.struct(F.lit(None).cast("long").alias("stored"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(a, r):
+        hit = F.coalesce(r["t"] - a["stored"] <= seconds * 1_000_000, F.lit(False))
+        return F.struct(F.when(hit, a["stored"]).otherwise(r["t"]).alias("stored"), F.array_append(a["out"], hit).alias("out"))
+
+    lists = _histories(lookups, key, ts, order, seconds, True)
+    rows = lists.select(*key, "_rows", F.aggregate("_rows", start, step)["out"].alias("_hit"))
+    return rows.select(*key, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_hit").alias("hit"))).alias("z")).select(*key, f"z.r.{order}", "z.hit")
 
 
 def flushes(events: DataFrame, key: str, ts: str, order: str, most: int, seconds: int) -> DataFrame:
     """key, flush and n: a buffer is flushed when it holds ``most`` rows, or a row comes ``seconds`` or more after its first."""
-    times = events.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), order))), lambda x: x["t"]).alias("_t"))
+    times = _histories(events, [key], ts, order, seconds, False).select(key, "_stretch", F.transform("_rows", lambda x: x["t"]).alias("_t"))
     start = F.struct(F.lit(0).cast("long").alias("first"), F.array().cast("array<long>").alias("sizes"))
 
     def step(a, t):
@@ -44,14 +61,13 @@ def flushes(events: DataFrame, key: str, ts: str, order: str, most: int, seconds
         grown = F.concat(F.slice(a["sizes"], F.lit(1), F.greatest(F.size(a["sizes"]) - 1, F.lit(0))), F.array(n + 1))
         return F.struct(F.when(new, t).otherwise(a["first"]).alias("first"), F.when(new, F.array_append(a["sizes"], F.lit(1).cast("long"))).otherwise(grown).alias("sizes"))
 
-    sizes = times.select(key, F.posexplode(F.aggregate("_t", start, step)["sizes"]).alias("flush", "n"))
-    return sizes.select(key, (F.col("flush") + 1).alias("flush"), "n")
+    sizes = times.select(key, "_stretch", F.posexplode(F.aggregate("_t", start, step)["sizes"]).alias("_k", "n"))
+    return sizes.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_stretch", "_k")).cast("long").alias("flush"), "n")
 
 
 def rate_limited(events: DataFrame, key: str, ts: str, order: str, most: int, seconds: int) -> DataFrame:
     """key, order and whether the request is allowed: ``most`` in a window that begins with its first request and lasts ``seconds``."""
-    row = F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), order)
-    lists = events.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    lists = _histories(events, [key], ts, order, seconds, False)
     start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out"))
 
     def step(a, r):

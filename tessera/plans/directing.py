@@ -25,18 +25,19 @@ def r32(spark, d):
 
 
 _CATS = "CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END"
-_SCORE = "CASE WHEN x[1] = (pos % 4) AND NOT (pos = 0 AND opening) THEN 10 ELSE 0 END - CASE WHEN x[1] = p1 THEN 5 + CASE WHEN x[1] = p2 THEN 15 ELSE 0 END ELSE 0 END - CASE WHEN x[1] = 3 AND p1 = 3 THEN 8 ELSE 0 END + CASE WHEN pos > 0 THEN 0 WHEN opening THEN CASE WHEN x[1] = 2 THEN 9 WHEN x[1] < 2 THEN 4 ELSE -4 END ELSE CASE WHEN x[1] < 2 THEN 8 WHEN x[1] = 2 THEN -10 ELSE 0 END END"
+_SCORE = lambda k: f"""CASE WHEN {k} = pos % 4 AND NOT (pos = 0 AND opening) THEN 10 ELSE 0 END - CASE WHEN p1 = {k} THEN 5 + CASE WHEN p2 = {k} THEN 15 ELSE 0 END + {8 if k == 3 else 0} ELSE 0 END + CASE WHEN pos > 0 THEN 0 WHEN opening THEN {(4, 4, 9, -4)[k]} ELSE {(8, 8, -10, 0)[k]} END"""
+_HEADS = ", ".join(f"{{'s': -({_SCORE(k)}), 'e': q[{k + 1}][done[{k + 1}] + 1], 'k': {k}}}" for k in range(4))
 
 
-@query("r30_greedy_sequence", f"""WITH RECURSIVE e AS (SELECT user_id, user_id % 2 = 0 AS opening, list([{_CATS}, event_id] ORDER BY event_id) AS free FROM events WHERE event_id % 1000 < 300 GROUP BY user_id),
-  s AS (SELECT user_id, opening, free, 0 AS pos, -1::BIGINT AS p1, -1::BIGINT AS p2, NULL::BIGINT AS event_id FROM e UNION ALL
-    SELECT user_id, opening, list_filter(free, lambda x: x[2] <> best[3]), pos + 1, best[2], p1, best[3] FROM (SELECT *, list_sort(list_transform(free, lambda x: [-({_SCORE}), x[1], x[2]]), 'ASC') AS ranked, list_transform(list_filter(list_transform(free, lambda x: [-({_SCORE}), x[1], x[2]]), lambda y: y[1] = list_min(list_transform(free, lambda x: -({_SCORE})))), lambda y: y)[1] AS best FROM s WHERE len(free) > 0))
-  SELECT user_id, pos - 1 AS place, event_id FROM s WHERE pos > 0""")
+@query("r30_greedy_sequence", f"""WITH RECURSIVE f AS (SELECT user_id, user_id % 2 = 0 AS opening, [{", ".join(f"coalesce(list(event_id ORDER BY event_id) FILTER ({_CATS} = {k}), [])" for k in range(4))}] AS q, count(*) AS n FROM events GROUP BY user_id),
+  s AS (SELECT user_id, opening, n, 0 AS pos, [0, 0, 0, 0] AS done, -1 AS p1, -1 AS p2, NULL::BIGINT AS event_id FROM f UNION ALL
+    SELECT user_id, opening, n, pos + 1, list_transform(done, lambda x, i: x + CASE WHEN i = best.k + 1 THEN 1 ELSE 0 END), best.k, p1, best.e FROM (SELECT s.*, list_sort(list_filter([{_HEADS}], lambda x: x.e IS NOT NULL))[1] AS best FROM s JOIN f USING (user_id, opening, n) WHERE pos < n))
+  SELECT user_id, CAST(pos - 1 AS INTEGER) AS place, event_id FROM s WHERE pos > 0""")
 def r30(spark, d):
     """Clips placed one after the other: each time the best by target, by the two before it and by the opening; the first among equals."""
     kind = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).otherwise(3)
-    rows = table(spark, d, "events").where("event_id % 1000 < 300").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", kind.alias("kind")))).alias("free"))
-    return directing.placed(rows, "user_id", "free", F.col("user_id") % 2 == 0)
+    rows = table(spark, d, "events").select("user_id", "event_id", kind.alias("kind"), (F.col("user_id") % 2 == 0).alias("opening"))
+    return directing.placed(rows, "user_id", "kind", "opening")
 
 
 @query("j17_token_cursor", r"""WITH RECURSIVE w AS (SELECT item_id, string_split_regex(lower(text), '[^a-z]+') AS w FROM benchmark), t AS (SELECT item_id, list_filter(w, lambda x: length(x) > 1) AS w, list_transform(list_filter(list_filter(w, lambda x: length(x) > 1), lambda x, i: i % 3 = 0), lambda x: substr(x, 1, 4)) AS b FROM w),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -18,16 +20,17 @@ def n_rows() -> Column:
     return F.count(F.lit(1))
 
 
-@query("x01_text_key", r"SELECT doc_id, substr(regexp_replace(trim(lower(text), ' '), '\s+', ' ', 'g'), 1, 256) AS key FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x20-\x7E\n\t]*')")
+@query("x01_text_key", rf"SELECT doc_id, substr(trim(regexp_replace(lower(text), '{T.BLANKS}', ' ', 'g'), ' '), 1, 256) AS key FROM documents")
 def x01(spark, d):
-    """Lower case, trimmed, single blanks, 256 characters; of texts in ASCII, where both engines lower alike."""
-    return table(spark, d, "documents").where(F.col("text").rlike(r"^[\x20-\x7E\n\t]*$")).select("doc_id", T.key(F.col("text")).alias("key"))
+    """Lower case, trimmed, single blanks, 256 characters, of every text; null stays null."""
+    return table(spark, d, "documents").select("doc_id", T.key(F.col("text")).alias("key"))
 
 
-@query("x02_slug_diacritics", r"SELECT page_id, coalesce(nullif(substr(regexp_replace(regexp_replace(translate(lower(t), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100), ''), 'archive') AS slug FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)")
+@query("x02_slug_diacritics", r"SELECT page_id, coalesce(nullif(substr(regexp_replace(regexp_replace(strip_accents(lower(t)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100), ''), 'archive') AS slug FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) || CASE page_id % 4 WHEN 0 THEN ' őžșĐ ǖẬ' WHEN 1 THEN ' é ŁÓDŹ ñ' ELSE '' END AS t FROM pages)")
 def x02(spark, d):
     """Letters lose their diacritics, anything else becomes single hyphens; a default for what leaves nothing."""
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    more = F.when(F.col("page_id") % 4 == 0, " őžșĐ ǖẬ").when(F.col("page_id") % 4 == 1, " e\u0301 ŁÓDŹ ñ").otherwise("")
+    title = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), more)
     return table(spark, d, "pages").select("page_id", T.plain_slug(title, "archive").alias("slug"))
 
 
@@ -115,12 +118,21 @@ def x12(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.coalesce(first("[a-z,] ([A-Z][a-z]+ [A-Z][a-z]+)"), first("[a-z,] ([A-Z][a-z]{2,})"), longest).alias("word"))
 
 
-@query("x13_text_entities", r"""SELECT doc_id, list_distinct(regexp_extract_all(text, '\b(1[89]\d\d|20\d\d)\b', 1)) AS years, regexp_extract_all(text, '\b(\d{1,2}[./-]\d{1,2}[./-]\d{4})\b', 1) AS dates, regexp_extract_all(text, '\b(?:in|at|from) ([A-Z][a-z]{2,})', 1) AS places, regexp_extract_all(text, '\b([A-Z]{3,})\b', 1) AS capitals FROM documents WHERE regexp_full_match(text, '[\x20-\x7E\n\t]*')""")
+_CALM = r"regexp_replace(regexp_replace(regexp_replace(CASE doc_id % 3 WHEN 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 1 THEN text ELSE 'LIVE FROM Old Town, on March 15, 1943' || chr(10) || 'BREAKING STORM HITS COAST' || chr(10) || text || ' JOHN SMITH 04/06/1944' END, '\r\n|[\r\x{2028}\x{2029}]', chr(10), 'g'), '[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FEFF}]', ' ', 'g'), '[^\x00-\x7F]', chr(1), 'g')"
+_EVERY = lambda pattern: r"list_transform(regexp_extract_all(t, '" + pattern.replace("'", "''") + r"', 1), lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '))"
+
+
+@query("x13_text_entities", rf"""WITH c AS (SELECT doc_id, {_CALM} AS t FROM documents),
+  e AS (SELECT doc_id, list_transform({_EVERY(T.YEARS)} || {_EVERY(T.DATES)} || {_EVERY(T.NUMBER_DATES)}, lambda x: 'date:' || x) AS dates,
+    list_transform(list_filter({_EVERY(T.PLACES)}, lambda x: length(x) BETWEEN 3 AND 35), lambda x: 'location:' || x) AS places,
+    list_transform(list_filter(list_transform({_EVERY(T.NAMES)}, lambda x: regexp_split_to_array(x, '[\x09-\x0D ]+')), lambda w: NOT list_has_any(w, {T.NO_NAMES}) AND length(w[1]) <= 18 AND length(w[2]) <= 18), lambda w: 'person:' || w[1] || ' ' || w[2]) AS names,
+    list_transform(list_filter({_EVERY(T.HEADLINES)}, lambda x: regexp_matches(x, '[A-Z]{{4,}}')), lambda x: 'headline:' || x) AS heads FROM c),
+  f AS (SELECT doc_id, dates || places || names || heads AS found FROM e)
+  SELECT doc_id, list_filter(found, lambda x, i: list_position(found, x) = i)[1:60] AS entities FROM f""")
 def x13(spark, d):
-    """Years, dates, places after a preposition and words in capitals."""
-    rows = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x20-\x7E\n\t]*$"))
-    every = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-    return rows.select("doc_id", F.array_distinct(every(r"\b(1[89]\d\d|20\d\d)\b")).alias("years"), every(r"\b(\d{1,2}[./-]\d{1,2}[./-]\d{4})\b").alias("dates"), every(r"\b(?:in|at|from) ([A-Z][a-z]{2,})").alias("places"), every(r"\b([A-Z]{3,})\b").alias("capitals"))
+    """Years, dates, places, names and headlines of every text, a third of them in capitals as read off pictures, a third with a ticker's lines."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.translate("text", ascii_lowercase, ascii_uppercase)).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("LIVE FROM Old Town, on March 15, 1943\nBREAKING STORM HITS COAST\n"), "text", F.lit(" JOHN SMITH 04/06/1944")))
+    return table(spark, d, "documents").select("doc_id", T.calm(text).alias("calm")).select("doc_id", T.entities(F.col("calm")).alias("entities"))
 
 
 @query("x14_provider", "SELECT page_id, CASE WHEN split_part(k, ':', 1) IN ('http', 'unknown') THEN NULL ELSE split_part(k, ':', 1) END AS provider, list_last(string_split(split_part(url, '?', 1), '/')) AS name FROM (SELECT *, CASE page_id % 3 WHEN 0 THEN 'pexels:' WHEN 1 THEN 'http:' ELSE 'unknown:' END || page_id AS k FROM pages)")
@@ -289,10 +301,12 @@ def t03(spark, d):
     return lifecycle.expired(table(spark, d, "events"), "user_id", "ts", F.sum("value") * 900, 36000, 3600)
 
 
-@query("t09_ttl_cache", "SELECT user_id, event_id, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) <= 7200, false) AS hit FROM events")
+@query("t09_ttl_cache", """WITH RECURSIVE r AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+  s AS (SELECT user_id, event_type, event_id, k, t AS stored, false AS hit FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.event_type, r.event_id, r.k, CASE WHEN r.t - s.stored <= 7200000000 THEN s.stored ELSE r.t END, r.t - s.stored <= 7200000000 FROM s JOIN r ON s.user_id = r.user_id AND s.event_type = r.event_type AND r.k = s.k + 1)
+  SELECT user_id, event_id, hit FROM s""")
 def t09(spark, d):
-    """A lookup hits where its key was stored within the time to live; every lookup stores it anew."""
-    return lifecycle.ttl_hits(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], 7200).select("user_id", "event_id", "hit")
+    """A lookup hits where its key was stored within the time to live; a miss stores it, a hit doesn't renew it."""
+    return lifecycle.ttl_hits(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 7200).select("user_id", "event_id", "hit")
 
 
 @query("t10_retention", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 40")

@@ -78,16 +78,15 @@ def r04(spark, d):
     return rows.select("event_id", F.round(N.clamp(1 - years / 20), 6).alias("freshness"))
 
 
-@query("r05_diversity", """WITH u AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey), g AS (SELECT p_type, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_suppkey % 50 = 0 GROUP BY p_type)
-  SELECT p_partkey, round(CASE WHEN u.n >= 12 THEN 0 ELSE greatest(0, 1 - 0.15 * coalesce(g.n, 0)) END, 6) AS diversity FROM part p LEFT JOIN u ON p.p_partkey = u.l_partkey LEFT JOIN g ON p.p_type = g.p_type""")
+@query("r05_diversity", """WITH l AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) - 1 AS used, count(*) OVER (PARTITION BY l_orderkey, p_type ORDER BY l_linenumber) - 1 AS a, count(*) OVER (PARTITION BY l_orderkey, p_brand ORDER BY l_linenumber) - 1 AS b FROM lineitem JOIN part ON l_partkey = p_partkey)
+  SELECT l_orderkey, l_linenumber, round(CASE WHEN used > 0 THEN 0 ELSE greatest(0, 1 - 0.15 * greatest(a, b)) END, 6) AS diversity FROM l""")
 def r05(spark, d):
-    """0 for what is used up, less for kinds in much use."""
-    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_returnflag", "l_quantity", "l_suppkey")
-    part = table(spark, d, "part").select("p_partkey", "p_type")
-    used = lines.where("l_returnflag = 'R'").groupBy("p_partkey").agg((n_rows() >= 12).alias("used"))
-    kinds = lines.where("l_quantity >= 50 AND l_suppkey % 50 = 0").join(part, "p_partkey").groupBy("p_type").agg(n_rows().alias("n"))
-    rest = N.clamp(1 - 0.15 * F.coalesce("n", F.lit(0)))
-    return part.join(used, "p_partkey", "left").join(kinds, "p_type", "left").select("p_partkey", F.round(F.when(F.col("used"), 0.0).otherwise(rest), 6).alias("diversity"))
+    """Within an order: 0 for a part that an earlier line used, else less for each earlier use of its most used tag (type or brand)."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    rows = lines.join(table(spark, d, "part").select("p_partkey", "p_type", "p_brand"), "p_partkey")
+    before = lambda c: n_rows().over(Window.partitionBy("l_orderkey", c).orderBy("l_linenumber")) - 1
+    rest = N.clamp(1 - 0.15 * F.greatest(before("p_type"), before("p_brand")))
+    return rows.select("l_orderkey", "l_linenumber", F.round(F.when(before("p_partkey") > 0, 0.0).otherwise(rest), 6).alias("diversity"))
 
 
 @query("r07_verdicts", """WITH c AS (SELECT l_orderkey AS beat, l_partkey, l_linenumber, floor(l_extendedprice / 1000) AS score, l_quantity AS rank_score, l_suppkey % 3 AS priority FROM lineitem),
