@@ -50,7 +50,14 @@ GIVEN = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_CAP = r"\p{Lu}[\p{L}'-]{1,40}"
+#: Words in capitals that no name goes on with.
+_NO_PART = (
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December "
+    "I He She It We You They The This That These Those And But Or If As At In On By For From To With When Where While After Before Then There Here His Her Its Our Their My No Not Yes"
+).split()
+#: A part of a name: apostrophes and hyphens only between letters, and not before the "s" of a possessive.
+_CAP = r"\p{Lu}(?:\p{L}|['\u2019-](?=\p{L})(?!s(?!\p{L}))){1,40}"
+_NEXT = rf"(?!(?:{'|'.join(_NO_PART)})(?!\p{{L}})){_CAP}"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _NAME = "|".join(n for g in GIVEN.values() for n in g)
 #: Every alternative begins where no letter or digit stands before, so that a run of them is tried once.
@@ -63,8 +70,8 @@ PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join((
     r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
     r"\([0-9]{3}\)\x20?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     r"(?<![.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9])",
-    rf"(?:{_TITLE})\.?(?:\x20{_CAP}){{1,3}}(?!\p{{L}})",
-    rf"(?:{_NAME})(?:\x20{_CAP}){{1,2}}(?!\p{{L}})",
+    rf"(?:{_TITLE})\.?\x20{_CAP}(?:\x20{_NEXT}){{0,2}}(?!\p{{L}})",
+    rf"(?:{_NAME})(?:\x20{_NEXT}){{1,2}}(?!\p{{L}})",
 )) + ")"
 
 # letters that surrogate names are made of, by script: consonants, vowels, feminine ending
