@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import intervals, merging, ranking
+from tessera.operators import intervals, merging, ranking, vectors
 from tessera.plans.book import book
 from tessera.plans.reports import _SPANS, spans
 from tessera.sources import folders
+from tessera.sources.folders import cut
 from tessera.sources.tables import table
 
 QUERIES, ORACLES, query = book()
@@ -262,6 +263,22 @@ def j21(spark, d):
     return scored.groupBy("query_id").agg(F.min(F.when(F.col("similarity") >= 0.97, F.col("vec_id"))).alias("twin"), F.count_if(F.col("similarity") >= 0.6).alias("near"))
 
 
+_ALL = "WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {}) SELECT u.vec_id, min(other) AS twin, count(other) AS near FROM u LEFT JOIN p USING (vec_id) GROUP BY u.vec_id"
+
+
+@query("j21_all_twins", _ALL.format(0.97))
+def j21_all(spark, d):
+    """For every vector the smallest other id from 0.97 on, and how many there are: all rows against all, by the pivot index."""
+    return vectors.twins(table(spark, d, "embeddings").select("vec_id", "embedding"), cut, 0.97)
+
+
+@query("a36_all_uniqueness", f"SELECT vec_id, greatest(0, least(100, 100 - 15 * near)) AS uniqueness FROM ({_ALL.format(0.85)})")
+def a36_all(spark, d):
+    """100 less 15 for each vector from 0.85 on, for every vector."""
+    rows = vectors.twins(table(spark, d, "embeddings").select("vec_id", "embedding"), cut, 0.85)
+    return rows.select("vec_id", F.greatest(F.lit(0), F.least(F.lit(100), 100 - 15 * F.col("near"))).alias("uniqueness"))
+
+
 @query("o01_page_with_total", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
 def o01(spark, d):
     """A page by two keys, with the number of all matches; offset and limit are the feature."""
