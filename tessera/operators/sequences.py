@@ -27,14 +27,36 @@ def clamped_sum(df: DataFrame, key: str, part: str, order: list[str], step: str,
     return whole.select(key, F.aggregate("_parts", F.lit(0).cast("long"), go).alias("total"))
 
 
-def places_in_runs(df: DataFrame, key: str, order: list[str], value: str, long: int) -> DataFrame:
-    """before: how many equal values stand directly before the row; long_run: whether its run has ``long`` rows or more."""
-    by = Window.partitionBy(key).orderBy(*order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(by))) | (F.row_number().over(by) == 1)
-    rows = df.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(key, "_run")
-    before = F.row_number().over(run.orderBy(*order)).cast("long") - 1
-    return rows.withColumns({"before": before, "long_run": F.count(F.lit(1)).over(run) >= long}).drop("_new", "_run")
+def in_runs(df: DataFrame, key: str, stretch: str, order: list[str], value: str) -> DataFrame:
+    """``df`` with, of each row: previous, the value before it in a struct (null for a key's first row); before, how many equal values
+    stand directly before it; run_length, how long its run of equal values is. Null is a value like others.
+
+    Runs compose: rows are numbered within a ``stretch`` (a column that rises with the order), and a key's stretches, of which only the
+    values at both ends and the lengths of the runs there are kept, tell what goes on from one to the next. So a key with much of all
+    rows is spread over its stretches.
+    """
+    part, held = Window.partitionBy(key, stretch), F.struct(F.col(value).alias("value"))
+    rows = df.withColumn("_old", F.lag(held).over(part.orderBy(*order)))
+    rows = rows.withColumn("_new", (F.col("_old").isNull() | ~F.col("_old.value").eqNullSafe(F.col(value))).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(key, stretch, "_run")
+    rows = rows.withColumns({"_place": F.row_number().over(run.orderBy(*order)), "_length": F.count(F.lit(1)).over(run)})
+
+    ends = rows.groupBy(F.col(key).alias("_k"), F.col(stretch).alias("_s")).agg(
+        F.max("_run").alias("_runs"), F.min_by(held, "_run").alias("_first"), F.max_by(held, "_run").alias("_last"), F.min_by("_length", "_run").alias("_head"), F.max_by("_length", "_run").alias("_tail")
+    )
+    whole = F.col("_runs") == 1
+    for name, by, near, far, mine, its in (("_before", [F.col("_s").asc()], "_first", "_last", "_tail", "_held"), ("_after", [F.col("_s").desc()], "_last", "_first", "_head", "_kept")):
+        # a run that fills its stretch hands on what it took over; others hand on what they end with
+        w = Window.partitionBy("_k").orderBy(*by)
+        ends = ends.withColumn("_meets", F.coalesce(F.lag(far).over(w).isNotNull() & (F.lag(far).over(w) == F.col(near)), F.lag(far).over(w).isNotNull() & F.lag(far).over(w).eqNullSafe(F.col(near))))
+        ends = ends.withColumn("_chain", F.sum((~(whole & F.col("_meets"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        ends = ends.withColumn(its, F.sum(mine).over(Window.partitionBy("_k", "_chain").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
+        ends = ends.withColumn(name, F.when(F.col("_meets"), F.lag(its).over(w)).otherwise(0))
+    ends = ends.withColumn("_previous", F.lag("_last").over(Window.partitionBy("_k").orderBy("_s"))).select("_k", "_s", "_runs", "_before", "_after", "_previous")
+    rows = rows.join(ends, F.col(key).eqNullSafe(F.col("_k")) & F.col(stretch).eqNullSafe(F.col("_s")))
+    begins, goes = F.when(F.col("_run") == 1, F.col("_before")).otherwise(0), F.when(F.col("_run") == F.col("_runs"), F.col("_after")).otherwise(0)
+    return rows.select(*[F.col(c) for c in df.columns], F.coalesce("_old", "_previous").alias("previous"), (F.col("_place") - 1 + begins).cast("long").alias("before"), (F.col("_length") + begins + goes).cast("long").alias("run_length"))
 
 
 def bands(lists: DataFrame, key: str, rows: str, width: float) -> DataFrame:

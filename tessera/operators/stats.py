@@ -42,6 +42,44 @@ def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     return rows.groupBy(key, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"))
 
 
+def selected(df: DataFrame, key: str, value: str, shares: dict[str, float], cut) -> DataFrame:
+    """key and, by the names of ``shares``, its nearest-rank percentiles (the ``ceil(share * n)``-th smallest value): exact, and without
+    a key's values in one task.
+
+    A value's bin is its sign, exponent and first bits of the mantissa, which follow the order of the values. Bins are counted, the one
+    with the wanted rank is found from the counts, and its rows alone are counted again by 12 further bits, until all 48 are known;
+    what is left of a key and share are the few values that differ beyond them. Null is passed over; NaN is the greatest.
+    """
+    v = F.col("_v")
+    exponent = F.floor(F.log2(F.abs(v)))
+    mantissa = F.abs(v) / F.pow(F.lit(2.0), exponent) - 1
+
+    def bin_at(bits: int) -> Column:
+        plain = (exponent + 1100) * (1 << bits) + F.floor(mantissa * float(1 << bits))
+        return F.when(F.isnan(v), F.lit((1 << 62) + 1)).when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.signum(v).cast("long") * (1 << 62)).otherwise(F.signum(v).cast("long") * plain)
+
+    rows = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    by = Window.partitionBy("_k", "_share")
+    named = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("share")) for n, p in shares.items()))
+    chosen = None
+    for bits in (12, 24, 36, 48, None):
+        at = v if bits is None else bin_at(bits)
+        if chosen is None:
+            counts = cut(rows.groupBy("_k", at.alias("_at")).agg(F.count(F.lit(1)).alias("_n")))
+            total = counts.groupBy("_k").agg(F.sum("_n").alias("_total"))
+            wanted = total.select("_k", F.explode(named).alias("_x"), "_total").select(F.col("_k").alias("_q"), F.col("_x.name").alias("_share"), F.greatest(F.ceil(F.col("_x.share") * F.col("_total")), F.lit(1)).alias("_rank"))
+            counts = counts.join(wanted, F.col("_k").eqNullSafe(F.col("_q")))
+        else:  # the rows of the chosen bins, by the bits known so far
+            near = chosen.select(F.col("_k").alias("_q"), "_share", "_rank", F.col("_at").alias("_bin"))
+            inside = rows.withColumn("_b", bin_at(last)).join(near, F.col("_k").eqNullSafe(F.col("_q")) & (F.col("_b") == F.col("_bin")))
+            counts = inside.groupBy("_k", "_share", "_rank", at.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(by.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+        chosen = cut(ranked.select("_k", "_share", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_at"))
+        last = bits
+    return chosen.groupBy(F.col("_k").alias(key)).agg(*(F.max(F.when(F.col("_share") == n, F.col("_at"))).alias(n) for n in shares))
+
+
 def rolling(df: DataFrame, key: str, order: list[str], value: str, size: int = 12) -> DataFrame:
     """Mean and variation of the last ``size`` values; reliable from three on with a variation under 0.35."""
     last = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - size, 0)

@@ -179,7 +179,8 @@ _RUNS = """a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM eve
 @query("w07_place_in_run", f"WITH {_RUNS} SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1 AS BIGINT) AS before, count(*) OVER (PARTITION BY user_id, run) >= 3 AS long_run FROM b")
 def w07(spark, d):
     """W-07 and W-17: how many equal rows stand directly before, and whether the row lies in a run of three or more."""
-    return sequences.places_in_runs(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 3).select("event_id", "before", "long_run")
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", F.date_trunc("hour", "ts").alias("hour"))
+    return sequences.in_runs(rows, "user_id", "hour", ["ts", "event_id"], "event_type").select("event_id", "before", (F.col("run_length") >= 3).alias("long_run"))
 
 
 @query("w13_relative_threshold", "SELECT o_custkey, o_orderkey FROM orders JOIN (SELECT o_custkey, max(o_totalprice) * 0.22 AS least FROM orders GROUP BY o_custkey) USING (o_custkey) WHERE o_totalprice >= least")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import intervals, ranking, stats
+from tessera.operators import intervals, ranking, sequences, stats
 from tessera.sources.tables import table
 
 QUERIES: dict = {}
@@ -198,7 +198,9 @@ def w04(spark, d):
   b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a), c AS (SELECT user_id, run, count(*) AS n FROM b GROUP BY user_id, run) SELECT user_id, max(n) AS longest, count(*) FILTER (n >= 3) AS of_three FROM c GROUP BY user_id""")
 def w05(spark, d):
     """The longest run, and how many reached three."""
-    return stats.runs(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").groupBy("user_id").agg(F.max("length").alias("longest"), F.count_if(F.col("length") >= 3).alias("of_three"))
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", F.date_trunc("hour", "ts").alias("hour"))
+    runs = sequences.in_runs(rows, "user_id", "hour", ["ts", "event_id"], "event_type").where("before = 0")
+    return runs.groupBy("user_id").agg(F.max("run_length").alias("longest"), F.count_if(F.col("run_length") >= 3).alias("of_three"))
 
 
 @query("w08_latest_per_group", "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events) WHERE place <= 3")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
 from tessera.functions import text as T
-from tessera.operators import ranking
+from tessera.operators import ranking, sequences
 from tessera.plans.book import book
 from tessera.sources.tables import table
 
@@ -280,12 +280,23 @@ def r37(spark, d):
     return rows.select("p_partkey", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 6).alias("taste"))
 
 
-@query("r38_progression", """WITH m AS (SELECT user_id, event_id, value - lag(value) OVER w AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, CASE WHEN step IS NULL THEN 70 WHEN abs(step) < 0.5 THEN 40 WHEN step > 0 AND step <= 4 THEN 100 WHEN step > 4 THEN 75 ELSE 60 END AS score FROM m""")
+_ARC = ["view", "click", "signup", "purchase"]
+
+
+@query("r38_progression", f"""WITH a AS (SELECT user_id, event_id, event_type, row_number() OVER w AS i, lag(event_type) OVER w AS old, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) - 1 AS before, list_position({_ARC}, event_type) AS here, list_position({_ARC}, old) AS prior FROM b)
+  SELECT user_id, event_id, CASE WHEN here IS NULL OR here = 0 THEN 60 WHEN before >= 3 THEN 10 WHEN before = 2 THEN 30 WHEN before = 1 THEN 55 WHEN prior IS NULL OR prior = 0 THEN 70
+    WHEN here - prior = 1 THEN 100 WHEN here - prior = 2 THEN 85 WHEN here - prior = -1 THEN 75 WHEN here - prior > 2 THEN 60 WHEN here - prior < -1 THEN 45 ELSE 70 END AS score FROM c""")
 def r38(spark, d):
-    """A score for the step from the level before."""
-    step = F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    score = F.when(F.col("step").isNull(), 70).when(F.abs("step") < 0.5, 40).when((F.col("step") > 0) & (F.col("step") <= 4), 100).when(F.col("step") > 4, 75).otherwise(60)
-    return table(spark, d, "events").select("user_id", "event_id", step.alias("step")).select("user_id", "event_id", score.alias("score"))
+    """A score for the step from the level before, and less for each equal one directly before it. 10, 30 and 55 for three,
+    two and one of these; 100, 85, 75, 60 and 45 for steps of 1, 2, -1, more and less; 60 off the scale, 70 without one before."""
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", F.floor(F.col("event_id") / 1000).alias("stretch"))
+    runs = sequences.in_runs(rows, "user_id", "stretch", ["event_id"], "event_type")
+    level = lambda c: F.nullif(F.array_position(F.array(*map(F.lit, _ARC)), c), F.lit(0))
+    here, prior, before = level(F.col("event_type")), level(F.col("previous.value")), F.col("before")
+    step = here - prior
+    repeated = F.when(here.isNull(), 60).when(before >= 3, 10).when(before == 2, 30).when(before == 1, 55).when(prior.isNull(), 70)
+    return runs.select("user_id", "event_id", repeated.when(step == 1, 100).when(step == 2, 85).when(step == -1, 75).when(step > 2, 60).when(step < -1, 45).otherwise(70).alias("score"))
 
 
 @query("r40_contract_match", """WITH h AS (SELECT p_partkey, p_name || ' ' || lower(p_type) AS hay FROM part) SELECT p_partkey, greatest(-4, least(5, 2 * len(list_filter(['ring', 'red'], lambda w: contains(hay, w))) + len(list_filter(['small', 'bolt'], lambda w: contains(hay, w))) + CASE WHEN contains(hay, 'promo') THEN 1 ELSE 0 END - 2 * len(list_filter(['economy', 'blue'], lambda w: contains(hay, w))))) AS match FROM h""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import stats as S
+from tessera.sources.folders import cut
 from tessera.sources.tables import table
 
 QUERIES: dict = {}
@@ -34,3 +36,15 @@ WITH s AS (SELECT event_type, count(value) AS n, avg(value) AS a, quantile_disc(
 SELECT event_type, n, round(a, 6) AS avg_value, p50, p95, min_value, max_value, round(total / sum(total) OVER (), 6) AS share,
   CAST(row_number() OVER (ORDER BY a DESC, event_type) AS INTEGER) AS bottleneck_rank FROM s
 """
+
+
+def a11_exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-rank p50, p95 and p99 of prices; a class holds up to half of all lines, and no task holds its values."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    return S.selected(lines, "l_returnflag", "l_extendedprice", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, cut)
+
+
+QUERIES["a11_exact_percentiles"] = a11_exact_percentiles
+ORACLES["a11_exact_percentiles"] = """
+SELECT l_returnflag, CAST(quantile_disc(l_extendedprice, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(l_extendedprice, 0.95) AS DOUBLE) AS p95, CAST(quantile_disc(l_extendedprice, 0.99) AS DOUBLE) AS p99 FROM lineitem GROUP BY l_returnflag
+"""
