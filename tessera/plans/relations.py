@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals, merging, ranking, vectors
+from tessera.operators import terms as term_matches
 from tessera.plans.book import book
 from tessera.plans.reports import _SPANS, spans
 from tessera.sources import folders
@@ -242,6 +243,33 @@ def j19(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", matched.alias("matched")).where(F.size("matched") > 0)
 
 
+_TERMS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{7,}')) AS term FROM benchmark"
+
+
+@query("j19_terms_in_texts", f"WITH t AS ({_TERMS}) SELECT doc_id, count(term) AS n, min(term) AS first FROM documents LEFT JOIN t ON contains(text, term) GROUP BY doc_id")
+def j19_terms(spark, d):
+    """How many terms of one table (long words of the benchmark) each text holds, anywhere in it, and the first of them."""
+    terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{7,}"), F.lit(0))).alias("term"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    keyed = lambda c: F.sha2(c, 256)
+    hits = term_matches.found(docs, "text", terms, "term", cut).groupBy(keyed(F.col("text")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first"))
+    rows = docs.select("doc_id", keyed(F.col("text")).alias("key")).join(hits, "key", "left")
+    return rows.select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), "first")
+
+
+@query("j09_tags_of_two_tables", """WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(html), '[a-z]{3,}')) AS tag FROM pages), r AS (SELECT DISTINCT p_brand, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{3,}')) AS tag FROM part),
+  p AS (SELECT a.tag AS x, b.tag AS y FROM (SELECT DISTINCT tag FROM l) a JOIN (SELECT DISTINCT tag FROM r) b ON contains(a.tag, b.tag) OR contains(b.tag, a.tag))
+  SELECT page_id, p_brand, count(*) AS pairs FROM l JOIN p ON l.tag = x JOIN r ON r.tag = y GROUP BY ALL""")
+def j09_tags(spark, d):
+    """Pages and brands by the pairs of their tags of which one is, or is in, the other: both sides are tables."""
+    tags = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))).alias("tag")
+    left = cut(table(spark, d, "pages").select("page_id", tags(F.col("html"))))
+    right = cut(table(spark, d, "part").select("p_brand", tags(F.concat_ws(" ", "p_name", "p_type"))).distinct())
+    both = term_matches.overlapping(left, right, "tag", cut)
+    joined = left.join(both, left["tag"] == both["left_tag"]).drop("tag").join(right, F.col("right_tag") == F.col("tag"))
+    return joined.groupBy("page_id", "p_brand").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 @query("j20_two_paths", """WITH a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS ra FROM orders), b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rb FROM orders)
   SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, ra, rb, least(coalesce(ra, 99), coalesce(rb, 99)) AS best FROM (SELECT * FROM a WHERE ra <= 3) a FULL JOIN (SELECT * FROM b WHERE rb <= 3) b ON a.o_orderkey = b.o_orderkey""")
 def j20(spark, d):
