@@ -1,4 +1,4 @@
-"""Greedy choices in an order: two-key dedup, keep-first among near rows, spaced selections and repaired ranges."""
+"""Greedy choices in an order: two-key dedup and keep-first among near rows; ranges split at points."""
 
 from __future__ import annotations
 
@@ -69,61 +69,6 @@ def keep_first_of_near(nodes: DataFrame, pairs: DataFrame, cut) -> DataFrame:
     return nodes.select("id").join(gone.withColumn("_gone", F.lit(True)), "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
 
 
-def spaced(rows: Column, at: str, gap: float, most: int) -> Column:
-    """Of ``rows`` in order of priority, each that lies ``gap`` or more from all taken so far, ``most`` at most."""
-    start = F.filter(F.slice(rows, 1, 1), lambda r: F.lit(False))
-    free = lambda got, r: (F.size(got) < most) & ~F.exists(got, lambda g: F.abs(g[at] - r[at]) < gap)
-    return F.aggregate(rows, start, lambda got, r: F.when(free(got, r), F.array_append(got, r)).otherwise(got))
-
-
-def pushed(ranges: Column, gap: float, least: float, end: Column) -> Column:
-    """Ranges (start, end) by start, each pushed back to ``gap`` after the one before; its length is kept up to ``end``, and it goes if
-    ``least`` or less is left."""
-
-    def step(got, r):
-        last = F.try_element_at(got, F.lit(-1))["end"]
-        start = F.greatest(r["start"], F.coalesce(last + gap, r["start"]))
-        stop = F.least(end, start + (r["end"] - r["start"]))
-        return F.when(stop <= start + least, got).otherwise(F.array_append(got, F.struct(start.alias("start"), stop.alias("end"))))
-
-    return F.aggregate(ranges, F.array().cast("array<struct<start:double,end:double>>"), step)
-
-
-def long_enough(ranges: Column, least: float) -> Column:
-    """Adjacent ranges (start, end) by start, the first of those shorter than ``least`` merged into its shorter neighbour (the one before,
-    among equals), again and again until none is left or one range is."""
-    size = lambda r: r["end"] - r["start"]
-    pair = lambda a, b: F.array(F.struct(a["start"].alias("start"), b["end"].alias("end")))
-
-    def merge(got, _):
-        n = F.size(got)
-        short = F.array_position(F.transform(got, lambda r: size(r) < least), True).cast("int")  # from 1; 0 for none
-        at = lambda k: F.try_element_at(got, k)
-        back = (short == n) | ((short > 1) & (size(at(short - 1)) <= size(at(short + 1))))
-        k = F.when(back, short - 1).otherwise(short)  # k and k + 1 become one
-        one = F.concat(F.slice(got, F.lit(1), k - 1), pair(at(k), at(k + 1)), F.slice(got, k + 2, n))
-        return F.when((n > 1) & (short > 0), one).otherwise(got)
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ranges), F.lit(1))), ranges, merge)
-
-
-def capped(ranges: Column, most: int, flash: float) -> Column:
-    """At most ``most`` adjacent ranges: the two neighbours that are shortest together, one of them ``flash`` or less, become one, again and
-    again; without such a pair, every n / ``most``-th range stays."""
-    size = lambda r: r["end"] - r["start"]
-
-    def merge(got, _):
-        n = F.size(got)
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct((size(F.try_element_at(got, i)) + size(F.try_element_at(got, i + 1))).alias("sum"), i.alias("i"), F.least(size(F.try_element_at(got, i)), size(F.try_element_at(got, i + 1))).alias("short")))
-        k = F.array_min(F.filter(pairs, lambda p: p["short"] <= flash))["i"]
-        one = F.concat(F.slice(got, F.lit(1), k - 1), F.array(F.struct(F.try_element_at(got, k)["start"].alias("start"), F.try_element_at(got, k + 1)["end"].alias("end"))), F.slice(got, k + 2, n))
-        return F.when((n > most) & k.isNotNull(), one).otherwise(got)
-
-    merged = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ranges), F.lit(1))), ranges, merge)
-    even = lambda got: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(got, (F.floor(i * F.size(got) / most) + 1).cast("int")))
-    return F.transform(F.array(merged), lambda got: F.when(F.size(got) > most, even(got)).otherwise(got))[0]
-
-
 def split_at(start: Column, end: Column, points: Column, edge: float) -> Column:
     """The range in pieces at ascending points inside, but for points within ``edge`` of its ends and pieces shorter than ``edge``."""
     inside = F.concat(F.array(start), F.filter(points, lambda t: (t > start + edge) & (t < end - edge)), F.array(end))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
-from tessera.operators import greedy, hamming, ranking, sequences
+from tessera.operators import greedy, hamming, ranking, sequences, timelines
 from tessera.plans.book import book
 from tessera.sources.folders import cut
 from tessera.sources.tables import table
@@ -116,8 +116,15 @@ def cuts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_set(t)), lambda x: x.cast("double")).alias("cuts"))
 
 
+def moments(spark: SparkSession, d: str, *more: Column) -> DataFrame:
+    """user_id, t (as in ``cuts``), day and ``more`` of each event, distinct."""
+    t = (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 360_000_000) - 4733424).cast("double")
+    rows = table(spark, d, "events").select("user_id", t.alias("t"), *more).distinct()
+    return rows.withColumn("day", F.floor(F.col("t") / 240))
+
+
 def ranges(spark: SparkSession, d: str) -> DataFrame:
-    return cuts(spark, d).where(F.size("cuts") > 1).select("user_id", F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.struct(F.col("cuts")[i].alias("start"), F.col("cuts")[i + 1].alias("end"))).alias("r"))
+    return timelines.ranges_between(moments(spark, d), "user_id", "day", "t")
 
 
 _CUTS = "c AS (SELECT user_id, list_sort(list_distinct(list(floor(epoch_us(ts) / 360000000)::DOUBLE - 4733424))) AS cuts FROM events GROUP BY user_id)"
@@ -134,7 +141,7 @@ def exploded(rows: DataFrame, name: str = "r") -> DataFrame:
   f AS (SELECT user_id, arg_max(r, step) AS r FROM s GROUP BY user_id) SELECT user_id, x['start'] AS start, x['end'] AS "end" FROM (SELECT user_id, unnest(r) AS x FROM f)""")
 def d11(spark, d):
     """Ranges shorter than 4 are merged into their shorter neighbour until none is left."""
-    return exploded(ranges(spark, d).select("user_id", greedy.long_enough(F.col("r"), 4.0).alias("r")))
+    return timelines.long_enough(cut(ranges(spark, d)), "user_id", "day", 4.0)
 
 
 @query("d12_capped_ranges", f"""WITH RECURSIVE {_RANGES}, b AS (SELECT *, list_sort(list_filter(list_transform(range(1, len(r)), lambda i: [(r[i]['end'] - r[i]['start']) + (r[i + 1]['end'] - r[i + 1]['start']), CAST(i AS DOUBLE), least(r[i]['end'] - r[i]['start'], r[i + 1]['end'] - r[i + 1]['start'])]), lambda p: p[3] <= 2))[1][2]::BIGINT AS j, 0 AS step FROM g),
@@ -143,7 +150,7 @@ def d11(spark, d):
   f AS (SELECT user_id, arg_max(r, step) AS r FROM s GROUP BY user_id), e AS (SELECT user_id, CASE WHEN len(r) > 60 THEN list_transform(range(0, 60), lambda i: r[CAST(floor(i * len(r) / 60) AS BIGINT) + 1]) ELSE r END AS r FROM f) SELECT user_id, x['start'] AS start, x['end'] AS "end" FROM (SELECT user_id, unnest(r) AS x FROM e)""")
 def d12(spark, d):
     """At most sixty ranges: flashes are merged first, then an even sample stays."""
-    return exploded(ranges(spark, d).select("user_id", greedy.capped(F.col("r"), 60, 2.0).alias("r")))
+    return timelines.capped(cut(ranges(spark, d)), "user_id", "day", 60, 2.0, cut)
 
 
 @query("d14_interior_points", f"""WITH {_CUTS}, p AS (SELECT user_id, list_concat(list_concat([0.0], list_filter(cuts, lambda t: t > 3 AND t < 97)), [100.0]) AS p FROM c), x AS (SELECT user_id, unnest(list_transform(range(1, len(p)), lambda i: {{'start': p[i], 'end': p[i + 1]}})) AS x FROM p)
@@ -164,8 +171,8 @@ def d15(spark, d):
   SELECT user_id, start, "end" FROM s WHERE start IS NOT NULL""")
 def d16(spark, d):
     """Overlays of length 3 with a gap of 2: pushed back where they overlap, up to 400; what has a quarter or less left goes."""
-    overlays = F.transform("cuts", lambda t: F.struct(t.alias("start"), (t + 3).alias("end")))
-    return exploded(cuts(spark, d).select("user_id", greedy.pushed(overlays, 2.0, 0.25, F.lit(400.0)).alias("r")))
+    overlays = moments(spark, d).withColumnRenamed("t", "start")
+    return timelines.pushed(overlays, "user_id", "day", ["start"], F.lit(3.0), 2.0, 0.25, 400.0)
 
 
 @query("d17_spaced_choice", """WITH RECURSIVE c AS (SELECT DISTINCT user_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS pri, floor(epoch_us(ts) / 360000000)::DOUBLE - 4733424 AS t FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pri, t) AS i FROM c),
@@ -174,9 +181,7 @@ def d16(spark, d):
 def d17(spark, d):
     """By priority, then time: five at most, each 12 or more from all taken."""
     pri = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "signup", 1).otherwise(2)
-    t = (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 360_000_000) - 4733424).cast("double")
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct(pri.alias("pri"), t.alias("t")))).alias("rows"))
-    return rows.select("user_id", F.explode(greedy.spaced(F.col("rows"), "t", 12.0, 5)).alias("x")).select("user_id", "x.pri", "x.t")
+    return timelines.spaced(cut(moments(spark, d, pri.alias("pri"))), "user_id", "day", "pri", "t", 12.0, 5)
 
 
 _WIDE = "SELECT DISTINCT xor((c_custkey // 6) % 1000003 * 2654435761 * 97, [0, 1, 7, 127, 2047, 65535][c_custkey % 6 + 1]) AS hash FROM customer"
