@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import intervals, merging, ranking, vectors
+from tessera.operators import intervals, merging, ranking, shuffles, vectors
 from tessera.operators import terms as term_matches
 from tessera.plans.book import book
 from tessera.plans.reports import _SPANS, spans
@@ -328,6 +328,32 @@ def o03(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(by).cast("long").alias("place"))
 
 
+def _rounds(seed: int) -> str:
+    """One walk of ``w`` (id, n, base, x) through the rounds, in SQL."""
+    sql = "SELECT id, n, base, step, x // base AS high, x % base AS low FROM w WHERE step = 0 OR x >= n"
+    for k in shuffles.round_keys(seed):
+        v = f"((low + {k}) % {shuffles.PRIME} * 48271 % {shuffles.PRIME})"
+        sql = f"SELECT id, n, base, step, low AS high, (high + xor({v}, {v} >> 15) * 69621 % {shuffles.PRIME}) % base AS low FROM ({sql})"
+    return f"SELECT id, n, base, step + 1, high * base + low FROM ({sql})"
+
+
+@query("o03_shuffled_queue", f"""WITH RECURSIVE r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS x, count(*) OVER () AS n FROM orders),
+  w AS (SELECT id, n, CAST(ceil(sqrt(n)) AS BIGINT) AS base, 0 AS step, x FROM r UNION ALL {_rounds(2024)}) SELECT id AS o_orderkey, x + 1 AS place FROM w WHERE step > 0 AND x < n""")
+def o03_shuffled(spark, d):
+    """All orders in one order that a seed fixes. Only days are counted together; no task sorts the orders."""
+    return shuffles.shuffled(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [], "o_orderdate", ["o_orderdate", "o_orderkey"], 2024).select("o_orderkey", "place")
+
+
+@query("o03_rotated_lists", """WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS x, count(*) OVER (PARTITION BY o_orderpriority) AS n,
+    list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(o_orderpriority, ''), lambda c: unicode(c)::BIGINT)), lambda h, u: xor(h, u) * 16777619 % 4294967296) AS seed FROM orders)
+  SELECT o_orderpriority, o_orderkey, (x - (seed + 3 * 7919 + (seed >> 13)) % n + n) % n + 1 AS place FROM r""")
+def o03_rotated(spark, d):
+    """Each priority's orders by day, from a place on that its name's hash gives, for the fourth beat. Five lists hold all rows."""
+    rows = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_orderdate")
+    out = shuffles.rotated(rows, ["o_orderpriority"], "o_orderdate", ["o_orderdate", "o_orderkey"], shuffles.name_seed(F.col("o_orderpriority")), F.lit(3))
+    return out.select("o_orderpriority", "o_orderkey", "place")
+
+
 @query("o04_concat", "SELECT 'order' AS origin, o_custkey AS id FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT 'event', user_id FROM events WHERE value > 20 UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_acctbal < 0")
 def o04(spark, d):
     parts = [("order", "orders", "o_custkey", "o_totalprice > 200000"), ("event", "events", "user_id", "value > 20"), ("customer", "customer", "c_custkey", "c_acctbal < 0")]

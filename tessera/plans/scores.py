@@ -166,10 +166,10 @@ def r15(spark, d):
 
 @query("r16_dedup_score_sort", """WITH f AS (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name) SELECT f.p_name, f.p_partkey, p.p_size * 2 + length(p.p_name) AS score, row_number() OVER (ORDER BY p.p_size * 2 + length(p.p_name) DESC, f.p_partkey) AS place FROM f JOIN part p ON f.p_partkey = p.p_partkey""")
 def r16(spark, d):
-    """One row a path, scored; names are few, so that their order is a sort of few rows."""
+    """One row a path, scored, in one order of all: equal scores are counted first, so that no task sorts all paths."""
     first = table(spark, d, "part").groupBy("p_name").agg(F.min(F.struct("p_partkey", "p_size")).alias("x")).select("p_name", "x.*")
-    scored = first.select("p_name", "p_partkey", (F.col("p_size") * 2 + F.length("p_name")).alias("score"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "p_partkey")).cast("long"))
+    scored = first.select("p_name", "p_partkey", (F.col("p_size") * 2 + F.length("p_name")).alias("score")).withColumn("minus", -F.col("score"))
+    return sequences.numbered(scored, [], "minus", ["minus", "p_partkey"], "place").drop("minus")
 
 
 @query("r17_tiered_relevance", """WITH h AS (SELECT doc_id, lower(coalesce(text, '')) AS hay, doc_id % 2 = 0 AS video FROM documents), t AS (SELECT *, len(list_filter([' the ', ' and '], lambda x: contains(hay, x))) AS t1, len(list_filter([' la ', ' de '], lambda x: contains(hay, x))) AS t2, len(list_filter(['http', '@'], lambda x: contains(hay, x))) AS t3, len(list_filter(['password', 'license', 'and'], lambda x: contains(hay, x))) AS m FROM h),
