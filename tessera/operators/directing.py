@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 
 import pandas as pd
@@ -103,3 +104,51 @@ def beats(words: Column, each: int, least: int, most: int) -> Column:
         return F.array_append(F.when(new, got).otherwise(F.slice(got, F.lit(1), F.size(got) - 1)), beat)
 
     return F.aggregate(words, start, step)
+
+
+def _spoken(words: list[dict], least: int, most: int) -> list[list[int]]:
+    """[first, last] (from 0) of the beats: ended by a sentence that lasts six tenths of ``least``, and by ``most`` in any case."""
+    out, first = [], 0
+    for i, word in enumerate(words):
+        lasts = word["end"] - words[first]["start"]
+        if lasts >= most or (10 * lasts >= 6 * least and word["word"].rstrip().endswith((".", "!", "?", "…"))):
+            out.append([first, i])
+            first = i + 1
+    return out + [[first, len(words) - 1]] * (first < len(words))
+
+
+def _merged(spans: list[list[int]], words: list[dict], cap: int) -> list[list[int]]:
+    """At most ``cap`` beats: the shortest one (the first of these, the last beat left out) takes up the one after it, until that holds.
+
+    Beats are a linked list under a heap, so that a merge costs a logarithm and not a walk over all that are left."""
+    lasts = lambda i: words[spans[i][1]]["end"] - words[spans[i][0]]["start"]
+    n, after = len(spans), list(range(1, len(spans) + 1))
+    heap = [(lasts(i), i) for i in range(n - 1)]
+    heapq.heapify(heap)
+    gone, left = set(), n
+    while left > cap and left > 1:
+        length, i = heapq.heappop(heap)
+        if i in gone or after[i] == n or length != lasts(i):
+            continue
+        j = after[i]
+        spans[i], after[i] = [spans[i][0], spans[j][1]], after[j]
+        gone.add(j)
+        left -= 1
+        heapq.heappush(heap, (lasts(i), i))
+    return [s for i, s in enumerate(spans) if i not in gone]
+
+
+def spoken_beats(rows: DataFrame, key: str, words: str, least: int, most: int, cap: int) -> DataFrame:
+    """key, beat, first, last (words from 1) and hold of the beats of spoken words (structs of word, start and end in whole units of time):
+    cut at sentences and at ``most``, merged down to ``cap``, and held from ``least`` to ``most``. A text without words has no beats."""
+
+    @F.pandas_udf("array<struct<beat:bigint,first:bigint,last:bigint,hold:bigint>>")
+    def cut(column: pd.Series) -> pd.Series:
+        def one(said):
+            said = [] if said is None else list(said)
+            spans = _merged(_spoken(said, least, most), said, cap)
+            return [{"beat": k, "first": a + 1, "last": b + 1, "hold": max(least, min(most, said[b]["end"] - said[a]["start"]))} for k, (a, b) in enumerate(spans, 1)]
+
+        return column.map(one, na_action=None)
+
+    return rows.select(key, F.explode(cut(words)).alias("_b")).select(key, "_b.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import sequences
+
 
 def merge_cuts(cuts: Column, gap: float) -> Column:
     """Ascending cuts, each kept if it lies ``gap`` or more after the last one kept."""
@@ -46,3 +48,34 @@ def adjacent(df: DataFrame, key: str, gap: float) -> DataFrame:
     b = rows.select(key, F.col("id").alias("right_id"), F.col("k").alias("kb"), F.col("p").alias("pb"), "bin")
     near = a.join(b, [key, "bin"]).where((F.col("left_id") < F.col("right_id")) & (F.abs(F.col("pa") - F.col("pb")) <= gap) & (F.col("ka") + F.col("kb") < 2))
     return near.select(key, "left_id", "right_id").distinct()
+
+
+def best_windows(clips: DataFrame, segments: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """key, duration, start, score: of the windows of each length that begin at half seconds and end within the clip, the first of the best.
+
+    ``clips`` are (key, duration), ``segments`` (key, start, end, close, persons, emotion, micro, hit), of which a window has those that
+    overlap it. A score changes only where a segment enters or leaves the window: only these places are made, as differences that add up
+    in order, so that the work follows the segments and not the seconds. Lengths beyond the clip give no row.
+
+    Fixed values: 50, 30 without a segment in the window (50 without any in the clip); 10, 8, 7 and 8 for a close shot, persons, strong
+    emotion and a small event; 4 for each hit, at most 10; 5 less above 10 seconds.
+    """
+    sums = ["n", "close", "persons", "emotion", "micro", "hit"]
+    lasting = F.explode(F.array(*map(F.lit, lengths)))
+    room = clips.join(segments.groupBy(key).agg(F.count(F.lit(1)).alias("_all")), key, "left").select(key, "_all", "duration", lasting.alias("_n"))
+    room = room.where("duration >= _n").select(key, F.coalesce("_all", F.lit(0)).alias("_all"), "_n", F.floor((F.col("duration") - F.col("_n")) * 2).alias("_most"))
+
+    enters = F.greatest(F.lit(0), F.floor((F.col("start") - F.col("_n")) * 2) + 1)
+    places = F.explode(F.array(F.struct(enters.alias("at"), F.lit(1).alias("sign")), F.struct(F.ceil(F.col("end") * 2).alias("at"), F.lit(-1).alias("sign"))))
+    flags = [F.when(F.col(c), 1).otherwise(0).alias(c) for c in sums[1:]]
+    moves = segments.select(key, "start", "end", F.lit(1).alias("n"), *flags, lasting.alias("_n")).where(enters < F.ceil(F.col("end") * 2)).select("*", places.alias("_p"))
+    moves = moves.select(key, "_n", F.col("_p.at").alias("_at"), *((F.col(c) * F.col("_p.sign")).alias(c) for c in sums))
+    whole = moves.unionByName(room.select(key, "_n", F.lit(0).cast("long").alias("_at"), *(F.lit(0).alias(c) for c in sums)))
+    whole = whole.groupBy(key, "_n", "_at").agg(*(F.sum(c).alias(c) for c in sums)).withColumn("_stretch", F.floor(F.col("_at") / 1000))
+    rows = sequences.running(whole, [key, "_n"], "_stretch", "_at", sums).join(room, [key, "_n"]).where("_at <= _most")
+
+    has = lambda c, points: F.when(F.col(c) > 0, points).otherwise(0)
+    score = 50 + has("close", 10) + has("persons", 8) + has("emotion", 7) + has("micro", 8) + F.least(F.lit(10), 4 * F.col("hit")) - F.when(F.col("_n") > 10, 5).otherwise(0)
+    score = F.when(F.col("_all") == 0, 50).when(F.col("n") == 0, 30).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score)))
+    best = rows.withColumn("_score", score).groupBy(key, "_n").agg(F.max(F.struct("_score", (-F.col("_at")).alias("_at"))).alias("_b"))
+    return best.select(key, F.col("_n").alias("duration"), (-F.col("_b._at") / 2).alias("start"), F.col("_b._score").alias("score"))

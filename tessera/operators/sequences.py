@@ -99,3 +99,14 @@ def numbered(df: DataFrame, key: list[str], stretch: str, order: list[str], name
     counts = counts.select(*key, stretch, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy(*key, stretch).orderBy(*order))
     return df.withColumn("_place", place).join(counts, [*key, stretch]).withColumn(name, F.col("_before") + F.col("_place")).drop("_before", "_place")
+
+
+def running(df: DataFrame, key: list[str], stretch: str, order: str, columns: list[str]) -> DataFrame:
+    """``df`` with each of the columns as its sum up to and with the row. Sums are taken within a ``stretch`` (a column that rises with
+    the order), after the totals of the stretches before it; no two rows of a key are equal in ``order``, keys are not null."""
+    totals = df.groupBy(*key, stretch).agg(*(F.sum(c).alias(f"_before_{c}") for c in columns))
+    earlier = Window.partitionBy(*key).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*key, stretch, *(F.coalesce(F.sum(f"_before_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in columns))
+    upto = Window.partitionBy(*key, stretch).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({c: F.sum(c).over(upto) for c in columns}).join(totals, [*key, stretch])
+    return rows.select(*((F.col(c) + F.col(f"_before_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns))

@@ -77,6 +77,21 @@ def x38(spark, d):
     return words.select("item_id", F.explode(directing.beats(F.col("w"), 4, 12, 60)).alias("b")).select("item_id", "b.beat", "b.first", "b.last", F.greatest(F.lit(20), F.least(F.lit(60), (F.col("b.last") - F.col("b.first") + 1) * 4)).alias("hold"))
 
 
+@query("x38_capped_beats", r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
+  e AS (SELECT doc_id, n, i, least(n, i + 14, coalesce(min(CASE WHEN regexp_matches(x, '[.!?…]$') THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 FOLLOWING AND 14 FOLLOWING), n)) AS stop FROM u),
+  s AS (SELECT doc_id, n, list(stop ORDER BY i) AS stops, 1::BIGINT AS pos, []::BIGINT[] AS firsts FROM e GROUP BY doc_id, n UNION ALL SELECT doc_id, n, stops, stops[pos] + 1, list_append(firsts, pos) FROM s WHERE pos <= n),
+  m AS (SELECT doc_id, n, firsts FROM s WHERE pos > n UNION ALL SELECT doc_id, n, list_concat(firsts[1:k], firsts[k + 2:len(firsts)]) FROM
+    (SELECT *, list_position(d, list_min(d)) AS k FROM (SELECT *, list_transform(range(1, len(firsts)), lambda i: firsts[i + 1] - firsts[i]) AS d FROM m WHERE len(firsts) > 24))),
+  b AS (SELECT doc_id, unnest(range(1, len(firsts) + 1)) AS beat, unnest(firsts) AS first, unnest(list_transform(list_append(firsts[2:len(firsts)], n + 1), lambda x: x - 1)) AS last FROM m WHERE len(firsts) <= 24)
+  SELECT doc_id, beat, first, last, greatest(20, least(60, 4 * (last - first + 1))) AS hold FROM b""")
+def x38_capped(spark, d):
+    """Every text's words, of four tenths of a second each, as 24 beats at most of two to six seconds."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    timed = F.transform(words, lambda w, i: F.struct(w.alias("word"), (4 * i).cast("long").alias("start"), (4 * i + 4).cast("long").alias("end")))
+    return directing.spoken_beats(table(spark, d, "documents").select("doc_id", timed.alias("words")), "doc_id", "words", 20, 60, 24)
+
+
 @query("r20_archive_routing", """WITH q AS (SELECT unnest(['ring', 'small', 'econ']) AS q), a AS (SELECT p_partkey, p_name, lower(p_type) AS kind, string_split(p_name, ' ') AS words FROM part),
   s AS (SELECT p_partkey, CAST(sum(CASE WHEN contains(kind, q) OR contains(q, kind) THEN 28 ELSE 0 END + CASE WHEN contains(p_name, q) THEN 22 ELSE 0 END + 16 * len(list_filter(words, lambda w: length(w) >= 3 AND (contains(w, q) OR contains(q, w)))) + CASE WHEN q = 'ring' AND contains(p_name, q) THEN 18 ELSE 0 END) AS BIGINT) AS score FROM a, q GROUP BY p_partkey)
   SELECT p_partkey, score, score >= 8 OR (SELECT max(score) FROM s) < 8 AND score = (SELECT max(score) FROM s) AS route FROM s""")

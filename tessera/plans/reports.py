@@ -191,7 +191,21 @@ def w03(spark, d):
 @query("w04_runs", """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
   b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a) SELECT user_id, CAST(run AS BIGINT) AS run, any_value(event_type) AS event_type, count(*) AS length FROM b GROUP BY user_id, run""")
 def w04(spark, d):
-    return stats.runs(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+    """Runs compose over hours, and are numbered by hours."""
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", F.date_trunc("hour", "ts").alias("hour"))
+    first = sequences.in_runs(rows, "user_id", "hour", ["ts", "event_id"], "event_type").where("before = 0")
+    return sequences.numbered(first, ["user_id"], "hour", ["ts", "event_id"], "run").select("user_id", "run", "event_type", F.col("run_length").alias("length"))
+
+
+@query("w04_run_penalties", """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR event_type = 'error' THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a), c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS place FROM b)
+  SELECT user_id, max(place) AS longest, 4 * count(*) FILTER (place >= 3) AS penalty FROM c GROUP BY user_id""")
+def w04_penalties(spark, d):
+    """The longest run, and 4 points for each row from a run's third on; an unknown kind (here 'error') makes no run."""
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", F.date_trunc("hour", "ts").alias("hour"))
+    place = F.when(F.col("event_type") == "error", 1).otherwise(F.col("before") + 1)
+    places = sequences.in_runs(rows, "user_id", "hour", ["ts", "event_id"], "event_type").select("user_id", place.alias("place"))
+    return places.groupBy("user_id").agg(F.max("place").alias("longest"), (4 * F.count_if(F.col("place") >= 3)).alias("penalty"))
 
 
 @query("w05_longest_run", """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

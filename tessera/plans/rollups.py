@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import ranking, sequences, stats
+from tessera.operators import intervals, ranking, sequences, stats
 from tessera.plans.book import book
 from tessera.sources.tables import table
 
@@ -333,6 +333,25 @@ def w11(spark, d):
     return sums.groupBy("user_id", "duration").agg(F.max_by("start", F.struct("score", -F.col("start"))).alias("start"), F.max("score").alias("score"))
 
 
+_LINES = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_returnflag"
+
+
+@query("w11_best_windows", f"""WITH s AS (SELECT l_orderkey, sum(q) OVER w - q AS a, sum(q) OVER w AS b, l_returnflag = 'R' AS close, l_discount > 0.07 AS persons, l_tax > 0.06 AS emotion, l_partkey % 7 = 0 AS micro, l_suppkey % 3 = 0 AS hit
+    FROM (SELECT *, l_quantity / 4 AS q FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_LINES} ROWS UNBOUNDED PRECEDING)),
+  c AS (SELECT l_orderkey, n, unnest(range(0, CAST(floor(2 * (max(b) - n)) AS BIGINT) + 1)) AS k FROM s, (VALUES (3), (5), (8), (10)) v(n) GROUP BY l_orderkey, n HAVING max(b) >= n),
+  x AS (SELECT c.l_orderkey, n, k, CASE WHEN count(a) = 0 THEN 30 ELSE least(100, 50 + 10 * CAST(bool_or(close) AS INTEGER) + 8 * CAST(bool_or(persons) AS INTEGER) + 7 * CAST(bool_or(emotion) AS INTEGER) + 8 * CAST(bool_or(micro) AS INTEGER) + least(10, 4 * count(*) FILTER (hit))) END AS score
+    FROM c LEFT JOIN s ON c.l_orderkey = s.l_orderkey AND b > k / 2 AND a < k / 2 + n GROUP BY c.l_orderkey, n, k)
+  SELECT l_orderkey, n AS duration, arg_max(k, (score, -k)) / 2 AS start, max(score) AS score FROM x GROUP BY l_orderkey, n""")
+def w11_half_steps(spark, d):
+    """Windows of 3, 5, 8 and 10 seconds at half seconds over an order's lines, one after the other for a quarter second each unit: the
+    first of the best."""
+    by = Window.partitionBy("l_orderkey").orderBy(*_LINES.split(", ")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.col("l_quantity") / 4
+    flags = {"close": F.col("l_returnflag") == "R", "persons": F.col("l_discount") > 0.07, "emotion": F.col("l_tax") > 0.06, "micro": F.col("l_partkey") % 7 == 0, "hit": F.col("l_suppkey") % 3 == 0}
+    lines = table(spark, d, "lineitem").select("l_orderkey", (F.sum(q).over(by) - q).alias("start"), F.sum(q).over(by).alias("end"), *(c.alias(n) for n, c in flags.items()))
+    return intervals.best_windows(lines.groupBy("l_orderkey").agg(F.max("end").alias("duration")), lines, "l_orderkey", [3, 5, 8, 10])
+
+
 @query("w12_latency_sample", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM r WHERE k <= 1000 GROUP BY event_type")
 def w12(spark, d):
     """The last thousand rows of each class."""
@@ -354,13 +373,26 @@ def w14(spark, d):
   g AS (SELECT *, sum(CASE WHEN drift THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m) SELECT user_id, event_id FROM (SELECT *, sum(CASE WHEN drift THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY event_id) AS length FROM g) WHERE drift AND length = 3""")
 def w18(spark, d):
     """Rows unrelated to the one before in all three respects; the third in a row fires."""
-    by = Window.partitionBy("user_id").orderBy("event_id")
     third = (F.col("user_id") + F.col("event_id")) % 3
-    drift = F.lag("event_id").over(by).isNotNull() & (F.col("event_type") != F.lag("event_type").over(by)) & (F.abs(F.col("value") - F.lag("value").over(by)) > 1) & (third != F.lag(third).over(by))
-    m = table(spark, d, "events").select("user_id", "event_id", F.coalesce(drift, F.lit(False)).alias("drift"))
-    g = m.withColumn("run", F.sum((~F.col("drift")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    length = F.sum(F.col("drift").cast("int")).over(Window.partitionBy("user_id", "run").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return g.withColumn("length", length).where("drift AND length = 3").select("user_id", "event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 1000).alias("stretch"), F.struct("event_type", "value", third.alias("third")).alias("row"))
+    old, row = F.col("previous.value"), F.col("row")
+    drift = old.isNotNull() & (row["event_type"] != old["event_type"]) & (F.abs(row["value"] - old["value"]) > 1) & (row["third"] != old["third"])
+    m = sequences.in_runs(rows, "user_id", "stretch", ["event_id"], "row").select("user_id", "event_id", "stretch", F.coalesce(drift, F.lit(False)).alias("drift"))
+    return sequences.in_runs(m, "user_id", "stretch", ["event_id"], "drift").where("drift AND before = 2").select("user_id", "event_id")
+
+
+@query("w17_flagged_runs", """WITH m AS (SELECT user_id, event_id, event_type, coalesce(value > 250, false) AS high, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+  g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, high ORDER BY event_id) AS a, i - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS b FROM m),
+  f AS (SELECT user_id, event_id, high AND count(*) OVER (PARTITION BY user_id, high, a) >= 3 AS overload, event_type NOT IN ('error', 'signup') AND count(*) OVER (PARTITION BY user_id, event_type, b) >= 4 AS repetitive FROM g)
+  SELECT * FROM f WHERE overload OR repetitive""")
+def w17(spark, d):
+    """Every row of a run of three or more high values, and of four or more equal kinds; runs of two of the kinds don't count."""
+    high = F.coalesce(F.col("value") > 250, F.lit(False))
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", F.floor(F.col("event_id") / 1000).alias("stretch"), high.alias("high"))
+    highs = sequences.in_runs(rows, "user_id", "stretch", ["event_id"], "high").withColumn("overload", F.col("high") & (F.col("run_length") >= 3))
+    kinds = sequences.in_runs(highs.drop("previous", "before", "run_length"), "user_id", "stretch", ["event_id"], "event_type")
+    repetitive = ~F.col("event_type").isin("error", "signup") & (F.col("run_length") >= 4)
+    return kinds.select("user_id", "event_id", "overload", repetitive.alias("repetitive")).where("overload OR repetitive")
 
 
 @query("w19_broken_runs", """WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), o AS (SELECT ['click', 'view', 'signup'] AS alt),
