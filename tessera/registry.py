@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "q1_pipeline_baseline"
-MODULES = ("telemetry", "reports", "measures", "relations", "rollups", "scores", "scalars", "curation", "directing", "streams")
+MODULES = ("telemetry", "reports", "measures", "relations", "rollups", "scores", "scalars", "curation", "directing", "metadata", "streams")
 
 
 def _all():
