@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import bonuses
+from tessera.functions import bonuses, curated
 from tessera.operators import sequences
 from tessera.plans.book import book
 from tessera.sources.tables import table
@@ -114,3 +114,50 @@ def r22_rank(spark, d):
     rows = table(spark, d, "part").select(k, (F.col("p_size") % 5).alias("beat"), F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long").alias("score"))
     rows = rows.withColumn("stretch", F.struct((-F.col("score")).alias("less"), F.floor(k / 100_000).alias("keys")))
     return sequences.numbered(rows, ["beat"], "stretch", ["p_partkey"], "place").select("p_partkey", "beat", "score", "place")
+
+
+TAGS = [["crowd", "old town"], ["ring", "battle"], ["bicycle race"], ["gear", "car", "road"], ["parliament"], []]
+ASKED = [["ring", "gear"], ["crowd"], ["battle", "car", "road"], []]
+PLACES = [["town", "old"], ["river"], [], ["road"]]
+WANTED = [("cycling", ["race"]), ("cars", ["car", "gear"]), ("government", ["parliament"])]
+_NEAR = "contains(t, q) OR contains(q, t)"
+
+
+def _hits(asked: str, test: str = _NEAR) -> str:
+    return f"coalesce(list_sum(list_transform({asked}, lambda q: len(list_filter(tags, lambda t: {test})))), 0)"
+
+
+def _wants(j: int) -> str:
+    kind, tags = WANTED[j]
+    return f"CASE WHEN p_size % 4 <> {j} THEN 0 WHEN k % 5 = {j} THEN 55 + 18 * {_hits(str(tags))} ELSE -140 END"
+
+
+@query("r21_curated_score", f"""WITH a AS (SELECT p_partkey, p_size, p_partkey AS k, lower(p_name) AS text, list_append({_sql(TAGS, "p_partkey")}, lower(p_type)) AS tags, {_sql(ASKED, "(p_partkey // 3)")} AS asked, {_sql(PLACES, "(p_partkey // 2)")} AS places FROM part),
+  b AS (SELECT *, len(list_filter(tags, lambda t: length(t) >= 4 AND contains(text, t))) > 0 AS named, {_hits("asked", "q = t")} AS equal, {_hits("asked")} AS held, {_hits("['old', 'race']")} AS seen, {_hits("places")} AS sited FROM a),
+  c AS (SELECT *, CASE WHEN named THEN 200 ELSE 0 END + 42 * equal + 16 * (held - equal) + 22 * seen AS s, CASE WHEN named THEN 3 ELSE 0 END + held + seen AS h FROM b),
+  d AS (SELECT * REPLACE (s + CASE WHEN len(places) = 0 THEN 0 WHEN sited >= 2 THEN 85 WHEN sited = 1 THEN 50 WHEN h < 2 THEN -60 ELSE 0 END AS s, h + CASE WHEN len(places) = 0 THEN 0 ELSE least(2, sited) END AS h) FROM c),
+  e AS (SELECT * REPLACE (CASE WHEN len(places) > 0 AND k % 11 = 0 THEN greatest(0, s - 250) ELSE s END + {_wants(0)} + {_wants(1)} + {_wants(2)} AS s, h + CASE WHEN p_size % 4 < 3 AND k % 5 = p_size % 4 THEN 2 ELSE 0 END AS h) FROM d),
+  f AS (SELECT *, contains(array_to_string(tags, ' '), 'old') AND contains(array_to_string(tags, ' '), 'crowd') AS anchored FROM e),
+  g AS (SELECT * REPLACE (s + CASE WHEN anchored THEN 48 ELSE 0 END + k % 3 * 10 AS s, h + CASE WHEN anchored THEN 2 ELSE 0 END AS h) FROM f),
+  i AS (SELECT * REPLACE (s + CASE WHEN h >= 2 THEN 150 ELSE 0 END + CASE WHEN h >= 3 THEN 80 ELSE 0 END + list_sum(list_transform(['ring', 'road'], lambda q: coalesce(list_sum(list_transform(tags, lambda t: CASE WHEN t = q THEN CASE WHEN contains(text, q) THEN 16 ELSE 5 END WHEN {_NEAR} THEN CASE WHEN contains(text, q) THEN 6 ELSE 2 END ELSE 0 END)), 0))) AS s) FROM g),
+  j AS (SELECT * REPLACE (CASE WHEN len(asked) >= 2 AND h = 0 THEN greatest(0, s - 60) ELSE s END + CASE WHEN k % 4 = 0 AND k % 3 = 0 THEN 40 ELSE 0 END - k % 2 * 95 + CASE WHEN k % 2 = 1 OR h = 0 THEN 0 WHEN h = 1 THEN 22 WHEN p_size >= 3 THEN 70 ELSE 58 END AS s) FROM i)
+  SELECT p_partkey, CAST(CASE WHEN k % 17 = 0 OR k % 19 = 0 OR k % 23 = 0 THEN 0 ELSE CASE WHEN k % 4 = 0 AND k % 3 <> 0 AND k % 8 <> 0 THEN greatest(0, s - 400) ELSE s END + k % 7 END AS BIGINT) AS score FROM j""")
+def r21_curated(spark, d):
+    """R-21 in full: tags, places, kinds, anchors, topics and the floors between them; what can be told from a clip's data alone (format,
+    looks, bars) comes as columns."""
+    k = F.col("p_partkey")
+    of = lambda n: F.floor(k / n)
+    struct = lambda **cells: F.struct(*(c.alias(n) for n, c in cells.items()))
+    words = lambda *xs: F.array(*map(F.lit, xs))
+    kinds = [n for n, _ in WANTED]
+    shows = F.coalesce(F.get(F.array(*(words(n) for n in kinds)), (k % 5).cast("int")), F.array().cast("array<string>"))
+    wanted = F.map_from_entries(F.filter(F.array(*(F.struct(F.when(F.col("p_size") % 4 == j, n).alias("key"), words(*t).alias("value")) for j, (n, t) in enumerate(WANTED))), lambda e: e["key"].isNotNull()))
+    clip = struct(
+        tags=F.array_append(_pick(TAGS, k), F.lower("p_type")), moving=k % 2 == 0, seconds=F.col("p_size"), own_theme=k % 4 == 0, wrong_place=k % 11 == 0, unfit=k % 17 == 0, rejected=k % 19 == 0, notation=k % 23 == 0,
+        extra=-(k % 2) * 95, audit=k % 7, shows=shows,
+    )
+    beat = struct(
+        text=F.col("p_name"), tags=_pick(ASKED, of(3)), visual=words("old", "race"), places=_pick(PLACES, of(2)), anchors=words("old", "crowd"), topics=words("ring", "road"), kinds=wanted, scene=k % 3 * 10,
+        theme=k % 3 == 0, theme_video=k % 8 == 0,
+    )
+    return curated.scored(table(spark, d, "part").select("p_partkey", clip.alias("clip"), beat.alias("beat")), kinds).select("p_partkey", "score")
