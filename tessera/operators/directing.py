@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,22 +108,22 @@ def beats(words: Column, each: int, least: int, most: int) -> Column:
     return F.aggregate(words, start, step)
 
 
-def _spoken(words: list[dict], least: int, most: int) -> list[list[int]]:
+def _spoken(starts: list[int], ends: list[int], stops: list[bool], least: int, most: int) -> list[list[int]]:
     """[first, last] (from 0) of the beats: ended by a sentence that lasts six tenths of ``least``, and by ``most`` in any case."""
     out, first = [], 0
-    for i, word in enumerate(words):
-        lasts = word["end"] - words[first]["start"]
-        if lasts >= most or (10 * lasts >= 6 * least and word["word"].rstrip().endswith((".", "!", "?", "…"))):
+    for i, end in enumerate(ends):
+        lasts = end - starts[first]
+        if lasts >= most or (stops[i] and 10 * lasts >= 6 * least):
             out.append([first, i])
             first = i + 1
-    return out + [[first, len(words) - 1]] * (first < len(words))
+    return out + [[first, len(ends) - 1]] * (first < len(ends))
 
 
-def _merged(spans: list[list[int]], words: list[dict], cap: int) -> list[list[int]]:
+def _merged(spans: list[list[int]], starts: list[int], ends: list[int], cap: int) -> list[list[int]]:
     """At most ``cap`` beats: the shortest one (the first of these, the last beat left out) takes up the one after it, until that holds.
 
     Beats are a linked list under a heap, so that a merge costs a logarithm and not a walk over all that are left."""
-    lasts = lambda i: words[spans[i][1]]["end"] - words[spans[i][0]]["start"]
+    lasts = lambda i: ends[spans[i][1]] - starts[spans[i][0]]
     n, after = len(spans), list(range(1, len(spans) + 1))
     heap = [(lasts(i), i) for i in range(n - 1)]
     heapq.heapify(heap)
@@ -140,15 +142,23 @@ def _merged(spans: list[list[int]], words: list[dict], cap: int) -> list[list[in
 
 def spoken_beats(rows: DataFrame, key: str, words: str, least: int, most: int, cap: int) -> DataFrame:
     """key, beat, first, last (words from 1) and hold of the beats of spoken words (structs of word, start and end in whole units of time):
-    cut at sentences and at ``most``, merged down to ``cap``, and held from ``least`` to ``most``. A text without words has no beats."""
-
-    @F.pandas_udf("array<struct<beat:bigint,first:bigint,last:bigint,hold:bigint>>")
-    def cut(column: pd.Series) -> pd.Series:
-        def one(said):
-            said = [] if said is None else list(said)
-            spans = _merged(_spoken(said, least, most), said, cap)
-            return [{"beat": k, "first": a + 1, "last": b + 1, "hold": max(least, min(most, said[b]["end"] - said[a]["start"]))} for k, (a, b) in enumerate(spans, 1)]
-
-        return column.map(one, na_action=None)
-
-    return rows.select(key, F.explode(cut(words)).alias("_b")).select(key, "_b.*")
+    cut at sentences and at ``most``, merged down to ``cap``, and held from ``least`` to ``most``. A text without words has no beats.
+
+    Tasks get two numbers and a mark for each word, not the words, and settle one text after the other."""
+    parts = {"_starts": lambda w: w["start"].cast("long"), "_ends": lambda w: w["end"].cast("long"), "_stops": lambda w: F.coalesce(w["word"].rlike(r"[.!?…]\s*$"), F.lit(False))}
+    kinds = {"_starts": "array<bigint>", "_ends": "array<bigint>", "_stops": "array<boolean>"}
+    sent = rows.select(key, *(F.coalesce(F.transform(words, fn), F.array().cast(kinds[n])).alias(n) for n, fn in parts.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch, whose, out = whole.slice(at, 500), [], []
+                for i in range(batch.num_rows):
+                    starts, ends, stops = (batch.column(c)[i].values.to_pylist() for c in (1, 2, 3))
+                    for k, (a, b) in enumerate(_merged(_spoken(starts, ends, stops, least, most), starts, ends, cap), 1):
+                        whose.append(i)
+                        out.append((k, a + 1, b + 1, max(least, min(most, ends[b] - starts[a]))))
+                keys = batch.column(0).take(pa.array(whose, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[c] for r in out], pa.int64()) for c in range(4))], names=[key, "beat", "first", "last", "hold"])
+
+    return sent.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, beat long, first long, last long, hold long")
