@@ -53,6 +53,7 @@ class WordTrie:
     def __init__(self, run: int, buckets: int, most: int = 1_000_000):
         self.run, self.buckets, self.most = run, buckets, most
         self.totals = np.zeros(buckets, np.int64)
+        self.turn = 0  # how often the trie has started anew, which is when nodes lose their meaning
         self._empty()
 
     def _empty(self) -> None:
@@ -114,8 +115,10 @@ class WordTrie:
             self.count += np.bincount(nodes, minlength=len(self.count))
 
     def flush(self) -> np.ndarray:
-        """The buckets' totals so far; the trie starts anew."""
-        np.add.at(self.totals, self.bucket(), self.count[: len(self.crc)])
+        """The buckets' totals so far; the trie starts anew. Nodes that were walked but never counted have no counts."""
+        counted = min(len(self.crc), len(self.count))
+        np.add.at(self.totals, self.bucket()[:counted], self.count[:counted])
+        self.turn += 1
         self._empty()
         return self.totals
 
@@ -156,12 +159,12 @@ def weights(docs: DataFrame, gain: list[int], run: int = RUN, most: int = 1_000_
     table = spark.sparkContext.broadcast(np.array(gain, np.int64))  # one number a bucket
 
     def walk(batches):
-        trie, attached = WordTrie(run, len(table.value), most), np.zeros(0, np.int64)
+        trie, attached, turn = WordTrie(run, len(table.value), most), np.zeros(0, np.int64), 0
         for batch in batches:
             for part in sliced(batch, 5000):
                 n_words, levels = trie.walk(part.column(1))
-                if len(attached) > len(trie.crc):  # the trie has started anew
-                    attached = np.zeros(0, np.int64)
+                if turn != trie.turn:
+                    attached, turn = np.zeros(0, np.int64), trie.turn
                 new = np.array(trie.crc[len(attached) :], np.int64) % len(table.value)
                 attached = np.concatenate([attached, table.value[new]])
                 total, number = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)

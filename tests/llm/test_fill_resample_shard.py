@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,25 @@ def test_resampling(spark, small, edge, run, buckets, most, percent):
     assert got == want and sum(r[4] is not None for r in got.elements()) > 10
 
 
+def test_tries_start_anew_in_either_pass(spark):
+    """Words beyond ``most`` of every size: tries of many words that are walked without being counted, and slices that bring more
+    words than the trie before them had."""
+    sizes = (3, 9, 6_000, 40, 7_000, 7_500, 2)
+    docs = [(k, " ".join(f"w{k}x{i}" for i in range(n)) + " common") for k, n in enumerate(sizes)]
+    target = ["w2x1 w4x5 w4x5 common", "w5x7 other"]
+    for most in (2, 5_000):
+        walked = resampling.WordTrie(1, 500, most)
+        for k, (_, text) in enumerate(docs):
+            assert walked.walk(pa.array([text]))[0].tolist() == [sizes[k] + 1]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = Counter(tuple(r) for r in resampling.resample(frame, spark.createDataFrame([(t,) for t in target], "text string"), 1, 500, 2, 50, most=2).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == resampled(docs, target, 1, 500, 2, 50)
+
+
 def test_resampling_ranks_ties_by_id(spark):
     """Equal ids give equal scores; a third of all rows has one id."""
     docs = spark.createDataFrame([(5 if i % 3 else i, "one two three") for i in range(90)], "doc_id long, text string")
