@@ -2,7 +2,8 @@
 
 Features are words and their first 4 to 8 letters, so that inflected and compound forms count together. A feature's score
 is its log-odds between toxic and other labelled text under an informative Dirichlet prior, taken at the lower end of its
-confidence interval, so that rare ones earn nothing by chance; a token scores as its best feature. A linear scan (all maximal scoring
+confidence interval, so that rare ones earn nothing by chance; a text that repeats a feature counts it ``BURST`` times at most there,
+since repeats within a text are no independent draws; a token scores as its best feature. A linear scan (all maximal scoring
 subsequences, after Ruzzo and Tompa) finds every passage. A passage of score S in a text of n tokens is expected
 K*n*exp(-lambda*S) times by chance (Karlin and Altschul); passages under ``SIGNIFICANT`` count, and the sum of their
 -ln E, on a log scale, is calibrated to a probability by a logistic fit.
@@ -31,6 +32,8 @@ from tessera.llm.common import Memo, arrow_map, documents, fold, logistic_fit, s
 
 BUCKETS, MOST, FOLDS, HELD = 1 << 18, 20_000, 3, 1
 PRIOR, WIDTH, FLOOR, SIGNIFICANT, CUT = 2_000.0, 1.96, -0.5, 0.05, 0.7
+#: How often one text's repeats of a feature count in what is learned; texts are read and scored whole.
+BURST = 3
 PREFIXES = range(4, 9)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -51,7 +54,8 @@ def token_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array([b for w in (text or "").split() for b in buckets[w]], np.int64)
-                total[label] += np.bincount(ids, minlength=BUCKETS)
+                own, times = np.unique(ids, return_counts=True)
+                total[label, own] += np.minimum(times, BURST)
         seen = np.flatnonzero(total.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[1, seen]), pa.array(total[0, seen])], names=["bucket", "toxic", "other"])
 

@@ -473,6 +473,15 @@ def test_classifiers_on_held_out_rows(spark, tmp_path):
     assert {r[0] for r in kept.select("doc_id").collect()} >= {i for i in truth if i % 3} | {900, 901}
 
 
+def test_toxicity_ranks_held_out_rows_with_few_labels(spark):
+    """Of sf0.01's 286 usable labels 33 are toxic; texts that repeat a word hundreds of times must not drown what these show."""
+    data = "/root/testdata/sf0.01"
+    truth = dict(spark.read.parquet(f"{data}/labels.parquet").where("toxic IN (0, 1)").select("doc_id", "toxic").collect())
+    scores = [(r["score"], truth[r["doc_id"]]) for r in rows_of(toxicity.op4_toxicity(spark, data).where("held_out")) if r["doc_id"] in truth]
+    ones, zeros = ([s for s, y in scores if y == k] for k in (1, 0))
+    assert len(ones) > 15 and np.mean([(a > b) + (a == b) / 2 for a in ones for b in zeros]) > 0.85
+
+
 def test_classifiers_without_labels(spark, tmp_path):
     spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
