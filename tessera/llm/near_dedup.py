@@ -38,6 +38,8 @@ WORDS, SIMILARITY, STAGE_SIMILARITY = 5, 85, 80
 BINS, MISS = 640, 1e-3
 #: Of 64 buckets, how many send their stars in each turn; rounds of main components before the rest of a bucket meets.
 TURNS, PEELS = (4, 60), 1
+#: Bits of a bucket's name: the rest is zero and shuffles for little. Buckets that share a name meet, and links are confirmed on full sets.
+BAND_BITS = 48
 #: Bounds of one side of a block, by rows and by elements of sets (a single longer set is a block of its own).
 BLOCK_ROWS, BLOCK_ELEMENTS = 256, 1 << 18
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -114,7 +116,7 @@ def bands(s: np.ndarray, order: np.ndarray, rank: np.ndarray, rows_a_band: int =
     acc = np.arange(len(rows), dtype=np.uint64)
     for k in range(rows_a_band):
         acc = mix(acc * _MUL + rows[:, k])
-    return acc.view(np.int64)
+    return (acc >> np.uint64(64 - BAND_BITS)).view(np.int64)
 
 
 def signatures(docs: DataFrame, rows_a_band: int) -> DataFrame:
@@ -300,14 +302,17 @@ def merged(roots: DataFrame | None, new: DataFrame) -> DataFrame | None:
 
 
 def links(docs: DataFrame, reps: DataFrame, places: DataFrame, similarity: int) -> DataFrame:
-    """Components (id, root) of the representatives that have links. ``reps``: id, n, bands; ``places``: the locators of ids."""
-    # dealt by bucket once, for both uses; a document's buckets lie apart, so that copies of one text spread over all tasks
-    rows = reps.select("id", "n", F.explode("bands").alias("band")).repartition("band")
-    stars = rows.groupBy("band").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    """Components (id, root) of the representatives that have links. ``reps``: id, bands; ``places``: the locators of ids and
+    their sets' sizes, n."""
+    # dealt by bucket once, for both uses, with nothing but ids; a document's buckets lie apart, so that copies of one text spread over all tasks
+    rows = reps.select("id", F.explode("bands").alias("band")).repartition("band")
+    stars = rows.groupBy("band").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # only buckets of several members go on
-    members = written(rows.join(stars.select("band", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "band"), "near-members")
+    members = written(rows.join(stars.select("band", "centre"), "band"), "near-buckets")
     # the full sets of these; other texts stay where they are
     ids = written(members.select("id").distinct().join(places, "id"), "near-ids")
+    lengths = ids.select("id", "n")
+    members = written(members.join(lengths, "id").join(lengths.select(F.col("id").alias("centre"), F.col("n").alias("cn")), "centre"), "near-members")
     texts = perhaps_in(docs.select("locator", "text"), ids, "locator", ids.count())
     sets = written(shingle_sets(texts.join(ids, "locator").select("id", "text")), "near-sets")
     roots = tried = None
@@ -350,8 +355,8 @@ def near_located(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     sigs = written(signatures(docs, rows_a_band(similarity)), "near-signatures")
     groups = written(sigs.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("rep")), "near-groups")
     of = written(sigs.drop("bands").join(groups, "set_key", "left").select("row", "doc_id", "locator", "n_shingles", F.coalesce("rep", "row").alias("rep")), "near-reps")
-    reps = sigs.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "bands").join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
-    roots = links(docs, reps, sigs.select(F.col("row").alias("id"), "locator"), similarity)
+    reps = sigs.select(F.col("row").alias("id"), "bands").join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
+    roots = links(docs, reps, sigs.select(F.col("row").alias("id"), "locator", F.col("n_shingles").alias("n")), similarity)
     rows = of.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("row", "doc_id", "locator", "n_shingles", F.coalesce("root", "rep").alias("root"))
     rows = written(rows, "near-rows")
     # of components with several rows, the first: the smallest id, rows without one last
