@@ -45,18 +45,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _placed(rows: DataFrame, keys: DataFrame, key: str, number: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows with the place of their key in a bitmap, the bitmap of ``keys``, and whether a row's place is marked there."""
+    bits = min(1 << max(16 * number - 1, 1).bit_length(), MOST_BITS)
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    marks = keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    placed = rows.select("*", F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_place"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return placed, F.broadcast(marks), byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) > 0
+
+
 def perhaps_in(rows: DataFrame, keys: DataFrame, key: str, number: int) -> DataFrame:
     """The rows of ``rows`` whose ``key`` may be among ``keys`` (all that are, few others), left where they lie.
 
     ``number`` keys are hashed to a bitmap of 16 bits each, ``MOST_BITS`` at most, which is what bounds the broadcast (32 MB);
     beyond, more rows pass that aren't among the keys.
     """
-    bits = min(1 << max(16 * number - 1, 1).bit_length(), MOST_BITS)
-    at, names = F.pmod(F.xxhash64(key), F.lit(bits)), rows.columns
-    marks = keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
-    placed = rows.select("*", F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_place"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return placed.join(F.broadcast(marks), "_bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) > 0).select(*names)
+    placed, marks, marked = _placed(rows, keys, key, number)
+    return placed.join(marks, "_bucket").where(marked).select(*rows.columns)
+
+
+def not_in(rows: DataFrame, keys: DataFrame, key: str, number: int) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` (never null) is not among ``keys`` (distinct): those that the bitmap of perhaps_in clears
+    stay where they lie, only the others are joined."""
+    placed, marks, marked = _placed(rows, keys, key, number)
+    clear = placed.join(marks, "_bucket", "left").where(~F.coalesce(marked, F.lit(False))).select(*rows.columns)
+    # an anti join would be pushed below the bitmap and shuffle all rows
+    others = perhaps_in(rows, keys, key, number).join(keys.select(key, F.lit(True).alias("_in")), key, "left").where("_in IS NULL")
+    return clear.unionByName(others.select(*rows.columns))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, arrow_map, documents, perhaps_in, written
+from tessera.llm.common import Memo, arrow_map, documents, not_in, perhaps_in, written
 from tessera.llm.exact_dedup import stays, with_locator
 
 WORDS, SIMILARITY, STAGE_SIMILARITY = 5, 85, 80
@@ -141,23 +141,51 @@ def signatures(docs: DataFrame, rows_a_band: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
+    """id, n (the set's size), tally and s, the full set, of every row (id, text)."""
+
     def make():
         hashes = word_hashes()
 
         def step(id, text):
-            sets = [shingles(t, hashes).view(np.int64) for t in text]
+            sets = [shingles(t, hashes) for t in text]
             ends = np.cumsum([0] + [len(x) for x in sets])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))
-            return {"id": pa.array(id, pa.int64()), "s": lists}
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((np.concatenate(sets) if sets else np.empty(0, np.uint64)).view(np.int64), pa.int64()))
+            return {"id": pa.array(id, pa.int64()), "n": pa.array(np.diff(ends), pa.int64()), "tally": pa.array([tally(x) for x in sets], pa.list_(pa.int8())), "s": lists}
 
         return step
 
-    return arrow_map(docs, make, "id long, s array<long>")
+    return arrow_map(docs, make, "id long, n long, tally array<tinyint>, s array<long>")
+
+
+def tally(s: np.ndarray) -> np.ndarray | None:
+    """How many elements of a set begin with each byte; None where a count is beyond 127, as in sets of some 25,000."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.int8) if counts.max() < 128 else None
+
+
+def hopeful(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (id, centre) that may be similar enough: two sets share at most the smaller of their counts at each first byte.
+    No pair that is similar enough is left out."""
+    left = sets.select("id", "n", "tally")
+    right = sets.select(F.col("id").alias("centre"), F.col("n").alias("m"), F.col("tally").alias("other"))
+    both = pairs.select("id", "centre").join(left, "id").join(right, "centre")
+    most = F.expr("coalesce(aggregate(zip_with(tally, other, (x, y) -> least(x, y)), 0L, (sum, x) -> sum + x), least(n, m))")
+    return both.withColumn("most", most).where(f"100 * most >= {similarity} * (n + m - most)").select("id", "centre")
+
+
+def sets_of(sets: DataFrame, *asked: DataFrame) -> DataFrame:
+    """id and s of the ids in ``asked``, tables, and few others: only these sets are shuffled by what joins them."""
+    ids = asked[0].select("id")
+    for more in asked[1:]:
+        ids = ids.unionByName(more.select("id"))
+    return perhaps_in(sets.select("id", "s"), ids, "id", sum(x.count() for x in asked))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (id, centre) whose full sets are similar enough. Row by row in the JVM, so that memory is that of two sets."""
-    both = pairs.select("id", "centre").join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("s").alias("t")), "centre")
+    pairs = written(hopeful(pairs, sets, similarity), "near-hopeful")
+    full = sets_of(sets, pairs, pairs.select(F.col("centre").alias("id")))
+    both = pairs.join(full, "id").join(full.select(F.col("id").alias("centre"), F.col("s").alias("t")), "centre")
     sizes = both.select("id", "centre", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("i"))
     return sizes.where(f"100 * i >= {similarity} * (n + m - i)").select("id", "centre")
 
@@ -217,15 +245,16 @@ def blocks_of(rows: str, elements: str) -> Column:
 
 
 def beside_main(open_: DataFrame, roots: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links between the rows of buckets and the main components there. ``open_``: (band, id, n, root, main).
+    """Links between the rows of buckets and the main components there. ``open_``: (band, id, root, main).
 
     A component's rows are dealt out once, however many buckets it has; the rows that meet it are those that share a bucket
     with it. Both sides lie in blocks of bounded size, so that a component with a third of all rows spreads over all tasks.
     """
-    left = written(open_.where("root <> main").select(F.col("main").alias("part"), "id", "n", "root").distinct().join(roots.select(F.col("root").alias("part")).distinct(), "part", "left_semi"), "near-beside")
+    lengths = sets.select("id", "n")
+    left = open_.where("root <> main").select(F.col("main").alias("part"), "id", "root").distinct().join(roots.select(F.col("root").alias("part")).distinct(), "part", "left_semi")
+    left = written(left.join(lengths, "id").select("part", "id", "n", "root"), "near-beside")
     if left.isEmpty():
         return roots.select("id", F.col("root").alias("centre")).limit(0)
-    lengths = sets.select("id", F.size("s").alias("n"))
     right = roots.join(left.select(F.col("part").alias("root")).distinct(), "root", "left_semi").join(lengths, "id").select(F.col("root").alias("part"), "id", "n", "root")
     right = written(right, "near-main")
     sized = [x.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements")).select("part", blocks_of("rows", "elements").alias(b)) for x, b in ((left, "bi"), (right, "bj"))]
@@ -233,22 +262,22 @@ def beside_main(open_: DataFrame, roots: DataFrame, sets: DataFrame, similarity:
     own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("bi")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("bj")).cast("int")
     l_rows = left.join(count, "part").select("part", own[0].alias("i"), F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"), F.lit(0).alias("side"), "id", "root")
     r_rows = right.join(count, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"), own[1].alias("j"), F.lit(1).alias("side"), "id", "root")
-    return blocks_linked(l_rows.unionByName(r_rows).join(sets, "id"), similarity)
+    return blocks_linked(l_rows.unionByName(r_rows).join(sets_of(sets, left, right), "id"), similarity)
 
 
 def within_rest(rest: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links between the rows of each bucket that belong to different components. ``rest``: (band, id, n, root).
+    """Links between the rows of each bucket that belong to different components. ``rest``: (band, id, root).
 
     Buckets with the same rows count once.
     """
-    buckets = rest.groupBy("band").agg(F.bit_xor(F.xxhash64("id")).alias("same"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    buckets = rest.join(sets.select("id", "n"), "id").groupBy("band").agg(F.bit_xor(F.xxhash64("id")).alias("same"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
     once = written(buckets.groupBy("same", "rows", "elements").agg(F.min("band").alias("band")).select("band", blocks_of("rows", "elements").alias("b")), "near-rest-blocks")
     own = F.pmod(F.xxhash64("id"), F.col("b")).cast("int")
     rows = written(rest.join(once, "band").select(F.col("band").alias("part"), own.alias("own"), "b", "id", "root"), "near-rest-rows")
     # block i meets every block j from i on
     l_rows = rows.select("part", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("b") - 1)).alias("j"), F.lit(0).alias("side"), "id", "root")
     r_rows = rows.select("part", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "id", "root")
-    return blocks_linked(l_rows.unionByName(r_rows).join(sets, "id"), similarity)
+    return blocks_linked(l_rows.unionByName(r_rows).join(sets_of(sets, rows), "id"), similarity)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,12 +329,12 @@ def merged(roots: DataFrame | None, new: DataFrame) -> DataFrame | None:
 
 
 def links(docs: DataFrame, reps: DataFrame, places: DataFrame, similarity: int) -> DataFrame:
-    """Components (id, root) of the representatives that have links. ``reps``: id, n, bands; ``places``: the locators of ids."""
-    # dealt by bucket once, for both uses; a document's buckets lie apart, so that copies of one text spread over all tasks
-    rows = reps.select("id", "n", F.explode("bands").alias("band")).repartition("band")
-    stars = rows.groupBy("band").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    """Components (id, root) of the representatives that have links. ``reps``: id, bands; ``places``: the locators of ids."""
+    # dealt by bucket once, for both uses, with ids alone; a document's buckets lie apart, so that copies of one text spread over all tasks
+    rows = reps.select("id", F.explode("bands").alias("band")).repartition("band")
+    stars = rows.groupBy("band").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # only buckets of several members go on
-    members = written(rows.join(stars.select("band", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "band"), "near-members")
+    members = written(rows.join(stars.select("band", "centre"), "band"), "near-members")
     # the full sets of these; other texts stay where they are
     ids = written(members.select("id").distinct().join(places, "id"), "near-ids")
     texts = perhaps_in(docs.select("locator", "text"), ids, "locator", ids.count())
@@ -313,13 +342,13 @@ def links(docs: DataFrame, reps: DataFrame, places: DataFrame, similarity: int)
     roots = tried = None
     turn = F.pmod(F.xxhash64("band"), F.lit(sum(TURNS)))
     for k in range(len(TURNS)):
-        part = members.where("id <> centre").where(turn.between(sum(TURNS[:k]), sum(TURNS[: k + 1]) - 1)).where(f"100 * least(n, cn) >= {similarity} * greatest(n, cn)")
+        part = members.where("id <> centre").where(turn.between(sum(TURNS[:k]), sum(TURNS[: k + 1]) - 1))
         pairs = rooted(part.select("id", "centre").distinct(), roots).select("id", "centre")  # what is in one component needs no edge
         pairs = written(pairs.join(tried, ["id", "centre"], "left_anti") if tried else pairs, "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         roots = merged(roots, confirmed(pairs, sets, similarity))
     # buckets that the stars left in several components
-    open_ = members.select("band", "id", "n", "centre")
+    open_ = members.select("band", "id", "centre")
     if roots is None:
         roots = open_.select("id", F.col("id").alias("root")).limit(0)
     for last in (False,) * PEELS + (True,):
@@ -330,7 +359,7 @@ def links(docs: DataFrame, reps: DataFrame, places: DataFrame, similarity: int)
         by_rank = F.struct("rows", "linked", "is_hub", "root")
         main = by_root.groupBy("band").agg(F.max_by("root", by_rank).alias("main"), F.max_by(F.col("linked") | F.col("is_hub"), by_rank).alias("met"), F.min("root").alias("a"), F.max("root").alias("b"))
         open_ = written(label.drop("hub", "linked").join(main.where("a < b").select("band", "main", "met"), "band"), "near-open")
-        rest = open_.where("root <> main OR NOT met").select("band", "id", "n", "root", "centre")
+        rest = open_.where("root <> main OR NOT met").select("band", "id", "root", "centre")
         if rest.isEmpty():
             return roots
         new = beside_main(open_, roots, sets, similarity)
@@ -350,7 +379,8 @@ def near_located(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     sigs = written(signatures(docs, rows_a_band(similarity)), "near-signatures")
     groups = written(sigs.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("rep")), "near-groups")
     of = written(sigs.drop("bands").join(groups, "set_key", "left").select("row", "doc_id", "locator", "n_shingles", F.coalesce("rep", "row").alias("rep")), "near-reps")
-    reps = sigs.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "bands").join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
+    copies = of.where("row <> rep").select(F.col("row").alias("id"))
+    reps = not_in(sigs.select(F.col("row").alias("id"), "bands"), copies, "id", copies.count())
     roots = links(docs, reps, sigs.select(F.col("row").alias("id"), "locator"), similarity)
     rows = of.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("row", "doc_id", "locator", "n_shingles", F.coalesce("root", "rep").alias("root"))
     rows = written(rows, "near-rows")
