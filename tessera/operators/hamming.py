@@ -1,100 +1,149 @@
-"""Near pairs of bit hashes by multi-index hashing.
+"""Near pairs of bit hashes by the parts on which they agree.
 
-Hashes are cut into a few substrings; of a pair within ``most`` bits, one substring differs in no more than its even share of them.
-Both hashes write down the values of that substring within half of the share, so that they meet at a value in between: for 64 bits, 8 of
-them, in 3 substrings, each hash is written 67 times, and not looked up at the 718 values around its own. A pair is kept where it
-meets first: at the first substring within the share, at the value with the lowest differing bits flipped on the left side.
+The bits are dealt in turn to ``most`` + k parts, so that two hashes within ``most`` bits agree on k whole parts at least. Each hash is
+written once for every choice of k parts, and hashes that agree on one meet; a pair is kept at the first k parts on which it agrees. k
+follows the number of hashes: a larger one means more copies and fewer comparisons. Hashes that meet are compared in tiles inside the
+tasks, which emit near pairs only, so that candidates are not rows of a join, and copies are never broadcast.
 
-Values at which more than ``crowd`` hashes meet (black pictures, say) are dealt again by what is left of the bits, and so on, so
-that a crowd isn't compared pair by pair for one common substring.
+Choices at which more than ``crowd`` hashes meet (black pictures, say) are dealt again by what is left of the bits, and so on, so
+that a crowd isn't compared pair by pair for a few common parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _bits(h: Column, start: int, width: int) -> Column:
-    return F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _spans(width: int, parts: int) -> list[tuple[int, int]]:
-    ends = [k * width // parts for k in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:])]
-
-
-def _without(h: Column, start: int, width: int) -> Column:
-    """The bits of ``h`` but those of the span."""
-    above = F.lit(0).cast("long") if start + width > 63 else F.shiftleft(F.shiftrightunsigned(h, start + width), start)
-    return above.bitwiseOR(h.bitwiseAND(F.lit((1 << start) - 1)))
-
-
-def _chosen(i: Column, values: list[Column]) -> Column:
-    out = values[-1]
-    for k, v in enumerate(values[:-1]):
-        out = F.when(i == k, v).otherwise(out)
+#: How many comparisons a copy costs, rows of a task, comparisons in a tile, and hashes of a choice for which no tile is worth while.
+COPY, ROWS, TILE, FEW = 150, 1 << 18, 1 << 18, 32
+
+
+def _agreeing(n: int, most: int, width: int, parts: int) -> int:
+    """How many parts are to agree, ``parts`` at most: the number that costs least for ``n`` hashes."""
+    able = [k for k in range(1, parts + 1) if most + k <= width and comb(most + k, k) <= 512] or [1]
+    return min(able, key=lambda k: comb(most + k, k) * (COPY + n / 2 ** (width * k / (most + k) + 1)))
+
+
+@lru_cache(1 << 14)
+def _choices(bits: tuple[int, ...], most: int, ks: tuple[int, ...], path: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
+    """Of each choice on the last level, after those in ``path``: the bits that it holds, the parts that it passes over, the bits left."""
+    held, over, left = 0, (), bits
+    if len(ks) > 1:
+        path, last = divmod(path, comb(most + ks[-2], ks[-2]))
+        held, over, left = _choices(bits, most, ks[:-1], path)[last]
+    dealt = [sum(1 << b for b in left[q :: most + ks[-1]]) for q in range(most + ks[-1])]
+    out = []
+    for chosen in combinations(range(len(dealt)), ks[-1]):
+        mask = sum(dealt[q] for q in chosen)
+        passed = tuple(dealt[q] for q in range(chosen[-1]) if q not in chosen)
+        out.append((held | mask, over + passed, tuple(b for b in left if not mask >> b & 1)))
     return out
 
 
-def _around(width: int, radius: int) -> list[int]:
-    """The masks of up to ``radius`` of ``width`` bits."""
-    return [sum(1 << b for b in bits) for n in range(min(radius, width) + 1) for bits in combinations(range(width), n)]
-
-
-def _written(rows: DataFrame, rest: Column, spans: list[tuple[int, int]], radius: int, i: str, v: str) -> DataFrame:
-    """The rows at each substring (``i``) and value within the radius of its own (``v``)."""
-    def around(k: int, start: int, width: int) -> Column:
-        return F.transform(F.array(*(F.lit(m).cast("long") for m in _around(width, radius))), lambda m: F.struct(F.lit(k).alias("i"), _bits(rest, start, width).bitwiseXOR(m).alias("v")))
-
-    at = [around(k, *span) for k, span in enumerate(spans)]
-    return rows.withColumn("_x", F.explode(F.flatten(F.array(*at)))).select(*rows.columns, F.col("_x.i").alias(i), F.col("_x.v").alias(v))
-
-
-def _first_meeting(left: Column, right: Column, spans: list[tuple[int, int]], share: int, i: Column, v: Column) -> Column:
-    """Whether substring ``i`` and value ``v`` are where the two meet first."""
-    first, at = F.lit(None), []
-    for k, (s, w) in reversed(list(enumerate(spans))):
-        a, rest = _bits(left, s, w), _bits(left.bitwiseXOR(right), s, w)
-        first = F.when(F.bit_count(rest) <= share, k).otherwise(first)
-        for _ in range((share + 1) // 2):
-            low = rest.bitwiseAND(-rest)
-            a, rest = a.bitwiseXOR(low), rest.bitwiseXOR(low)
-        at.insert(0, a)
-    return (first == i) & (_chosen(i, at) == v)
+def _written(bits: tuple[int, ...], most: int, ks: tuple[int, ...]):
+    """Rows (path, h) at each choice: path with the choice, the bits of h that it holds, h."""
+    number = comb(most + ks[-1], ks[-1])
+
+    def run(batches):
+        for batch in batches:
+            paths, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for path in np.unique(paths).tolist():
+                mine = hashes[paths == path]
+                masks = np.array([c[0] for c in _choices(bits, most, ks, path)], np.uint64)
+                for at in range(0, len(mine), max(1, 4096 // number)):
+                    h = mine[at : at + max(1, 4096 // number)]
+                    columns = np.repeat(path * number + np.arange(number), len(h)), (h & masks[:, None]).ravel().view(np.int64), np.tile(h, number).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["path", "held", "h"])
+
+    return run
+
+
+def _met(paths: np.ndarray, held: np.ndarray, h: np.ndarray, most: int):
+    """Places i, j of near hashes that meet, in pieces; rows are sorted by (path, held)."""
+    starts = np.flatnonzero(np.r_[True, (paths[1:] != paths[:-1]) | (held[1:] != held[:-1])]) if len(h) else np.zeros(0, int)
+    sizes = np.diff(np.r_[starts, len(h)])
+    ends = np.repeat(starts + sizes, sizes)
+    i, step = np.flatnonzero(np.repeat(sizes <= FEW, sizes)), 1
+    while len(i := i[i + step < ends[i]]):
+        near = i[np.bitwise_count(h[i] ^ h[i + step]) <= most]
+        yield near, near + step
+        step += 1
+    for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        mine, row = h[start : start + size], 0
+        while row < size:
+            rows = max(1, TILE // (size - row))
+            i, j = np.nonzero(np.bitwise_count(mine[row : row + rows, None] ^ mine[None, row:]) <= most)
+            yield start + row + i[i < j], start + row + j[i < j]
+            row += rows
+
+
+def _compared(bits: tuple[int, ...], most: int, ks: tuple[int, ...]):
+    """Of rows (path, held, h) the near pairs that meet there first."""
+    number = comb(most + ks[-1], ks[-1])
+
+    def first(paths, left, right):
+        keep, apart = np.ones(len(paths), bool), left ^ right
+        for path in np.unique(paths).tolist():
+            mine = np.flatnonzero(paths == path)
+            for part in _choices(bits, most, ks, path // number)[path % number][1]:
+                keep[mine] &= (apart[mine] & np.uint64(part)) != 0
+        left, right = left[keep].view(np.int64), right[keep].view(np.int64)
+        columns = np.minimum(left, right), np.maximum(left, right), np.bitwise_count(left.view(np.uint64) ^ right.view(np.uint64)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["left_hash", "right_hash", "distance"])
+
+    def run(batches):
+        columns = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not columns:
+            return
+        paths, held, h = (np.concatenate(c) for c in zip(*columns))
+        order = np.lexsort((held, paths))
+        paths, held, h = paths[order], held[order], h[order].view(np.uint64)
+        found, waiting = [], 0
+        for i, j in _met(paths, held, h, most):
+            found.append((paths[i], h[i], h[j]))
+            waiting += len(i)
+            if waiting >= TILE:
+                yield first(*map(np.concatenate, zip(*found)))
+                found, waiting = [], 0
+        if found:
+            yield first(*map(np.concatenate, zip(*found)))
+
+    return run
 
 
 def pairs(df: DataFrame, name: str, most: int, bits: int, cut: Callable[[DataFrame], DataFrame], parts: int = 3, crowd: int = 4096) -> DataFrame:
     """left_hash, right_hash, distance of different hashes (null: none) at most ``most`` of ``bits`` bits apart, each pair once.
 
-    ``cut`` writes a frame and reads it back. ``parts`` follows the number of hashes: bits / parts should be near its binary logarithm.
+    ``cut`` writes a frame and reads it back. ``parts`` is the greatest number of parts that are to agree. Bits that are the same in all
+    hashes are left out.
     """
-    rows = df.select(F.col(name).cast("long").alias("h")).where("h IS NOT NULL").distinct().withColumn("r0", F.col("h"))
-    width, levels, found = bits, [], []  # r0, r1, ... are the bits that the levels before leave
+    rows = cut(df.select(F.lit(0).cast("long").alias("path"), F.col(name).cast("long").alias("h")).where("h IS NOT NULL").distinct())
+    said = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_or("h").alias("any"), F.bit_and("h").alias("all")).first()
+    varied = (said["any"] or 0) & ~(said["all"] or 0)
+    places, ks, found = tuple(b for b in range(bits) if varied >> b & 1), (), []
+    number, meeting, width = said["n"], said["n"], len(places)
     while True:
-        n, spans, share = len(levels), _spans(width, min(parts, width)), most // min(parts, width)
-        levels.append((spans, share))
-        here = [c for k in range(n + 1) for c in (f"i{k}", f"v{k}")]
-        left = _written(rows, F.col(f"r{n}"), spans, (share + 1) // 2, *here[-2:])
-        right = _written(rows, F.col(f"r{n}"), spans, share // 2, *here[-2:])
-        crowds = None
-        if width > 2 * parts:
-            crowds = cut(left.groupBy(*here).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).drop("n"))
-            crowds = None if crowds.isEmpty() else crowds
-        apart = (lambda x: x) if crowds is None else (lambda x: x.join(crowds, here, "left_anti"))
-        side = lambda x, name: apart(x).select(*here, F.col("h").alias(f"{name}_hash"), *(F.col(f"r{k}").alias(f"{name}{k}") for k in range(n + 1)))
-        distance = F.bit_count(F.col("left_hash").bitwiseXOR(F.col("right_hash")))
-        met = side(left, "left").join(side(right, "right"), here).where("left_hash < right_hash").where(distance <= most)
-        for k, (s, r) in enumerate(levels):
-            met = met.where(_first_meeting(F.col(f"left{k}"), F.col(f"right{k}"), s, r, F.col(f"i{k}"), F.col(f"v{k}")))
-        found.append(met.select("left_hash", "right_hash", distance.alias("distance")))
-        if crowds is None:
+        ks += (_agreeing(meeting, most, width, parts),)
+        written = rows.mapInArrow(_written(places, most, ks), "path long, held long, h long")
+        crowds, met = None, written
+        if width >= 2 * (most + 1):
+            crowds = cut(written.groupBy("path", "held").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd))
+            meeting = crowds.agg(F.max("n")).first()[0]
+        if crowds is not None and meeting:
+            met = written.join(crowds, ["path", "held"], "left_anti")
+        tasks = -(-number * comb(most + ks[-1], ks[-1]) // ROWS) or 1
+        found.append(met.repartition(tasks, "path", "held").mapInArrow(_compared(places, most, ks), "left_hash long, right_hash long, distance int"))
+        if crowds is None or not meeting:
             break
-        rows = cut(left.join(crowds, here, "left_semi").withColumn(f"r{n + 1}", _chosen(F.col(f"i{n}"), [_without(F.col(f"r{n}"), *x) for x in spans])))
-        width -= min(w for _, w in spans)
+        rows = cut(written.join(crowds, ["path", "held"], "left_semi").select("path", "h"))
+        number, width = rows.count(), width - ks[-1] * (width // (most + ks[-1]))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

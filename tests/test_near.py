@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import greedy, hamming
 from tessera.sources.folders import cut
@@ -85,3 +86,31 @@ def test_keep_first_across_partitions(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == kept_first(1000, pairs)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_are_neither_broadcast_nor_joined(spark):
+    """Copies of hashes are estimated far below their size: as rows of a join Spark would send them all to the driver."""
+    draw = random.Random(9)
+    df = spark.createDataFrame([(draw.getrandbits(62),) for _ in range(2000)], "hash long")
+    assert "Join" not in plan(hamming.pairs(df, "hash", 8, 64, cut))
+
+
+@pytest.mark.parametrize("bits, most, n", [(32, 3, 7_200_000), (64, 8, 5_400_000)])
+def test_copies_and_comparisons_a_hash_stay_few(bits, most, n):
+    """As many hashes as six times the driver's tables have: no more than 50 copies of a hash and 40,000 comparisons with others."""
+    k = hamming._agreeing(n, most, bits, 3)
+    choices = hamming._choices(tuple(range(bits)), most, (k,), 0)
+    assert len(choices) <= 50 and sum(n / 2 ** held.bit_count() / 2 for held, _, _ in choices) <= 40_000
+
+
+def test_pairs_that_meet_are_found_once(spark):
+    """Bits that all hashes share, a crowd of them, and copies of a hash in several tasks."""
+    draw = random.Random(11)
+    hashes = sorted({(5 << 50) ^ sum(1 << b for b in draw.sample(range(40), draw.randint(0, 5))) for _ in range(700)})
+    got = hamming.pairs(spark.createDataFrame([(h,) for h in hashes * 2], "hash long").repartition(5), "hash", 3, 64, cut, crowd=30).collect()
+    want = [(a, b, n) for a in hashes for b in hashes if a < b and (n := (a ^ b).bit_count()) <= 3]
+    assert sorted(tuple(r) for r in got) == want
