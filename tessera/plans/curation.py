@@ -55,7 +55,7 @@ def d03(spark, d):
     is near its equals only; a picture without a hash stays."""
     key = F.col("c_custkey")
     rows = table(spark, d, "customer").select(key.alias("id"), F.when(key % 50 == 3, F.lit(None)).when(key % 77 == 5, F.lit(0)).otherwise(wide(key)).alias("hash"))
-    near = hamming.pairs(rows.where("hash <> 0"), "hash", 8, 64, cut).select("left_hash", "right_hash")
+    near = cut(hamming.pairs(rows.where("hash <> 0"), "hash", 8, 64, cut).select("left_hash", "right_hash"))  # cut, so that its true size is known to the joins
     firsts = cut(rows.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("first")))  # of equal hashes the oldest stands for all
     by = lambda side: firsts.select(F.col("hash").alias(f"{side}_hash"), F.col("first").alias(f"{side}_id"))
     pairs = near.join(by("left"), "left_hash").join(by("right"), "right_hash").select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
