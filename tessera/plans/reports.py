@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import intervals, ranking, sequences, stats
+from tessera.operators import intervals, ranking, sequences, stats, vectors
 from tessera.sources.tables import table
 
 QUERIES: dict = {}
@@ -87,8 +87,8 @@ def j07(spark, d):
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS place FROM p) SELECT query_id, vec_id, similarity, place FROM r WHERE place <= 5""")
 def j10(spark, d):
     """Cosine top-5 of every hundredth vector (the stated query set) against all."""
-    vectors = table(spark, d, "embeddings")
-    return ranking.nearest(vectors, vectors.where("vec_id % 100 = 0"), 5)
+    rows = table(spark, d, "embeddings")
+    return vectors.nearest(rows, rows.where("vec_id % 100 = 0"), 5)
 
 
 _SPANS = "SELECT o_orderkey AS id, o_custkey, epoch(o_orderdate) / 86400 AS start, epoch(o_orderdate) / 86400 + 1 + o_orderkey % 30 AS \"end\" FROM orders"
