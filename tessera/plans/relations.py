@@ -286,9 +286,9 @@ _COS = "SELECT q.vec_id AS query_id, b.vec_id, list_dot_product(q.e, b.e) / (sqr
 @query("j21_near_probe", f"WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS ({_COS}) SELECT query_id, min(vec_id) FILTER (s >= 0.97) AS twin, count(*) FILTER (s >= 0.6) AS near FROM p GROUP BY query_id")
 def j21(spark, d):
     """For every hundredth vector (the stated query set) the smallest other id from 0.97 on, and how many are near."""
-    vectors = table(spark, d, "embeddings")
-    scored = ranking.cosines(vectors, vectors.where("vec_id % 100 = 0"))
-    return scored.groupBy("query_id").agg(F.min(F.when(F.col("similarity") >= 0.97, F.col("vec_id"))).alias("twin"), F.count_if(F.col("similarity") >= 0.6).alias("near"))
+    rows = table(spark, d, "embeddings")
+    found = vectors.probed(rows, rows.where("vec_id % 100 = 0"), [0.97, 0.6])
+    return found.select(F.col("id").alias("query_id"), F.col("least_0").alias("twin"), F.col("near_1").alias("near"))
 
 
 _ALL = "WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {}) SELECT u.vec_id, min(other) AS twin, count(other) AS near FROM u LEFT JOIN p USING (vec_id) GROUP BY u.vec_id"
@@ -296,7 +296,7 @@ _ALL = "WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddin
 
 @query("j21_all_twins", _ALL.format(0.97))
 def j21_all(spark, d):
-    """For every vector the smallest other id from 0.97 on, and how many there are: all rows against all, by the pivot index."""
+    """For every vector the smallest other id from 0.97 on, and how many there are: all rows against all, in blocks."""
     return vectors.twins(table(spark, d, "embeddings").select("vec_id", "embedding"), cut, 0.97)
 
 
