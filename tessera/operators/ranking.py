@@ -1,4 +1,4 @@
-"""Ranking: weighted signals, deterministic winners, capped top-k, apportionment and vector search."""
+"""Ranking: weighted signals, deterministic winners, capped top-k and apportionment."""
 
 from __future__ import annotations
 
@@ -55,26 +55,6 @@ def apportion(df: DataFrame, weight: str, name: str, seats: int) -> DataFrame:
     return rows.withColumns({"left": left, "place": place}).select(name, (F.col("floor") + (F.col("place") <= F.col("left")).cast("long")).alias("seats"))
 
 
-def cosines(base: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, similarity of all rows (vec_id, embedding) with each query row (a stated set) but itself.
-
-    Vectors are scaled to unit length once. Base rows are dealt into as many blocks as there are shuffle partitions, and the few
-    queries go to each block, so that nothing is broadcast and no base row is copied.
-    """
-    blocks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))
-    unit = lambda df: df.select("vec_id", "embedding", F.sqrt(square).alias("_norm")).select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("v"))
-    left = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = unit(base).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return right.join(left, "block").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 6).alias("similarity"))
-
-
-def nearest(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest rows by cosine for each query row: query_id, vec_id, similarity, place."""
-    return top(cosines(base, queries), "query_id", [F.desc("similarity"), F.col("vec_id")], k).withColumn("place", F.col("place").cast("int"))
-
-
 def gaussian(value: Column, target: float, sigma: float) -> Column:
     """1 at the target, falling with the square of the distance."""
     return F.exp(-((value - target) * (value - target)) / (2 * sigma * sigma))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import intervals, ranking, sequences, stats
+from tessera.operators import intervals, ranking, sequences, stats, vectors
 from tessera.plans.book import book
 from tessera.sources.tables import table
 
@@ -148,8 +148,8 @@ def a35(spark, d):
 def a36(spark, d):
     """100 less 15 for each near vector, for every hundredth vector (the stated query set)."""
     v = table(spark, d, "embeddings")
-    near = F.count_if(F.col("similarity") >= 0.55)
-    return ranking.cosines(v, v.where("vec_id % 100 = 0")).groupBy("query_id").agg(F.greatest(F.lit(0), F.least(F.lit(100), 100 - 15 * near)).alias("uniqueness"))
+    near = vectors.probed(v, v.where("vec_id % 100 = 0"), [0.55])
+    return near.select(F.col("id").alias("query_id"), F.greatest(F.lit(0), F.least(F.lit(100), 100 - 15 * F.col("near_0"))).alias("uniqueness"))
 
 
 @query("a37_completeness", """WITH c AS (SELECT p_partkey, (CAST(length(p_name) >= 9 AS INTEGER) + CAST(contains(p_name, 'r') AS INTEGER) + CAST(p_size >= 10 AS INTEGER) + CAST(p_retailprice >= 1000 AS INTEGER) + CAST(p_brand LIKE '%1%' AS INTEGER) + CAST(p_type <> 'ECONOMY' AS INTEGER)) / 6 AS filled, p_size / 50 AS size, least(p_retailprice / 2000, 1) AS price FROM part)
