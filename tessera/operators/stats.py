@@ -95,3 +95,20 @@ def latest(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
 def min_max(value: Column, low: Column, high: Column) -> Column:
     """Scaled to 0 to 1; null is 0; 1 where all are equal."""
     return F.when(value.isNull(), 0.0).when(high == low, 1.0).otherwise((value - low) / (high - low))
+
+
+def below(rows: DataFrame, key: str, value: str, limit: float, place: list[str], others: list[Column], cut) -> DataFrame:
+    """key, ``others`` (aggregates of the key) and below: whether the mean of ``value`` is below the limit, of doubles added one by one in
+    the order of ``place``, as an engine does that reads the table in order.
+
+    Doubles added in another order may differ in their last bits, which decides only where the mean is within these of the limit: only the
+    rows of such keys are sorted and added in order; all other keys are sums of sums. ``cut`` writes a frame and reads it back.
+    """
+    parts = rows.groupBy(key).agg(*others, F.avg(value).alias("_mean"), F.avg(F.abs(value)).alias("_size"), F.count(value).alias("_n"))
+    parts = cut(parts)
+    close = F.abs(F.col("_mean") - limit) <= (F.col("_n") + 4) * 2.0**-52 * (F.col("_size") + abs(limit))
+    upto = Window.partitionBy(key).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.where(F.col(value).isNotNull()).join(parts.where(close).select(key), key).withColumn("_sum", F.sum(value).over(upto))
+    sums = sums.groupBy(key).agg((F.max_by("_sum", F.struct(*place)) / F.count(F.lit(1)) < limit).alias("_close"))
+    names = [c for c in parts.columns if not c.startswith("_")]
+    return parts.join(sums, key, "left").select(*names, F.coalesce("_close", F.col("_mean") < limit).alias("below"))
