@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +52,82 @@ def adjacent(df: DataFrame, key: str, gap: float) -> DataFrame:
     return near.select(key, "left_id", "right_id").distinct()
 
 
-def best_windows(clips: DataFrame, segments: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+#: What a segment may have besides its time, in the order of its bits.
+MARKS = ["close", "persons", "emotion", "micro", "hit"]
+
+
+def _best_of_few(key: str, lengths: list[int]):
+    """The best windows of rows (key, duration, segments): places where segments enter or leave are made and added up in arrays."""
+
+    def of(lasts, sizes, start, end, marks, n):
+        """Rows with a window of ``n``, its place and its score."""
+        most = np.where(lasts >= n, np.floor((lasts - n) * 2), -1)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        enters, leaves = np.maximum(0, np.floor((start - n) * 2) + 1), np.ceil(end * 2)
+        on = np.flatnonzero((enters < leaves) & (most[owner] >= 0))
+        have = np.flatnonzero(most >= 0)
+        row = np.r_[have, owner[on], owner[on]]
+        at = np.r_[np.zeros(len(have)), enters[on], leaves[on]]
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+        last = np.r_[(row[1:] != row[:-1]) | (at[1:] != at[:-1]), True][: len(row)] & (at <= most[row])
+        row, at = row[last], at[last].astype(np.int64)
+        sums = lambda x: np.cumsum(np.r_[np.zeros(len(have), np.int64), x, -x][order])[last]
+        here = [sums(marks[on] >> k & 1) for k in range(len(MARKS))]
+        score = 50 + sum((c > 0) * p for c, p in zip(here, (10, 8, 7, 8))) + np.minimum(10, 4 * here[4]) - 5 * (n > 10)
+        score = np.where(sizes[row] == 0, 50, np.where(sums(np.ones(len(on), np.int64)) == 0, 30, np.clip(score, 0, 100)))
+        best = np.lexsort((at, -score, row))
+        first = best[np.r_[True, row[best][1:] != row[best][:-1]][: len(best)]]
+        return row[first], at[first], score[first]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            fields = lists.flatten()
+            start, end, marks = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            lasts = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            for n in lengths:
+                row, at, score = of(lasts, sizes, start, end, marks, n)
+                columns = [batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), n, np.int32)), pa.array(at / 2), pa.array(score.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "duration", "start", "score"])
+
+    return run
+
+
+def best_windows(clips: DataFrame | None, segments: DataFrame, key: str, lengths: list[int], cut=lambda df: df, many: int = 1000) -> DataFrame:
     """key, duration, start, score: of the windows of each length that begin at half seconds and end within the clip, the first of the best.
 
-    ``clips`` are (key, duration), ``segments`` (key, start, end, close, persons, emotion, micro, hit), of which a window has those that
-    overlap it. A score changes only where a segment enters or leaves the window: only these places are made, as differences that add up
-    in order, so that the work follows the segments and not the seconds. Lengths beyond the clip give no row.
+    ``clips`` are (key, duration), or None where a clip ends with its last segment; ``segments`` (key, start, end, close, persons, emotion,
+    micro, hit), of which a window has those that overlap it. Lengths beyond the clip give no row. The segments of a key come together
+    once, as a list; keys of more than ``many`` segments are dealt by stretches instead. ``cut`` writes a frame and reads it back.
 
     Fixed values: 50, 30 without a segment in the window (50 without any in the clip); 10, 8, 7 and 8 for a close shot, persons, strong
     emotion and a small event; 4 for each hit, at most 10; 5 less above 10 seconds.
     """
-    sums = ["n", "close", "persons", "emotion", "micro", "hit"]
+    crowded = cut(segments.groupBy(key).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > many).select(key))
+    if crowded.isEmpty():
+        return _few(clips, segments, key, lengths)
+    part = lambda df, how: df if df is None else df.join(crowded, key, how)
+    some = part(segments, "left_semi")
+    long = some.groupBy(key).agg(F.max("end").alias("duration")) if clips is None else part(clips, "left_semi")
+    return _few(part(clips, "left_anti"), part(segments, "left_anti"), key, lengths).unionByName(_by_stretches(long, some, key, lengths))
+
+
+def _few(clips: DataFrame | None, segments: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """best_windows() of keys whose segments are few enough to be a list."""
+    marks = sum((F.when(F.col(c), 1 << k).otherwise(0) for k, c in enumerate(MARKS)), F.lit(0))
+    one = F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), marks.alias("marks"))
+    lists = segments.groupBy(key).agg(F.collect_list(one).alias("_rows"), F.max("end").alias("_end"))
+    rows = lists.withColumn("duration", F.col("_end")) if clips is None else clips.join(lists, key, "left")
+    rows = rows.where("duration IS NOT NULL").select(key, F.col("duration").cast("double"), F.coalesce("_rows", F.array().cast(lists.schema["_rows"].dataType)).alias("_rows"))
+    return rows.mapInArrow(_best_of_few(key, lengths), f"{key} {segments.schema[key].dataType.simpleString()}, duration int, start double, score long")
+
+
+def _by_stretches(clips: DataFrame, segments: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """best_windows() of keys with many segments. A score changes only where a segment enters or leaves the window: only these places are
+    made, as differences that add up in order over stretches, so that the work follows the segments and not the seconds."""
+    sums = ["n", *MARKS]
     lasting = F.explode(F.array(*map(F.lit, lengths)))
     room = clips.join(segments.groupBy(key).agg(F.count(F.lit(1)).alias("_all")), key, "left").select(key, "_all", "duration", lasting.alias("_n"))
     room = room.where("duration >= _n").select(key, F.coalesce("_all", F.lit(0)).alias("_all"), "_n", F.floor((F.col("duration") - F.col("_n")) * 2).alias("_most"))

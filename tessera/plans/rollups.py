@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import intervals, ranking, sequences, stats, vectors
 from tessera.plans.book import book
+from tessera.sources.folders import cut
 from tessera.sources.tables import table
 
 QUERIES, ORACLES, query = book()
@@ -349,7 +350,7 @@ def w11_half_steps(spark, d):
     q = F.col("l_quantity") / 4
     flags = {"close": F.col("l_returnflag") == "R", "persons": F.col("l_discount") > 0.07, "emotion": F.col("l_tax") > 0.06, "micro": F.col("l_partkey") % 7 == 0, "hit": F.col("l_suppkey") % 3 == 0}
     lines = table(spark, d, "lineitem").select("l_orderkey", (F.sum(q).over(by) - q).alias("start"), F.sum(q).over(by).alias("end"), *(c.alias(n) for n, c in flags.items()))
-    return intervals.best_windows(lines.groupBy("l_orderkey").agg(F.max("end").alias("duration")), lines, "l_orderkey", [3, 5, 8, 10])
+    return intervals.best_windows(None, lines, "l_orderkey", [3, 5, 8, 10], cut)
 
 
 @query("w12_latency_sample", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM r WHERE k <= 1000 GROUP BY event_type")

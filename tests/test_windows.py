@@ -57,6 +57,30 @@ def test_best_windows_equal_all_windows(spark):
     assert not [r for r in got if r[0] == "tiny"] and len([r for r in got if r[0] == "bare"]) == 5
 
 
+def test_best_windows_of_keys_with_few_and_with_many_segments(spark):
+    """Keys below and above the bound, with clips and where the last segment ends the clip; a key without segments."""
+    draw, segments = random.Random(12), []
+    for k in range(12):
+        for _ in range(k * 4):
+            a = draw.randrange(0, 80) / 4
+            segments.append((k, a, a + draw.randrange(0, 30) / 4, *(draw.choice([True, False, None]) for _ in range(5))))
+    rows = spark.createDataFrame(segments, "key long, start double, end double, close boolean, persons boolean, emotion boolean, micro boolean, hit boolean")
+    clips = [(k, 21.25) for k in range(12)]
+    of = lambda k: [s[1:] for s in segments if s[0] == k]
+    for many in (3, 20, 1000):
+        got = intervals.best_windows(spark.createDataFrame(clips, "key long, duration double"), rows, "key", [3, 12], many=many).collect()
+        assert sorted(map(tuple, got)) == sorted((k, *w) for k, d in clips for w in _windows(d, of(k), [3, 12])), many
+        got = intervals.best_windows(None, rows, "key", [3, 12], many=many).collect()
+        assert sorted(map(tuple, got)) == sorted((k, *w) for k in range(1, 12) for w in _windows(max(s[1] for s in of(k)), of(k), [3, 12])), many
+
+
+def test_segments_of_a_key_are_dealt_once(spark):
+    """What tasks exchange are the segments, not eight places of each."""
+    rows = spark.createDataFrame([(k, 0.0, 4.0, True, False, False, True, True) for k in range(50)], "key long, start double, end double, close boolean, persons boolean, emotion boolean, micro boolean, hit boolean")
+    plan = intervals.best_windows(None, rows, "key", [3, 5, 8, 10])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def _plain_beats(words, least, most, cap):
     groups, now = [], []
     for w in words:
